@@ -59,12 +59,10 @@ def global_rank(df: DataFrame, order: list[str | Column], tiebreak: list[str],
         rank_col, F.element_at(offset_arr, (F.col("_rk_pid") + 1).cast("int")) + F.col("_rk_pos") + 1)
 
     if group_cols:
-        starts = (df.groupBy(*group_cols).count()
-                  .withColumn("_rk_start", F.sum("count").over(
-                      _ordered_window(group_cols)) - F.col("count"))
-                  .drop("count"))
-        n_groups = starts.count()
-        if n_groups <= MAX_BROADCAST_GROUPS:
+        # Groups lead the sort, so each group is one contiguous run of global
+        # ranks: its start is its smallest rank minus one.
+        starts = ranked.groupBy(*group_cols).agg((F.min(rank_col) - 1).alias("_rk_start"))
+        if starts.count() <= MAX_BROADCAST_GROUPS:
             starts = F.broadcast(starts)
         ranked = (ranked.join(starts, group_cols, "inner")
                   .withColumn(rank_col, F.col(rank_col) - F.col("_rk_start"))
@@ -72,12 +70,6 @@ def global_rank(df: DataFrame, order: list[str | Column], tiebreak: list[str],
     return ranked.drop("_rk_pid", "_rk_pos")
 
 
-def _ordered_window(group_cols):
-    from pyspark.sql import Window
-    # The group table has one row per group; a global window over it is cheap.
-    return Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, qs: list[float],
                     tiebreak: list[str]) -> DataFrame:
     """Linear-interpolated quantiles per group (``quantile_cont`` semantics).

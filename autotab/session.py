@@ -53,12 +53,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SEQ = [0]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint directory.
+    """Materialise ``df`` as a Parquet table under the checkpoint directory.
 
     Used where a result must be computed exactly once (global ranks) or an
-    iterative job would otherwise grow its plan every round. Survives the
-    loss of executors, unlike a local checkpoint.
+    iterative job would otherwise grow its plan every round. One write job;
+    the files sit in the shared folder named by the session, so a lost
+    executor cannot take them along (unlike cached or local blocks).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    base = ensure_checkpoint_dir(df.sparkSession)
+    _SEQ[0] += 1
+    path = f"{base.rstrip('/')}/autotab-{uuid.uuid4().hex}-{_SEQ[0]}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
