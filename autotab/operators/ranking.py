@@ -97,3 +97,60 @@ def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, qs: list
     return (wanted.join(lo, [group_col, "_lo"]).join(hi, [group_col, "_hi"])
             .select(group_col, "q",
                     (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value")))
+
+
+def global_cumsum(df: DataFrame, order: list[str | Column], weights: list[str],
+                  group_cols: list[str] | None = None, tiebreak: list[str] | None = None,
+                  suffix: str = "_cum", num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of non-negative ``weights`` in a global order.
+
+    Same plan as :func:`global_rank`: range partitions, a per-partition
+    running sum in Arrow batches (``mapInPandas``, no shuffle), one write,
+    then per-partition totals (one row per partition) as offsets. With
+    ``group_cols`` the sums restart per group.
+    """
+    import pandas as pd  # noqa: F401  (executor side)
+    from pyspark.sql import types as T
+
+    group_cols = list(group_cols or [])
+    keys = [F.col(c) if isinstance(c, str) else c
+            for c in group_cols + list(order) + list(tiebreak or [])]
+    n_parts = _partitions(df, num_partitions)
+    ranged = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    out_schema = T.StructType(ranged.schema.fields + [T.StructField("_rk_pid", T.LongType())] + [
+        T.StructField(w + suffix, T.DoubleType()) for w in weights])
+
+    def running(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        carry = {w: 0.0 for w in weights}
+        for pdf in batches:
+            pdf["_rk_pid"] = pid
+            for w in weights:
+                cs = pdf[w].astype("float64").cumsum() + carry[w]
+                pdf[w + suffix] = cs
+                if len(cs):
+                    carry[w] = float(cs.iloc[-1])
+            yield pdf
+
+    local = cut_lineage(ranged.mapInPandas(running, out_schema))
+    totals = {r["_rk_pid"]: r for r in local.groupBy("_rk_pid").agg(
+        *[F.sum(w).cast("double").alias(w) for w in weights]).collect()}
+    out = local
+    for w in weights:
+        offs, run = [], 0.0
+        for p in range(max(totals) + 1 if totals else 1):
+            offs.append(run)
+            run += float(totals[p][w]) if p in totals and totals[p][w] is not None else 0.0
+        arr = F.array(*[F.lit(o) for o in offs])
+        out = out.withColumn(w + suffix, F.col(w + suffix) +
+                             F.element_at(arr, (F.col("_rk_pid") + 1).cast("int")))
+    if group_cols:
+        starts = out.groupBy(*group_cols).agg(*[
+            F.min(F.col(w + suffix) - F.col(w)).alias("_st_" + w) for w in weights])
+        if starts.count() <= MAX_BROADCAST_GROUPS:
+            starts = F.broadcast(starts)
+        out = out.join(starts, group_cols)
+        out = out.withColumns({w + suffix: F.col(w + suffix) - F.col("_st_" + w) for w in weights}
+                              ).drop(*["_st_" + w for w in weights])
+    return out.drop("_rk_pid")

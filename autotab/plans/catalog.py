@@ -1,6 +1,6 @@
 """Imports every plan module so the registry is complete."""
 
-from autotab.plans import prep_plans, profile_plans  # noqa: F401
+from autotab.plans import metric_plans, prep_plans, profile_plans  # noqa: F401
 from autotab.plans.registry import PLANS
 
 __all__ = ["PLANS"]

@@ -189,3 +189,14 @@ FROM (
      {_multi_raw_sql(2, 'P')} / ({' + '.join(_multi_raw_sql(i, s) for i, s in enumerate(STATUS))})]
       AS probability
   FROM orders)"""
+
+
+def scored_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = lineitem(spark, sf_dir)
+    return li.select("row_id", F.col("y_lin").alias("label"),
+                     (3 * F.col("l_quantity") - 40 * F.col("l_discount") + 0.5).alias("prediction"))
+
+
+SCORED_REGRESSION_SQL = f"""
+SELECT row_id, y_lin AS label, 3 * l_quantity - 40 * l_discount + 0.5 AS prediction
+FROM ({LINEITEM_SQL})"""
