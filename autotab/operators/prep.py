@@ -221,6 +221,10 @@ def prepare(df: DataFrame, target: str | None = None, ids: list[str] | None = No
     if target:
         fit_df = drop_null_target(fit_df, target)
         df = drop_null_target(df, target)
+    # The fit reads the training rows about ten times (pruning, medians,
+    # modes, moments, indexers, variances): keep them in executor storage
+    # for the duration; lost blocks are recomputed from lineage.
+    fit_df = fit_df.persist()
     candidates = [c for c in df.columns if c not in keep and c != vector_col]
 
     const = {r.column_name for r in constant_columns(fit_df, candidates).collect() if r.is_constant}
@@ -296,6 +300,7 @@ def prepare(df: DataFrame, target: str | None = None, ids: list[str] | None = No
                           [_q(i) for i in ids] + ["features"] + (["label"] if target else []))
                           + " FROM __THIS__")]
     model = PipelineModel(stages=final)
+    fit_df.unpersist()
     report = PrepReport(target, task, num, cat, sorted(const), sorted(hi_card), other, names, kept,
                         [names[i] for i in kept], variances)
     return model.transform(df), model, report

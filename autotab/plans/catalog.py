@@ -1,6 +1,8 @@
 """Imports every plan module so the registry is complete."""
 
-from autotab.plans import metric_plans, prep_plans, profile_plans  # noqa: F401
+from autotab.plans import (insight_plans, metric_plans, model_plans, prep_plans,  # noqa: F401
+                           profile_plans)
+from autotab.plans.model_plans import flagship
 from autotab.plans.registry import PLANS
 
-__all__ = ["PLANS"]
+__all__ = ["PLANS", "flagship"]

@@ -200,3 +200,38 @@ def scored_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED_REGRESSION_SQL = f"""
 SELECT row_id, y_lin AS label, 3 * l_quantity - 40 * l_discount + 0.5 AS prediction
 FROM ({LINEITEM_SQL})"""
+
+
+def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimate texts in every form the parser meets, one per events row:
+    'a-b%', '0.x-0.y', 'a%', '0.xx', 'n/a', '-a' (by event_id % 6)."""
+    e = table(spark, sf_dir, "events")
+    a = (F.col("event_id") % 40 + 55).cast("string")
+    b = (F.col("event_id") % 40 + 60).cast("string")
+    d2 = F.lpad((F.col("event_id") % 100).cast("string"), 2, "0")
+    k = F.col("event_id") % 6
+    text = (F.when(k == 0, F.concat(a, F.lit("-"), b, F.lit("%")))
+            .when(k == 1, F.concat(F.lit("0."), (F.col("event_id") % 5 + 4).cast("string"), F.lit("-0."),
+                                   (F.col("event_id") % 4 + 6).cast("string")))
+            .when(k == 2, F.concat(a, F.lit("%")))
+            .when(k == 3, F.concat(F.lit("0."), d2))
+            .when(k == 4, F.lit("n/a"))
+            .otherwise(F.concat(F.lit("-"), a)))
+    names = F.array(*[F.lit(t) for t in TASK_NAMES])
+    return e.select("event_id", text.alias("estimate"),
+                    F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("task_type"),
+                    F.when(F.col("event_id") % 3 == 0, u(F.col("event_id"), 8)).alias("actual"))
+
+
+ESTIMATES_SQL = f"""
+SELECT event_id,
+  CASE event_id % 6
+    WHEN 0 THEN concat(cast(event_id % 40 + 55 as varchar), '-', cast(event_id % 40 + 60 as varchar), '%')
+    WHEN 1 THEN concat('0.', cast(event_id % 5 + 4 as varchar), '-0.', cast(event_id % 4 + 6 as varchar))
+    WHEN 2 THEN concat(cast(event_id % 40 + 55 as varchar), '%')
+    WHEN 3 THEN concat('0.', lpad(cast(event_id % 100 as varchar), 2, '0'))
+    WHEN 4 THEN 'n/a'
+    ELSE concat('-', cast(event_id % 40 + 55 as varchar)) END AS estimate,
+  (['{"','".join(TASK_NAMES)}'])[cast(event_id % 5 + 1 as integer)] AS task_type,
+  CASE WHEN event_id % 3 = 0 THEN {u_sql('event_id', 8)} END AS actual
+FROM events"""
