@@ -111,7 +111,8 @@ def fourier_features(features: str, d: int, n_components: int = 100, gamma: floa
         return pd.Series(list(Z))
 
     def apply(df: DataFrame) -> DataFrame:
-        return df.withColumn(out, array_to_vector(rff(vector_to_array(features))))
+        from autotab.operators.neighbours import as_array
+        return df.withColumn(out, array_to_vector(rff(as_array(df, features))))
     return apply
 
 
@@ -148,7 +149,8 @@ class PlattSVM:
 
 
 def _feature_dim(df: DataFrame, features: str = "features") -> int:
-    return int(df.select(F.size(vector_to_array(features))).first()[0])
+    from autotab.operators.neighbours import as_array
+    return int(df.select(F.size(as_array(df, features))).first()[0])
 
 
 def _n_classes(df: DataFrame, label: str = "label") -> int:

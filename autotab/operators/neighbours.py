@@ -65,12 +65,17 @@ def blocked(query: DataFrame, ref: DataFrame, fn, schema: str, block_rows: int =
     q = (query.select("_id", "_x", *(query_extra or []))
          .withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(qb_n)).cast("int"))
          .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(rb_n - 1)))))
-    r = (ref.select("_id", "_x", *(ref_extra or []))
-         .withColumn("_rb", F.pmod(F.xxhash64("_id"), F.lit(rb_n)).cast("int"))
+    # The reference side gets its own column names so a self-join (same
+    # DataFrame on both sides) cannot confuse the two inputs.
+    extras = list(ref_extra or [])
+    r = (ref.select(F.col("_id").alias("_r_id"), F.col("_x").alias("_r_x"),
+                    *[F.col(c).alias(f"_r_{c}") for c in extras])
+         .withColumn("_rb", F.pmod(F.xxhash64("_r_id"), F.lit(rb_n)).cast("int"))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb_n - 1)))))
+    back = {"_r_id": "_id", "_r_x": "_x", **{f"_r_{c}": c for c in extras}}
 
     def run(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(qdf, rdf)
+        return fn(qdf, rdf.rename(columns=back))
 
     return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(run, schema)
 
