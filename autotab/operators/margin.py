@@ -67,7 +67,7 @@ class LinearScore:
 
 
 def fit_svr(df: DataFrame, label: str = "label", features: str = "features", epsilon: float = 0.1,
-            C: float = 1.0, n_components: int = 100, gamma: float | None = None, steps: int = 150):
+            C: float = 1.0, n_components: int = 100, gamma: float | None = None, steps: int = 60):
     """RBF support vector regression: Fourier features + epsilon-insensitive
     loss, regularisation 1/(C n) as in the kernel form."""
     from autotab.operators.models import _feature_dim, fourier_features
@@ -87,7 +87,7 @@ def fit_svr(df: DataFrame, label: str = "label", features: str = "features", eps
 
 
 def fit_one_class(df: DataFrame, features: str = "features", nu: float = 0.5,
-                  n_components: int = 100, gamma: float | None = None, steps: int = 150):
+                  n_components: int = 100, gamma: float | None = None, steps: int = 60):
     """One-class SVM in Fourier-feature space: minimise 1/2|w|^2 +
     1/(nu n) sum max(0, rho - w.z) - rho. Score = rho - w.z (higher = more
     anomalous)."""

@@ -235,7 +235,7 @@ def fit_model(df: DataFrame, task: str, name: str, params: dict | None = None,
                 svm.setWeightCol(wcol)
             sm = svm.fit(b)
             margin = sm.transform(b).withColumn("_m", array_to_vector(
-                F.array(vector_to_array("rawPrediction")[1])))
+                F.array(vector_to_array("rawPrediction")[1]))).select("_m", "_bin")
             lr = LogisticRegression(featuresCol="_m", labelCol="_bin", regParam=0.0).fit(margin)
             members.append(sm)
             platt.append(lr)
