@@ -188,6 +188,7 @@ class PrepReport:
     kept_indices: list[int]
     feature_names: list[str]
     variances: list[float] = field(default_factory=list)
+    scoring_model: object = None   # same transform without the label (for unlabelled rows)
 
 
 def infer_task_value(df: DataFrame, target: str | None) -> str:
@@ -300,9 +301,12 @@ def prepare(df: DataFrame, target: str | None = None, ids: list[str] | None = No
                           [_q(i) for i in ids] + ["features"] + (["label"] if target else []))
                           + " FROM __THIS__")]
     model = PipelineModel(stages=final)
+    no_label = SQLTransformer(statement=f"SELECT {select_cols} FROM __THIS__")
+    scoring = PipelineModel(stages=[no_label] + final[1:-1] + [SQLTransformer(
+        statement="SELECT " + ", ".join([_q(i) for i in ids] + ["features"]) + " FROM __THIS__")])
     fit_df.unpersist()
     report = PrepReport(target, task, num, cat, sorted(const), sorted(hi_card), other, names, kept,
-                        [names[i] for i in kept], variances)
+                        [names[i] for i in kept], variances, scoring)
     return model.transform(df), model, report
 
 
