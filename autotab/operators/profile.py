@@ -103,7 +103,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None,
     """count, mean, sample std, min, 25/50/75 %, max per numeric column.
 
     Moments come from one aggregate; quantiles are exact (linear
-    interpolation) from the distributed rank in ``exact_quantiles``.
+    interpolation) from the two-pass bounded search in ``exact_quantiles``.
     ``key`` is a unique row key used as sort tiebreak (defaults to all
     columns of the projection).
     """
@@ -117,11 +117,8 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None,
     key = key or []
     long_df = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-        for c in cols])).alias("kv"), *key).select("kv.*", *key)
-    if not key:
-        long_df = long_df.withColumn("_tb", F.monotonically_increasing_id())
-        key = ["_tb"]  # ties only; equal values give the same quantile in any order
-    qs = exact_quantiles(long_df, "column_name", "value", list(DESCRIBE_QS), key)
+        for c in cols])).alias("kv")).select("kv.*")
+    qs = exact_quantiles(long_df, "column_name", "value", list(DESCRIBE_QS))
     wide_q = qs.groupBy("column_name").pivot("q", list(DESCRIBE_QS)).agg(F.first("value"))
     wide_q = wide_q.select("column_name", *[F.col(f"`{q}`").alias(n) for q, n in
                                             zip(DESCRIBE_QS, ("p25", "p50", "p75"))])
