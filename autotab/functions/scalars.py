@@ -90,8 +90,11 @@ def format_calibrated(value, task) -> Column:
                    F.lit("-"),
                    F.least(F.lit(95), ((c + 0.05) * 100).try_cast("long")).cast("string"),
                    F.lit("%"))
-    reg = F.concat(F.format_string("%.2f", F.greatest(F.lit(0.1), c - 0.1)), F.lit("-"),
-                   F.format_string("%.2f", F.least(F.lit(0.95), c + 0.1)))
+    # format_number rounds half-even on the exact binary value, like Python's
+    # "{:.2f}" (format_string rounds half-up); values stay below 1000, so no
+    # grouping separator appears.
+    reg = F.concat(F.format_number(F.greatest(F.lit(0.1), c - 0.1), 2), F.lit("-"),
+                   F.format_number(F.least(F.lit(0.95), c + 0.1), 2))
     t = _c(task)
     return F.when(t == "classification", cls).when(t == "regression", reg)
 

@@ -235,3 +235,54 @@ SELECT event_id,
   (['{"','".join(TASK_NAMES)}'])[cast(event_id % 5 + 1 as integer)] AS task_type,
   CASE WHEN event_id % 3 = 0 THEN {u_sql('event_id', 8)} END AS actual
 FROM events"""
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One saved reply per events row, by event_id % 4: JSON only, JSON in
+    prose with a summary, no JSON, broken JSON. Estimates and names come
+    from the row."""
+    e = table(spark, sf_dir, "events")
+    a = (F.col("event_id") % 30 + 60).cast("string")
+    b = (F.col("event_id") % 30 + 65).cast("string")
+    r2 = F.lpad((F.col("event_id") % 90 + 10).cast("string"), 2, "0")
+    body = F.concat(
+        F.lit('{"algorithm_recommendations": {"classification": [{"algorithm": "Random Forest", '
+              '"estimated_accuracy": "'), a, F.lit("-"), b, F.lit('%", "reason": "events of type '),
+        F.col("event_type"), F.lit('"}, {"algorithm": "Logistic Regression", "estimated_accuracy": "0.'),
+        r2, F.lit('"}], "regression": [{"algorithm": "Ridge", "estimated_r2": "0.'), r2,
+        F.lit('", "reason": "user '), F.col("user_id").cast("string"),
+        F.lit('"}], "clustering": [{"algorithm": "K-Means", "estimated_silhouette": "0.4"}]}}'))
+    k = F.col("event_id") % 4
+    text = (F.when(k == 0, body)
+            .when(k == 1, F.concat(F.lit("Here is the analysis:\n"), body,
+                                   F.lit("\nThanks.\n## Summary\nUser "), F.col("user_id").cast("string"),
+                                   F.lit(" looks fine.\n## Next steps\nTrain.")))
+            .when(k == 2, F.concat(F.lit("No structured answer for user "), F.col("user_id").cast("string"),
+                                   F.lit(".")))
+            .otherwise(F.concat(F.lit('Partial: {"algorithm_recommendations": {"classification": [{'
+                                      '"algorithm": "X", }'), F.lit(" trailing } text "),
+                                F.col("event_type"))))
+    return e.select(F.col("event_id").alias("reply_id"), text.alias("reply"),
+                    u(F.col("event_id"), 9).alias("actual"))
+
+
+REPLIES_SQL = f"""
+SELECT event_id AS reply_id,
+  CASE event_id % 4
+    WHEN 0 THEN BODY
+    WHEN 1 THEN 'Here is the analysis:' || chr(10) || BODY || chr(10) || 'Thanks.' || chr(10)
+                || '## Summary' || chr(10) || 'User ' || cast(user_id as varchar) || ' looks fine.'
+                || chr(10) || '## Next steps' || chr(10) || 'Train.'
+    WHEN 2 THEN 'No structured answer for user ' || cast(user_id as varchar) || '.'
+    ELSE 'Partial: {{"algorithm_recommendations": {{"classification": [{{"algorithm": "X", }}'
+         || ' trailing }} text ' || event_type END AS reply,
+  {u_sql('event_id', 9)} AS actual
+FROM events""".replace("BODY", """(
+  '{"algorithm_recommendations": {"classification": [{"algorithm": "Random Forest", "estimated_accuracy": "'
+  || cast(event_id % 30 + 60 as varchar) || '-' || cast(event_id % 30 + 65 as varchar)
+  || '%", "reason": "events of type ' || event_type
+  || '"}, {"algorithm": "Logistic Regression", "estimated_accuracy": "0.'
+  || lpad(cast(event_id % 90 + 10 as varchar), 2, '0')
+  || '"}], "regression": [{"algorithm": "Ridge", "estimated_r2": "0.'
+  || lpad(cast(event_id % 90 + 10 as varchar), 2, '0') || '", "reason": "user ' || cast(user_id as varchar)
+  || '"}], "clustering": [{"algorithm": "K-Means", "estimated_silhouette": "0.4"}]}}')""")
