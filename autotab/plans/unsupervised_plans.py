@@ -248,3 +248,13 @@ def q_attach_anomalies(spark, d):
     s = spikes(spark, d).select("event_id", F.col("spiked").alias("anomaly_score"))
     raw = X.table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     return A.attach_anomalies(raw, A.flag_anomalies(s, "event_id", 0.01), "event_id", 20)
+
+
+@plan("neighbour_embedding")
+def q_neighbour_embedding(spark, d):
+    return RD.neighbour_embedding(blobs(spark, d), "p_partkey", 2, 10)
+
+
+@plan("cluster_spectral")
+def q_cluster_spectral(spark, d):
+    return C.cluster_spectral(blobs(spark, d), "p_partkey", 3)

@@ -156,3 +156,13 @@ def test_planted_outliers_top(spark, detector):
           "elliptic": lambda: A.anomaly_elliptic(df, "row_id", 0.025)}[detector]
     out = fn().orderBy(F.col("anomaly_score").desc()).limit(5).collect()
     assert {r.row_id for r in out} == set(range(5))
+
+
+def test_spectral_separates_blobs(spark):
+    df, X = _points(spark, 90)
+    lab = {r.row_id: r.cluster for r in C.cluster_spectral(df, "row_id", 3, n_neighbors=8).collect()}
+    groups = {}
+    for i in range(90):
+        groups.setdefault(i % 3, set()).add(lab[i])
+    assert all(len(g) == 1 for g in groups.values())
+    assert len(set(lab.values())) == 3
