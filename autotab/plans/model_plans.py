@@ -101,3 +101,76 @@ def q_predict_proba(spark, d):
 
 def flagship(spark, d):
     return _clf_plan("clf_logistic")(spark, d)
+
+
+# ----------------------------------------------- exact checks of estimators
+def _one_feature(spark, d):
+    li = X.lineitem(spark, d)
+    from pyspark.ml.functions import array_to_vector
+    return li.select("row_id", array_to_vector(F.array(F.col("l_quantity"))).alias("features"),
+                     F.col("y_lin").alias("label"))
+
+
+@plan("reg_linear_coefficients", rnd=("slope", "intercept"), sql=f"""
+SELECT regr_slope(y_lin, l_quantity) AS slope, regr_intercept(y_lin, l_quantity) AS intercept
+FROM ({X.LINEITEM_SQL})""")
+def q_reg_linear_coefficients(spark, d):
+    m = MD.fit_model(_one_feature(spark, d), "regression", "reg_linear").model
+    return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
+                                 "slope double, intercept double")
+
+
+@plan("reg_ridge_coefficients", rnd=("slope", "intercept"), sql=f"""
+SELECT sxy / (sxx + 1.0) AS slope, my - sxy / (sxx + 1.0) * mx AS intercept FROM (
+  SELECT covar_pop(y_lin, l_quantity) * count(*) AS sxy, var_pop(l_quantity) * count(*) AS sxx,
+         avg(y_lin) AS my, avg(l_quantity) AS mx FROM ({X.LINEITEM_SQL}))""")
+def q_reg_ridge_coefficients(spark, d):
+    m = MD.fit_model(_one_feature(spark, d), "regression", "reg_ridge", {"alpha": 1.0}).model
+    return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
+                                 "slope double, intercept double")
+
+
+NB_FEATS = ["l_quantity", "l_discount", "l_tax"]
+
+
+@plan("clf_gaussian_nb_params", rnd=("mean", "variance", "prior"), digits=5, sql=" UNION ALL ".join(
+    f"""SELECT cast(l_linenumber - 1 as double) AS label, {i} AS feature, avg({c}) AS mean,
+        var_pop({c}) AS variance, count(*) / (SELECT count(*) FROM lineitem) AS prior
+        FROM lineitem GROUP BY l_linenumber""" for i, c in enumerate(NB_FEATS)))
+def q_clf_gaussian_nb_params(spark, d):
+    import math
+    from pyspark.ml.functions import array_to_vector
+    li = X.table(spark, d, "lineitem").select(
+        array_to_vector(F.array(*NB_FEATS)).alias("features"),
+        (F.col("l_linenumber") - 1).cast("double").alias("label"))
+    m = MD.fit_model(li, "classification", "clf_gaussian_nb").model
+    theta, sigma, pi = m.theta.toArray(), m.sigma.toArray(), m.pi.toArray()
+    rows = [(float(c), j, float(theta[c, j]), float(sigma[c, j]), math.exp(float(pi[c])))
+            for c in range(theta.shape[0]) for j in range(theta.shape[1])]
+    return spark.createDataFrame(rows, "label double, feature int, mean double, variance double, "
+                                       "prior double")
+
+
+EMB_SPLIT = """(SELECT vec_id, embedding::DOUBLE[] AS v, label,
+  row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id)
+    <= ceil((SELECT count(*) FROM embeddings) * 0.2) AS is_test FROM embeddings)"""
+
+
+@plan("clf_knn_votes", sql=f"""
+WITH s AS {EMB_SPLIT},
+nb AS (SELECT * FROM (
+  SELECT a.vec_id, b.label AS nl, row_number() OVER (PARTITION BY a.vec_id
+         ORDER BY list_distance(a.v, b.v), b.vec_id) AS rk
+  FROM s a JOIN s b ON a.is_test AND NOT b.is_test) WHERE rk <= 5),
+votes AS (SELECT vec_id, nl, count(*) AS n FROM nb GROUP BY vec_id, nl)
+SELECT vec_id, cast(arg_max(nl, n * 1000 - nl) as double) AS prediction FROM votes GROUP BY vec_id""")
+def q_clf_knn_votes(spark, d):
+    from autotab.operators import split as S
+    e = X.table(spark, d, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("features"),
+        F.col("label").cast("double").alias("label"))
+    sp = S.split_random(e, ["vec_id"], 0.2, 42)
+    train = sp.filter(F.col("split") == "train").drop("split")
+    test = sp.filter(F.col("split") == "test").drop("split")
+    m = MD.fit_model(train, "classification", "clf_knn", {"k": 5, "ids": ["vec_id"]})
+    return MD.score(m, test, ["vec_id"]).select("vec_id", "prediction")
