@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autotab.operators.neighbours import as_array, knn_join
-from autotab.operators.ranking import exact_quantiles, global_rank
+from autotab.operators.ranking import column_quantiles, global_rank
 from autotab.operators.split import hash_key
 from autotab.session import cut_lineage
 
@@ -23,9 +23,7 @@ def flag_anomalies(scored: DataFrame, id_col: str, contamination: float = 0.1,
                    score: str = "anomaly_score") -> DataFrame:
     """is_anomaly = 1 where the score exceeds its (1 - contamination)
     quantile (linear interpolation), else 0."""
-    q = exact_quantiles(scored.select(F.lit("s").alias("_g"), F.col(score).alias("_v"), id_col),
-                        "_g", "_v", [1.0 - contamination], [id_col]).first()
-    thr = q["value"] if q else None
+    thr = column_quantiles(scored, [score], [1.0 - contamination])[score].get(1.0 - contamination)
     return scored.withColumn("is_anomaly", (F.col(score) > F.lit(thr)).cast("int"))
 
 

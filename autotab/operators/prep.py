@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from autotab.operators.profile import (categorical_columns, is_missing, numeric_columns,
                                        role_of)
-from autotab.operators.ranking import exact_quantiles
+from autotab.operators.ranking import column_quantiles
 
 MAX_CLASSES = 10_000          # label table is broadcast; bounded by this check
 HIGH_CARDINALITY = 50
@@ -118,17 +118,9 @@ def decode_label(df: DataFrame, classes: DataFrame, code: str = "prediction",
 
 # --------------------------------------------------------- fitted stats
 def column_medians(df: DataFrame, cols: list[str], key: list[str] | None = None) -> dict:
-    if not cols:
-        return {}
-    long_df = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"),
-                 F.when(~is_missing(df, c), F.col(c).cast("double")).alias("value"))
-        for c in cols])).alias("kv"), *(key or [])).select("kv.*", *(key or []))
-    if not key:
-        long_df = long_df.withColumn("_tb", F.monotonically_increasing_id())
-        key = ["_tb"]
-    med = exact_quantiles(long_df, "column_name", "value", [0.5], key)
-    return {r.column_name: r.value for r in med.collect()}
+    """Exact median per numeric column (NaN and null ignored)."""
+    qv = column_quantiles(df, cols, [0.5])
+    return {c: qv[c].get(0.5) for c in cols}
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> dict:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from autotab.operators.ranking import exact_quantiles
+from autotab.operators.ranking import column_quantiles
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -103,9 +103,8 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None,
     """count, mean, sample std, min, 25/50/75 %, max per numeric column.
 
     Moments come from one aggregate; quantiles are exact (linear
-    interpolation) from the two-pass bounded search in ``exact_quantiles``.
-    ``key`` is a unique row key used as sort tiebreak (defaults to all
-    columns of the projection).
+    interpolation) from the two-pass bounded search in ``column_quantiles``
+    (no sort, no row key needed; ``key`` is accepted and unused).
     """
     cols = numeric_columns(df, cols)
     moments = df.agg(*[F.struct(
@@ -114,14 +113,11 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None,
         for c in cols])
     moments = moments.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`.*")) for c in cols])))
-    key = key or []
-    long_df = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-        for c in cols])).alias("kv")).select("kv.*")
-    qs = exact_quantiles(long_df, "column_name", "value", list(DESCRIBE_QS))
-    wide_q = qs.groupBy("column_name").pivot("q", list(DESCRIBE_QS)).agg(F.first("value"))
-    wide_q = wide_q.select("column_name", *[F.col(f"`{q}`").alias(n) for q, n in
-                                            zip(DESCRIBE_QS, ("p25", "p50", "p75"))])
+    qv = column_quantiles(df, cols, list(DESCRIBE_QS))
+    spark = df.sparkSession
+    wide_q = spark.createDataFrame(
+        [(c, *[qv.get(c, {}).get(q) for q in DESCRIBE_QS]) for c in cols],
+        "column_name string, p25 double, p50 double, p75 double")
     return moments.join(wide_q, "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 

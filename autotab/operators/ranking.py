@@ -151,6 +151,93 @@ def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, qs: list
     return spark.createDataFrame(out, f"{group_col} {gtype}, q double, value double")
 
 
+def column_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
+    """Exact linear-interpolated quantiles of several columns of one table:
+    {column: {q: value}}.
+
+    Pass 2 unpivots to (column, value) groups so its expressions stay small
+    whatever the number of columns:
+
+    1. per column (one aggregate on the wide table): count and
+       ``percentile_approx`` at q -+ 2/acc (rank error at most n/acc, so the
+       exact order statistics lie between the bounds);
+    2. per column (unpivoted, grouped): counts of values below / equal to each bound and the
+       sorted values strictly between them (about 6 n/acc per q). Bounds
+       are a broadcast table (one row per column). A value repeated in
+       a third of all rows only shows up in the equality counts.
+    """
+    if not cols:
+        return {}
+    long_df = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("g"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols]))
+        .alias("kv")).select("kv.*").filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    # pass 1 on the wide table: one sketch per column in a single aggregate
+    val = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    ok = {c: val[c].isNotNull() & ~F.isnan(val[c]) for c in cols}
+    n_rows = df.count()
+    acc = _accuracy(n_rows)
+    delta = 2.0 / acc
+    probes = sorted({min(1.0, max(0.0, q + s * delta)) for q in qs for s in (-1, 1)})
+    wide = df.agg(*[F.struct(F.count_if(ok[c]).alias("n"),
+                             F.percentile_approx(F.when(ok[c], val[c]), probes, acc).alias("p"))
+                    .alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    counts = {c: wide[f"c{i}"]["n"] for i, c in enumerate(cols) if wide[f"c{i}"]["n"]}
+    approx = {c: dict(zip(probes, wide[f"c{i}"]["p"])) for i, c in enumerate(cols) if c in counts}
+    bounds = {c: [b for q in qs for b in (float(approx[c][min(1.0, max(0.0, q - delta))]),
+                                          float(approx[c][min(1.0, max(0.0, q + delta))]))]
+              for c in approx}
+    out: dict = {c: {} for c in cols}
+    if not bounds:
+        return out
+    nb = 2 * len(qs)
+    btab = long_df.sparkSession.createDataFrame(
+        [(c, *b) for c, b in bounds.items()],
+        "g string, " + ", ".join(f"b{j} double" for j in range(nb)))
+    x = F.col("x")
+    aggs = []
+    for t in range(len(qs)):
+        lo, hi = F.col(f"b{2 * t}"), F.col(f"b{2 * t + 1}")
+        aggs += [F.count_if(x < lo).alias(f"lt{t}"), F.count_if(x == lo).alias(f"el{t}"),
+                 F.count_if(x == hi).alias(f"eh{t}"),
+                 F.sort_array(F.collect_list(F.when((x > lo) & (x < hi), x))).alias(f"m{t}")]
+    # bounds: one row per column, broadcast
+    second = {r["g"]: r for r in long_df.join(F.broadcast(btab), "g").groupBy("g").agg(*aggs).collect()}
+    missing = set()
+    for c, r2 in second.items():
+        n = counts[c]
+        for t, q in enumerate(qs):
+            lo, hi = bounds[c][2 * t], bounds[c][2 * t + 1]
+            r = {"lt": r2[f"lt{t}"], "eq_lo": r2[f"el{t}"], "eq_hi": r2[f"eh{t}"], "mid": r2[f"m{t}"],
+                 "pl": lo, "ph": hi}
+            pos = q * (n - 1)
+            lo_k, hi_k = int(pos // 1) + 1, int(-(-pos // 1)) + 1
+            a, bb = _kth(r, lo_k), _kth(r, hi_k)
+            if a is None or bb is None:
+                missing.add(c)
+                continue
+            out[c][q] = a + (pos - (lo_k - 1)) * (bb - a)
+    if missing:
+        sub = long_df.filter(F.col("g").isin(sorted(missing)))
+        for r in _sorted_quantiles(sub.select(F.col("g").alias("_g"), F.col("x").alias("_v")),
+                                   qs, None).collect():
+            out[r["_g"]][r["q"]] = r["value"]
+    return out
+
+
+def _kth(r, k):
+    """k-th smallest (1-based) from bound counts and the between-bound list."""
+    lt, eq_lo, mid, eq_hi = r["lt"], r["eq_lo"], r["mid"], r["eq_hi"]
+    if k <= lt:
+        return None
+    if k <= lt + eq_lo:
+        return r["pl"]
+    if k <= lt + eq_lo + len(mid):
+        return mid[k - lt - eq_lo - 1]
+    if r["pl"] != r["ph"] and k <= lt + eq_lo + len(mid) + eq_hi:
+        return r["ph"]
+    return None
+
+
 def _sorted_quantiles(base: DataFrame, qs: list[float], tiebreak: list[str] | None) -> DataFrame:
     """Fallback: quantiles from the full distributed rank (sort-based)."""
     tiebreak = list(tiebreak or [])
