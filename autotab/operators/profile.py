@@ -125,27 +125,27 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None,
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation, pairwise-complete rows, long form (f1, f2, i, j, corr).
 
-    All pairs in one aggregate. Constant columns give null (no division by a
-    zero deviation under ANSI mode).
+    Each row is unpivoted into its column pairs (i <= j) with both values
+    present, then one grouped aggregate (covar_pop, stddev_pop) per pair:
+    small expressions, map-side partial aggregation, one shuffle of one row
+    per pair and task. Constant columns give null (no division by a zero
+    deviation under ANSI mode).
     """
     cols = numeric_columns(df, cols)
-    aggs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            x = F.when(both, F.col(a).cast("double"))
-            y = F.when(both, F.col(b).cast("double"))
-            aggs.append(F.struct(
-                F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.lit(i).alias("i"), F.lit(j).alias("j"),
-                F.covar_pop(x, y).alias("cov"), F.stddev_pop(x).alias("sx"),
-                F.stddev_pop(y).alias("sy")).alias(f"p{i}_{j}"))
-    pairs = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"p{i}_{j}") for i, a in enumerate(cols)
-                                                    for j, b in enumerate(cols) if j >= i])))
-    corr = F.when((F.col("sx") > 0) & (F.col("sy") > 0),
-                  F.col("cov") / (F.col("sx") * F.col("sy")))
-    upper = pairs.select("f1", "f2", "i", "j", corr.alias("corr"))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    ex = (df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                 F.col(f"`{cols[i]}`").cast("double").alias("x"),
+                 F.col(f"`{cols[j]}`").cast("double").alias("y")) for i, j in pairs])).alias("p"))
+        .select("p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    stats = ex.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"),
+                                     F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    names = F.array(*[F.lit(c) for c in cols])
+    corr = F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("cov") / (F.col("sx") * F.col("sy")))
+    upper = stats.select(F.element_at(names, F.col("i") + 1).alias("f1"),
+                         F.element_at(names, F.col("j") + 1).alias("f2"),
+                         F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
+                         corr.alias("corr"))
     lower = upper.filter(F.col("i") != F.col("j")).select(
         F.col("f2").alias("f1"), F.col("f1").alias("f2"), F.col("j").alias("i"),
         F.col("i").alias("j"), "corr")
