@@ -177,20 +177,29 @@ def cv_summary(scores: DataFrame, by: list[str], score: str = "score") -> DataFr
 
 def evaluate(scored: DataFrame, task: str, label: str = "label", pred: str = "prediction",
              prob: str | None = "probability") -> DataFrame:
-    """One tidy (metric, value) table for the task."""
-    def long(df):
-        return df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-            for c in df.columns])))
-    if task == "regression":
-        return long(metric_regression(scored, label, pred))
-    out = long(metric_accuracy(scored, label, pred)).unionByName(
-        long(metric_prf_weighted(scored, label, pred)))
-    if prob and prob in scored.columns:
-        k = len(scored.select(prob).first()[0] or [])
-        if k == 2:
-            bin_scored = scored.select(F.col(label), F.element_at(F.col(prob), 2).alias("_s"))
-            out = out.unionByName(long(roc_auc_binary(bin_scored, label, "_s")))
-        elif k > 2:
-            out = out.unionByName(long(roc_auc_ovr(scored, label, prob)))
-    return out
+    """One tidy (metric, value) table for the task.
+
+    The scored rows are kept in executor storage while the few metric jobs
+    run, and the metrics (a handful of numbers) come back as a small table,
+    so the model and its inputs are evaluated once, not once per metric.
+    """
+    spark = scored.sparkSession
+    data = scored.persist()
+    try:
+        if task == "regression":
+            r = metric_regression(data, label, pred).first().asDict()
+        else:
+            r = metric_accuracy(data, label, pred).first().asDict()
+            r.update(metric_prf_weighted(data, label, pred).first().asDict())
+            if prob and prob in data.columns:
+                first = data.select(F.size(prob)).first()
+                k = first[0] if first else 0
+                if k == 2:
+                    bin_scored = data.select(F.col(label), F.element_at(F.col(prob), 2).alias("_s"))
+                    r.update(roc_auc_binary(bin_scored, label, "_s").first().asDict())
+                elif k and k > 2:
+                    r.update(roc_auc_ovr(data, label, prob).first().asDict())
+    finally:
+        data.unpersist()
+    return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in r.items()],
+                                 "metric string, value double")

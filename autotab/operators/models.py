@@ -161,7 +161,23 @@ def _n_classes(df: DataFrame, label: str = "label") -> int:
 def fit_model(df: DataFrame, task: str, name: str, params: dict | None = None,
               weights: bool = False, label: str = "label", features: str = "features"):
     """Fit one of the named models on (features, label). ``weights`` turns on
-    balanced class weights for the estimators that accept them."""
+    balanced class weights for the estimators that accept them.
+
+    The training rows are kept in executor storage while the fit's jobs run
+    (row count, class counts, optimiser passes) so the upstream plan runs
+    once; k-NN keeps them, since its model is the training table.
+    """
+    owned = not df.is_cached
+    data = df.persist() if owned else df
+    try:
+        return _fit(data, task, name, params, weights, label, features)
+    finally:
+        if owned and name != "clf_knn":
+            data.unpersist()
+
+
+def _fit(df: DataFrame, task: str, name: str, params: dict | None, weights: bool, label: str,
+         features: str):
     params = dict(params or {})
     wcol = None
     if weights and task == "classification" and name in (

@@ -19,31 +19,31 @@ def lineitem_binary(spark, d):
     """lineitem -> stratified split on big_order -> preparation fitted on train."""
     li = X.lineitem(spark, d).select("row_id", "l_quantity", "l_discount", "l_tax",
                                      "l_returnflag", "l_linestatus", "big_order")
-    sp = S.split_stratified(li, "big_order", ["row_id"], 0.2, 42)
+    sp = S.split_stratified(li, "big_order", ["row_id"], 0.2, 42).persist()
     train = sp.filter(F.col("split") == "train").drop("split")
     test = sp.filter(F.col("split") == "test").drop("split")
     prepared, model, rep = R.prepare(train, "big_order", ids=["row_id"], task="classification")
-    return prepared, model.transform(test), rep
+    return prepared.persist(), model.transform(test), rep
 
 
 def part_band(spark, d):
     """part -> 3-class band target from p_size (non-linear), split on band."""
     p = X.part(spark, d).select("p_partkey", "p_size", "p_retailprice", "p_type", "band")
     p = p.withColumn("row_id", F.col("p_partkey").cast("string"))
-    sp = S.split_stratified(p, "band", ["row_id"], 0.2, 42)
+    sp = S.split_stratified(p, "band", ["row_id"], 0.2, 42).persist()
     train = sp.filter(F.col("split") == "train").drop("split", "p_partkey")
     test = sp.filter(F.col("split") == "test").drop("split", "p_partkey")
     prepared, model, rep = R.prepare(train, "band", ids=["row_id"], task="classification")
-    return prepared, model.transform(test), rep
+    return prepared.persist(), model.transform(test), rep
 
 
 def lineitem_regression(spark, d):
     li = X.lineitem(spark, d).select("row_id", "l_quantity", "l_discount", "l_linestatus", "y_lin")
-    sp = S.split_random(li, ["row_id"], 0.2, 42)
+    sp = S.split_random(li, ["row_id"], 0.2, 42).persist()
     train = sp.filter(F.col("split") == "train").drop("split")
     test = sp.filter(F.col("split") == "test").drop("split")
     prepared, model, rep = R.prepare(train, "y_lin", ids=["row_id"], task="regression")
-    return prepared, model.transform(test), rep
+    return prepared.persist(), model.transform(test), rep
 
 
 def _clf_plan(name, data=lineitem_binary, params=None):
