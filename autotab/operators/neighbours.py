@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_ROWS = 4096
+MERGE_FANOUT = 64
 _CHUNK_CELLS = 4_000_000  # query-chunk x block x dim doubles per numpy step
 
 
@@ -93,11 +94,12 @@ def knn_join(query: DataFrame, ref: DataFrame, k: int, id_col: str = "row_id",
     ``exclude_self`` drops the pair with equal ids (self-join use).
     """
     id_type = query.schema[id_col].dataType.simpleString()
-    schema = f"_qid {id_type}, _nid {id_type}, dist double"
+    schema = f"_qid {id_type}, _nid {id_type}, dist double, _blk int"
 
     def top(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(rdf) == 0:
-            return pd.DataFrame({"_qid": [], "_nid": [], "dist": []})
+            return pd.DataFrame({"_qid": [], "_nid": [], "dist": [], "_blk": []})
+        blk = int(qdf["_rb"].iloc[0])
         X, Y = _stack(qdf["_x"]), _stack(rdf["_x"])
         rid = rdf["_id"].to_numpy()
         rid_order = np.argsort(np.argsort(rid, kind="stable"), kind="stable").astype(np.float64)
@@ -114,11 +116,20 @@ def knn_join(query: DataFrame, ref: DataFrame, k: int, id_col: str = "row_id",
                 out_q.extend([qid[sl][i]] * int(ok.sum()))
                 out_n.extend(rid[order[i][ok]])
                 out_d.extend(dsel[i][ok])
-        return pd.DataFrame({"_qid": out_q, "_nid": out_n, "dist": out_d})
+        return pd.DataFrame({"_qid": out_q, "_nid": out_n, "dist": out_d,
+                             "_blk": np.full(len(out_q), blk, dtype=np.int32)})
 
     cand = blocked(_prepare_side(query, id_col, features), _prepare_side(ref, id_col, features),
                    top, schema, block_rows)
-    w = Window.partitionBy("_qid").orderBy("dist", "_nid")   # k x blocks rows per key
+    # Merge the per-block candidates in a tree: each window sees at most
+    # k x MERGE_FANOUT rows, however many reference blocks there are.
+    n_blocks = max(1, math.ceil(ref.count() / block_rows))
+    while n_blocks > MERGE_FANOUT:
+        w = Window.partitionBy("_qid", (F.col("_blk") / MERGE_FANOUT).cast("int")).orderBy("dist", "_nid")
+        cand = (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+                .withColumn("_blk", (F.col("_blk") / MERGE_FANOUT).cast("int")).drop("_r"))
+        n_blocks = math.ceil(n_blocks / MERGE_FANOUT)
+    w = Window.partitionBy("_qid").orderBy("dist", "_nid")   # <= k x MERGE_FANOUT rows per key
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("_qid").alias(id_col), F.col("_nid").alias("neighbor"),
                     F.col("rank").cast("int").alias("rank"), "dist"))

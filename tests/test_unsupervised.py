@@ -166,3 +166,16 @@ def test_spectral_separates_blobs(spark):
         groups.setdefault(i % 3, set()).add(lab[i])
     assert all(len(g) == 1 for g in groups.values())
     assert len(set(lab.values())) == 3
+
+
+def test_knn_tree_merge_many_blocks(spark, monkeypatch):
+    df, X = _points(spark, 150)
+    monkeypatch.setattr(N, "MERGE_FANOUT", 2)
+    got = {(r.row_id, r.rank): r.neighbor for r in
+           N.knn_join(df, df, 3, "row_id", exclude_self=True, block_rows=10).collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    for i in range(len(X)):
+        order = np.lexsort((np.arange(len(X)), D[i]))[:3]
+        for rk, j in enumerate(order, start=1):
+            assert got[(i, rk)] == j
