@@ -42,7 +42,9 @@ def _with_rank(df: DataFrame, ids: list[str], seed: int, group: list[str] | None
     keyed = df.withColumn("_h", hash_key(ids, seed)).withColumn(
         "_b", F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), 32 - bits)
         if bits else F.lit(0).cast("long"))
-    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    # one row per (group, bucket): kept in storage so the size check and the
+    # broadcast below do not recount the table
+    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c")).persist()
     w = (Window.partitionBy(*group).orderBy("_b") if group else Window.orderBy("_b")) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
