@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from autotab.operators.ranking import column_quantiles
+from autotab.operators.ranking import column_quantiles_with
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -107,19 +107,20 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None,
     (no sort, no row key needed; ``key`` is accepted and unused).
     """
     cols = numeric_columns(df, cols)
-    moments = df.agg(*[F.struct(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-        F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(c)
-        for c in cols])
-    moments = moments.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`.*")) for c in cols])))
-    qv = column_quantiles(df, cols, list(DESCRIBE_QS))
     spark = df.sparkSession
-    wide_q = spark.createDataFrame(
-        [(c, *[qv.get(c, {}).get(q) for q in DESCRIBE_QS]) for c in cols],
-        "column_name string, p25 double, p50 double, p75 double")
-    return moments.join(wide_q, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    moments = [F.struct(
+        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+        F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(f"m_{i}")
+        for i, c in enumerate(cols)]
+    # moments ride along in the quantile sketch scan
+    qv, row = column_quantiles_with(df, cols, list(DESCRIBE_QS), moments)
+    rows = []
+    for i, c in enumerate(cols):
+        m = row[f"m_{i}"]
+        rows.append((c, m["count"], m["mean"], m["std"], m["min"],
+                     *[qv.get(c, {}).get(q) for q in DESCRIBE_QS], m["max"]))
+    return spark.createDataFrame(rows, "column_name string, count long, mean double, std double, "
+                                       "min double, p25 double, p50 double, p75 double, max double")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -153,7 +153,14 @@ def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, qs: list
 
 def column_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
     """Exact linear-interpolated quantiles of several columns of one table:
-    {column: {q: value}}.
+    {column: {q: value}}. See :func:`column_quantiles_with`."""
+    return column_quantiles_with(df, cols, qs)[0]
+
+
+def column_quantiles_with(df: DataFrame, cols: list[str], qs: list[float],
+                          extra: list[Column] | None = None):
+    """Quantiles as in :func:`column_quantiles`, plus ``extra`` aggregates
+    evaluated in the same first scan; returns (quantiles, extra row).
 
     Pass 2 unpivots to (column, value) groups so its expressions stay small
     whatever the number of columns:
@@ -167,7 +174,7 @@ def column_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
        a third of all rows only shows up in the equality counts.
     """
     if not cols:
-        return {}
+        return {}, (df.agg(*extra).first() if extra else None)
     long_df = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("g"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols]))
         .alias("kv")).select("kv.*").filter(F.col("x").isNotNull() & ~F.isnan("x"))
@@ -178,9 +185,11 @@ def column_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
     acc = _accuracy(n_rows)
     delta = 2.0 / acc
     probes = sorted({min(1.0, max(0.0, q + s * delta)) for q in qs for s in (-1, 1)})
+    extra = list(extra or [])
     wide = df.agg(*[F.struct(F.count_if(ok[c]).alias("n"),
                              F.percentile_approx(F.when(ok[c], val[c]), probes, acc).alias("p"))
-                    .alias(f"c{i}") for i, c in enumerate(cols)]).first()
+                    .alias(f"c{i}") for i, c in enumerate(cols)], *extra).first()
+    extra_row = wide if extra else None
     counts = {c: wide[f"c{i}"]["n"] for i, c in enumerate(cols) if wide[f"c{i}"]["n"]}
     approx = {c: dict(zip(probes, wide[f"c{i}"]["p"])) for i, c in enumerate(cols) if c in counts}
     bounds = {c: [b for q in qs for b in (float(approx[c][min(1.0, max(0.0, q - delta))]),
@@ -188,7 +197,7 @@ def column_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
               for c in approx}
     out: dict = {c: {} for c in cols}
     if not bounds:
-        return out
+        return out, extra_row
     nb = 2 * len(qs)
     btab = long_df.sparkSession.createDataFrame(
         [(c, *b) for c, b in bounds.items()],
@@ -221,7 +230,7 @@ def column_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
         for r in _sorted_quantiles(sub.select(F.col("g").alias("_g"), F.col("x").alias("_v")),
                                    qs, None).collect():
             out[r["_g"]][r["q"]] = r["value"]
-    return out
+    return out, extra_row
 
 
 def _kth(r, k):
