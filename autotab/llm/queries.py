@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from autotab.llm import packing
+from autotab.llm import packing, secret_scan, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +17,83 @@ def _byte_bpe() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
+def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into 24 shards of row counts at most one apart."""
+    return shards.shard_rows(_table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; owner: the source, repository: the source and language."""
+    return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH src AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner,
+         concat_ws('/', source, lang) AS repository FROM documents),
+found AS (
+  SELECT rid, text, ord, least FROM src, (VALUES (0, 8), (1, 16), (2, 32), (3, 20)) AS k(ord, least)),
+lists AS (
+  SELECT rid, ord, least, CASE ord
+      WHEN 0 THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 0)
+      WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0)
+      WHEN 2 THEN regexp_extract_all(text, '[0-9a-f]{32,}', 0)
+      ELSE regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0) END AS hit,
+    CASE ord
+      WHEN 0 THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1)
+      WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0)
+      WHEN 2 THEN regexp_extract_all(text, '[0-9a-f]{32,}', 0)
+      ELSE regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0) END AS val,
+    CASE ord
+      WHEN 0 THEN string_split_regex(text, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)')
+      WHEN 1 THEN string_split_regex(text, 'AKIA[A-Z0-9]+')
+      WHEN 2 THEN string_split_regex(text, '[0-9a-f]{32,}')
+      ELSE string_split_regex(text, '[A-Za-z0-9+/_-]{20,}') END AS gap
+  FROM found),
+each AS (
+  SELECT rid, ord, least, unnest(range(1, len(hit) + 1)) AS i, hit, val, gap FROM lists WHERE len(hit) > 0),
+spans AS (
+  SELECT rid, ord, val[i] AS value,
+    coalesce(list_sum([length(g) for g in gap[1:i]]), 0) + coalesce(list_sum([length(h) for h in hit[1:i-1]]), 0) AS s,
+    coalesce(list_sum([length(g) for g in gap[1:i]]), 0) + coalesce(list_sum([length(h) for h in hit[1:i]]), 0) AS e
+  FROM each WHERE length(val[i]) >= least),
+wanted AS (
+  SELECT * FROM spans WHERE ord < 3
+  UNION ALL
+  SELECT t.* FROM spans t WHERE ord = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]')
+    AND regexp_matches(value, '[A-Z]') AND len(list_distinct(string_split(value, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.rid = t.rid AND b.ord < 3 AND b.s < t.e AND t.s < b.e)),
+held AS (
+  SELECT value, count(DISTINCT owner) AS owners FROM wanted JOIN src USING (rid) GROUP BY value),
+rated AS (
+  SELECT w.*, owners, ['assign', 'access', 'hex', 'token'][ord + 1] || ':' || s || ':' || e AS name
+  FROM wanted w JOIN held USING (value) WHERE ord < 3 OR owners = 1),
+rows AS (
+  SELECT rid, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access,
+    count(*) FILTER (ord = 2) AS n_hex, string_agg(name, ',' ORDER BY s, ord) FILTER (ord < 3) AS base,
+    string_agg(name, ',' ORDER BY s, ord) AS spans, count(*) FILTER (ord = 3) AS n_token,
+    count(*) FILTER (owners = 1) AS n_owner_specific, count(*) FILTER (owners >= 3) AS n_copied
+  FROM rated GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_token, 0) AS n_token,
+  coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_copied, 0) AS n_copied
+FROM src LEFT JOIN rows USING (rid)
+"""
+
+
 def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into windows of 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), *_byte_bpe(), window=1024)
 
 
 QUERIES = {f.__name__: f for f in (
+    op8_hypergeometric_shards,
+    op9_secret_scan,
     op10_bestfit_packing,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_secret_scan": OP9_SQL,
+}
