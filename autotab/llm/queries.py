@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autotab.llm import packing, secret_scan, shards
+from autotab.llm import packing, secret_scan, shards, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def _byte_bpe() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of all documents with the smallest doc_id reachable over links of 2 bits."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled into 24 shards of row counts at most one apart."""
     return shards.shard_rows(_table(spark, sf_dir, "documents"), shards=24).select(
@@ -89,6 +96,7 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op2_simhash_dedup,
     op8_hypergeometric_shards,
     op9_secret_scan,
     op10_bestfit_packing,
