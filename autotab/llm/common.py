@@ -77,3 +77,22 @@ def chunks(texts: list[str], limit: int = 4_000_000):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` between consecutive offsets; 0 where empty."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), values.dtype)
+    full = offsets[1:] > offsets[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, offsets[:-1][full], axis=0)
+    return out
+
+
+def bounded_sample(df: DataFrame, group: str, key: Column, per_group: int) -> DataFrame:
+    """About ``per_group`` rows of every group, chosen by a hash of ``key``: all rows
+    of a smaller group.  Reads one count per group."""
+    share = F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    wanted = F.lit(False)
+    for row in df.groupBy(group).count().collect():
+        wanted = wanted | ((F.col(group) == F.lit(row[0])) & (share < per_group / row["count"]))
+    return df.filter(wanted)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autotab.llm import packing, secret_scan, shards, simhash
+from autotab.llm import langid, packing, secret_scan, shards, simhash, toxicity
+from autotab.llm.common import fold_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,22 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; labels of fold 0 of 5 are held out."""
+    docs = _table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, _table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 5) != 0)
+    return toxicity.predict(docs, net).select(
+        "doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; fold 2 of 4 is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, fold_of(F.col("doc_id"), 4) != 2).select(
+        "doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled into 24 shards of row counts at most one apart."""
     return shards.shard_rows(_table(spark, sf_dir, "documents"), shards=24).select(
@@ -97,6 +114,8 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op2_simhash_dedup,
+    op3_toxicity_cnn,
+    op7_language_ecoc,
     op8_hypergeometric_shards,
     op9_secret_scan,
     op10_bestfit_packing,
