@@ -10,18 +10,45 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from autotab.llm import langid, packing, secret_scan, simhash, toxicity
 from autotab.llm import queries as q
-from autotab.llm import packing
+from autotab.llm.common import fold_of
 from autotab.session import ensure_checkpoint_dir
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents without a recognisable language go."""
+    model = langid.train(docs, fold_of(docs["doc_id"], 4) != 2)
+    return langid.keep_known(docs, model)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents scored toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = toxicity.train(docs, labels, fold_of(labels["doc_id"], 5) != 0)
+    return toxicity.keep_clean(docs, net)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: one document of each group of near copies stays."""
+    return simhash.deduplicate(docs, shingle=3, radius=2)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: every reported span is replaced by a mark; n_chars follows."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 10: tokens of every document in windows of 1024."""
+    """Operator 10: tokens of every document in windows of 1024."""
     return packing.pack(docs, *q._byte_bpe(), window=1024)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language", language), ("toxicity", toxic), ("simhash_dedup", dedup),
+          ("secrets", secrets), ("packing", pack)]
 
 #: Trained classifiers and near-duplicate components have no SQL form.
 ORACLE_SQL = None
