@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autotab.llm import langid, packing, secret_scan, shards, simhash, toxicity
+from autotab.llm import langid, order_minhash, packing, secret_scan, shards, simhash, toxicity
 from autotab.llm.common import fold_of
 
 
@@ -34,6 +34,11 @@ def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of all documents and of their edited texts."""
+    return order_minhash.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; fold 2 of 4 is held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -115,6 +120,7 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op2_simhash_dedup,
     op3_toxicity_cnn,
+    op4_order_minhash,
     op7_language_ecoc,
     op8_hypergeometric_shards,
     op9_secret_scan,
