@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autotab.llm import langid, order_minhash, packing, secret_scan, shards, simhash, toxicity
+from autotab.llm import langid, order_minhash, packing, secret_scan, shards, simhash, token_counts, toxicity
 from autotab.llm.common import fold_of
 
 
@@ -39,6 +39,16 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
+def _piece_model() -> str:
+    import public_tokenizers as P
+    return P.path("piece_bpe_32k.model")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _piece_model())
+
+
 def op7_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; fold 2 of 4 is held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -121,6 +131,7 @@ QUERIES = {f.__name__: f for f in (
     op2_simhash_dedup,
     op3_toxicity_cnn,
     op4_order_minhash,
+    op5_token_counts,
     op7_language_ecoc,
     op8_hypergeometric_shards,
     op9_secret_scan,
