@@ -62,8 +62,7 @@ def word_table(groups: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     flat = list(chain.from_iterable(groups))
     table = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    ids = np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))
-    return list(table), ids, offsets
+    return list(table), np.fromiter(map(table.__getitem__, flat), np.int64, len(flat)), offsets
 
 
 def chunks(texts: list[str], limit: int = 4_000_000):

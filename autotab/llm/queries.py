@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autotab.llm import langid, order_minhash, packing, secret_scan, shards, simhash, token_counts, toxicity
+from autotab.llm import langid, order_minhash, packing, secret_scan, shards, simhash, sp_sample, token_counts, toxicity
 from autotab.llm.common import fold_of
 
 
@@ -18,6 +18,16 @@ def _byte_bpe() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
+def _piece_model() -> str:
+    import public_tokenizers as P
+    return P.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document, without replacement."""
+    return sp_sample.sample(_table(spark, sf_dir, "documents"), _piece_model(), k=2, keep_ids=False)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of all documents with the smallest doc_id reachable over links of 2 bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
@@ -39,11 +49,6 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
-def _piece_model() -> str:
-    import public_tokenizers as P
-    return P.path("piece_bpe_32k.model")
-
-
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all documents."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _piece_model())
@@ -128,6 +133,7 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece_topk,
     op2_simhash_dedup,
     op3_toxicity_cnn,
     op4_order_minhash,

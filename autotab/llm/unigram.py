@@ -7,8 +7,9 @@ below the worst piece and becomes its bytes.
 
 No piece holds a blank mark after another character, so a normalised text falls
 apart at its blanks into segments whose lattices are independent.  The lattices
-of many distinct segments are built together: one Aho-Corasick pass enumerates
-all matches, and programs over them run level by level for all segments at once.
+of many distinct segments are built together: an Aho-Corasick automaton over
+UTF-8 bytes (the blank mark is one byte) steps through all segments at once and
+its output lists give all matches; programs over them run level by level.
 """
 
 from __future__ import annotations
@@ -16,17 +17,82 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 
 UNITS = 64
 MARK = "▁"
+_MARK_BYTES = MARK.encode()
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LOADED: dict = {}
 SLICE = 1_000_000
 
 
+def as_bytes(text: str) -> bytes:
+    """UTF-8 with the blank mark as the single byte FF."""
+    return text.encode("utf-8", "surrogatepass").replace(_MARK_BYTES, b"\xff")
+
+
+class Automaton:
+    """Aho-Corasick over bytes as a full transition table.
+
+    ``table`` [states, 256] holds the next state; ``outputs`` lists the patterns
+    that end in a state, longest first, from ``first[state]`` on, ``count`` of them.
+    """
+
+    def __init__(self, patterns: dict[int, bytes]):
+        nodes: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for key, pattern in patterns.items():
+            at = 0
+            for b in pattern:
+                at = nodes.setdefault((at, b), len(nodes) + 1)
+            ends[at] = key
+        n = len(nodes) + 1
+        parent, byte = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for (p, b), child in nodes.items():
+            parent[child], byte[child] = p, b
+        depth = np.zeros(n, np.int64)
+        for child in range(1, n):    # a parent is numbered before its children
+            depth[child] = depth[parent[child]] + 1
+        by_depth = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 2)]
+        self.table = np.zeros((n, 256), np.int32)
+        fail = np.zeros(n, np.int64)
+        for d, level in enumerate(by_depth[:-1]):
+            if d > 1:
+                fail[level] = self.table[fail[parent[level]], byte[level]]
+            if d:
+                self.table[level] = self.table[fail[level]]
+            below = by_depth[d + 1]
+            self.table[parent[below], byte[below]] = below
+        found: list[list[int]] = [[] for _ in range(n)]
+        for level in by_depth:
+            for s in level:
+                found[s] = ([ends[s]] if s in ends else []) + (found[fail[s]] if s else [])
+        self.count = np.array([len(f) for f in found], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.outputs = np.array([k for f in found for k in f], np.int64)
+        self.length = np.zeros(max(patterns) + 1, np.int64)
+        for key, pattern in patterns.items():
+            self.length[key] = len(pattern)
+
+    def matches(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end position, pattern) of all matches inside the runs text[begin:begin + size],
+        by end position, longest first."""
+        order = np.argsort(-size, kind="stable")
+        at, left = begin[order], -size[order]
+        state = np.zeros(len(text) + 1, np.int32)
+        now = np.zeros(len(at), np.int32)
+        for step in range(-int(left[0]) if len(left) else 0):
+            live = int(np.searchsorted(left, -step, side="left"))
+            here = at[:live] + step
+            now = self.table[now[:live], text[here]]
+            state[here + 1] = now
+        many = self.count[state]
+        end = np.repeat(np.arange(len(state)), many)
+        return end, self.outputs[np.arange(len(end)) + np.repeat(self.first[state] - np.cumsum(many) + many, many)]
+
+
 class Vocabulary:
     """Pieces and scores of one file; ``scores`` are in units by piece id."""
 
@@ -39,7 +105,7 @@ class Vocabulary:
         normal = [i for i in range(n) if not (self.model.is_control(i) or self.model.is_unknown(i)
                                               or self.model.is_byte(i) or self.model.is_unused(i))]
         split = [p for i in normal for p in [self.pieces[i]] if MARK in p.lstrip(MARK)]
-        if split or any("\0" in self.pieces[i] for i in normal):
+        if split:
             raise ValueError(f"pieces that cross a blank cannot be used: {split[:3]}")
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in range(n) if self.model.is_byte(i)}
         total = math.log(sum(1 / (r + 1) for r in range(len(normal))))
@@ -47,23 +113,26 @@ class Vocabulary:
         for rank, i in enumerate(normal):
             self.scores[i] = -round(UNITS * (math.log(rank + 1) + total))
         self.unknown = int(min(self.scores[i] for i in normal)) - 10 * UNITS
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.finder = ahocorasick.Automaton()
-        for i in normal:
-            self.finder.add_word(self.pieces[i], i)
-        self.finder.make_automaton()
-        self.surface = [p.replace(MARK, " ").encode() for p in self.pieces]
-        for b, i in self.bytes.items():
-            self.surface[i] = bytes([b])
+        if MARK not in (self.pieces[i] for i in normal):
+            raise ValueError("the blank mark must be a piece")
+        self.finder = Automaton({i: as_bytes(self.pieces[i]) for i in normal})
         self.byte_ids = np.array([self.bytes.get(b, 0) for b in range(256)], np.int64)
+        surface = [p.replace(MARK, " ").encode() for p in self.pieces]
+        for b, i in self.bytes.items():
+            surface[i] = bytes([b])
+        self.surface = np.frombuffer(b"".join(surface), np.uint8)
+        self.surface_size = np.array([len(x) for x in surface], np.int64)
+        self.surface_at = np.cumsum(self.surface_size) - self.surface_size
 
     def segments(self, text: str) -> list[str]:
         """Segments of the normalised text."""
         return _SEGMENT.findall(self.model.normalize(text))
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of piece ids: the pieces' surfaces without the leading blank."""
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+        size = self.surface_size[ids]
+        at = np.repeat(self.surface_at[ids] - np.cumsum(size) + size, size)
+        text = self.surface[at + np.arange(len(at))].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -75,11 +144,11 @@ def load(path: str) -> Vocabulary:
 
 @dataclass
 class Lattice:
-    """Edges of the lattices of several segments laid end to end with one spare
-    position between them; sorted by end position, longest first.
+    """Edges of the lattices of several segments laid end to end, in byte positions,
+    with one spare position between them; sorted by end position, longest first.
 
-    ``piece`` is -1 for an unknown character, ``width`` its number of bytes and
-    ``at`` the offset of its bytes in ``raw`` (1 and 0 for a piece).
+    ``piece`` is -1 for an unknown character, ``width`` its number of bytes (1 for
+    a piece); ``raw`` holds the bytes.
     """
 
     begin: np.ndarray    # [segments] first position
@@ -89,7 +158,6 @@ class Lattice:
     score: np.ndarray
     piece: np.ndarray
     width: np.ndarray
-    at: np.ndarray
     raw: np.ndarray
 
     @property
@@ -97,30 +165,29 @@ class Lattice:
         return int(self.finish[-1]) + 2 if len(self.finish) else 1
 
 
+#: Bytes of a character by its first byte (FF is the blank mark; 0 inside a character).
+_WIDTH = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 8 + [0] * 7 + [1], np.int64)
+
+
 def lattice(vocabulary: Vocabulary, segments: list[str]) -> Lattice:
-    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    text = "\0".join(segments)
-    found = np.fromiter(chain.from_iterable(vocabulary.finder.iter(text)), np.int64).reshape(-1, 2)
-    end, piece = found[:, 0] + 1, found[:, 1]
-    length = vocabulary.lengths[piece]
-    single = np.zeros(len(text) + 1, bool)
-    single[end[length == 1] - 1] = True
-    single[begin + sizes] = True    # the spare positions
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    bare = np.flatnonzero(~single[:len(codes)])
-    width = 1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF).astype(np.int64) + (codes[bare] > 0xFFFF)
-    raw = np.frombuffer(codes[bare].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-                        .encode("utf-8", "surrogatepass"), np.uint8)
-    n = len(bare)
-    target = np.concatenate([end, bare + 1])
+    # a lone surrogate, which no text from UTF-8 holds, becomes the spare byte FE
+    joined = np.frombuffer(as_bytes("\udc80".join(segments)).replace(b"\xed\xb2\x80", b"\xfe"), np.uint8)
+    finish = np.append(np.flatnonzero(joined == 0xFE), len(joined))
+    begin = np.concatenate([[0], finish[:-1] + 1])
+    end, piece = vocabulary.finder.matches(joined, begin, finish - begin)
+    length = vocabulary.finder.length[piece]
+    size = _WIDTH[joined]
+    bare = size > 0
+    bare[(end - length)[length == size[end - length]]] = False
+    bare = np.flatnonzero(bare)
+    width = size[bare]
+    target = np.concatenate([end, bare + width])
     order = np.argsort(target, kind="stable")
     return Lattice(
-        begin, begin + sizes, np.concatenate([end - length, bare])[order], target[order],
-        np.concatenate([vocabulary.scores[piece], np.full(n, vocabulary.unknown)])[order],
-        np.concatenate([piece, np.full(n, -1)])[order],
-        np.concatenate([np.ones(len(piece), np.int64), width])[order],
-        np.concatenate([np.zeros(len(piece), np.int64), np.cumsum(width) - width])[order], raw)
+        begin, finish, np.concatenate([end - length, bare])[order], target[order],
+        np.concatenate([vocabulary.scores[piece], np.full(len(bare), vocabulary.unknown)])[order],
+        np.concatenate([piece, np.full(len(bare), -1)])[order],
+        np.concatenate([np.ones(len(piece), np.int64), width])[order], joined)
 
 
 def levels(depth: np.ndarray):
