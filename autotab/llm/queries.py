@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autotab.llm import langid, order_minhash, packing, secret_scan, shards, simhash, sp_sample, token_counts, toxicity
+from autotab.llm import langid, mtree, order_minhash, packing, secret_scan, shards, simhash, sp_sample, token_counts, toxicity
 from autotab.llm.common import fold_of
 
 
@@ -54,6 +54,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _piece_model())
 
 
+def op6_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every 50th vector."""
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, scale=256.0, k=5)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) AS r
+WHERE rank <= 5
+"""
+
+
 def op7_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; fold 2 of 4 is held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -138,6 +156,7 @@ QUERIES = {f.__name__: f for f in (
     op3_toxicity_cnn,
     op4_order_minhash,
     op5_token_counts,
+    op6_mtree_topk,
     op7_language_ecoc,
     op8_hypergeometric_shards,
     op9_secret_scan,
@@ -145,5 +164,6 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES: dict[str, str] = {
+    "op6_mtree_topk": OP6_SQL,
     "op9_secret_scan": OP9_SQL,
 }
