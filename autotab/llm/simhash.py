@@ -204,13 +204,13 @@ def classes(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(fp, rows, component_id): per distinct fingerprint its number of rows and the
     smallest id reachable."""
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
-    stars_ = components(links(nodes.select("fp"), radius))
-    linked = stars_.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = (rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = components(links(nodes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    members = stored(linked.union(linked.select(F.col("root").alias("fp"), "root").distinct()).join(nodes, "fp"))
+    lowest = (members.groupBy("root").agg(F.min("first").alias("component_id"))
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    return (rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-            .join(lowest, ["root", "salt"]).select("fp", "rows", "component_id"))
+    joined = (members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+              .join(lowest, ["root", "salt"]).select("fp", "component_id"))
+    return nodes.join(joined, "fp", "left").select("fp", "rows", F.coalesce("component_id", "first").alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
