@@ -13,7 +13,9 @@ keys, and the group's start offset (one row per group) is subtracted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from autotab.session import cut_lineage
@@ -24,10 +26,15 @@ _POS_BITS = 33  # monotonically_increasing_id keeps the row position in the low
 MAX_BROADCAST_GROUPS = 1_000_000
 
 
+ROWS_PER_RANGE = 500_000
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions: as many as the session shuffles into, more when the rows ask for it."""
     if num_partitions:
         return int(num_partitions)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+               math.ceil(df.count() / ROWS_PER_RANGE))
 
 
 def global_rank(df: DataFrame, order: list[str | Column], tiebreak: list[str],
@@ -70,85 +77,7 @@ def global_rank(df: DataFrame, order: list[str | Column], tiebreak: list[str],
     return ranked.drop("_rk_pid", "_rk_pos")
 
 
-def _accuracy(n: int) -> int:
-    """percentile_approx accuracy: rank error n/acc keeps the exact-pass
-    candidate lists near 50k values, within [1e4, 1e6]."""
-    return int(min(1_000_000, max(10_000, n // 50_000)))
-
-
-def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, qs: list[float],
-                    tiebreak: list[str] | None = None) -> DataFrame:
-    """Linear-interpolated quantiles per group (``quantile_cont`` semantics).
-
-    Two aggregate passes, no global sort:
-
-    1. per group, the row count and ``percentile_approx`` at q -+ 2/acc
-       (rank error at most n/acc, so the exact order statistics lie
-       between those two bounds);
-    2. per (group, q), the counts of values below / equal to the bounds and
-       the sorted list of values strictly between them (about 6 n/acc
-       values -- bounded, and a value repeated in a third of all rows only
-       shows up in the equality counts).
-
-    The driver then reads off the two order statistics around each position.
-    If a bound ever misses (it cannot with the documented error), that group
-    falls back to the distributed sort-based rank.
-    """
-    base = long_df.filter(F.col(value_col).isNotNull()).select(
-        F.col(group_col).alias("_g"), F.col(value_col).cast("double").alias("_v"), *(tiebreak or []))
-    spark = long_df.sparkSession
-    n_all = base.count()
-    acc = _accuracy(n_all)
-    delta = 2.0 / acc
-    probes = sorted({min(1.0, max(0.0, q + s * delta)) for q in qs for s in (-1, 1)})
-    first = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"),
-                                   F.percentile_approx("_v", probes, acc).alias("p")).collect()
-    rows = []
-    for r in first:
-        probe = dict(zip(probes, r["p"]))
-        for q in qs:
-            lo = probe[min(1.0, max(0.0, q - delta))]
-            hi = probe[min(1.0, max(0.0, q + delta))]
-            rows.append((r["_g"], float(q), int(r["n"]), float(lo), float(hi)))
-    if not rows:
-        return spark.createDataFrame([], f"{group_col} string, q double, value double")
-    gtype = long_df.schema[group_col].dataType.simpleString()
-    bounds = spark.createDataFrame(rows, f"_g {gtype}, q double, n long, pl double, ph double")
-    v, pl, ph = F.col("_v"), F.col("pl"), F.col("ph")
-    cand = (base.join(F.broadcast(bounds), "_g")
-            .groupBy("_g", "q", "n", "pl", "ph")
-            .agg(F.count_if(v < pl).alias("lt"), F.count_if(v == pl).alias("eq_lo"),
-                 F.count_if(v == ph).alias("eq_hi"),
-                 F.sort_array(F.collect_list(F.when((v > pl) & (v < ph), v))).alias("mid"))
-            .collect())
-    out, missed = [], set()
-
-    def kth(r, k):  # k is 1-based
-        lt, eq_lo, mid, eq_hi = r["lt"], r["eq_lo"], r["mid"], r["eq_hi"]
-        if k <= lt:
-            return None
-        if k <= lt + eq_lo:
-            return r["pl"]
-        if k <= lt + eq_lo + len(mid):
-            return mid[k - lt - eq_lo - 1]
-        if r["pl"] != r["ph"] and k <= lt + eq_lo + len(mid) + eq_hi:
-            return r["ph"]
-        return None
-
-    for r in cand:
-        n = r["n"]
-        pos = r["q"] * (n - 1)
-        lo_k, hi_k = int(pos // 1) + 1, int(-(-pos // 1)) + 1
-        a, b = kth(r, lo_k), kth(r, hi_k)
-        if a is None or b is None:
-            missed.add(r["_g"])
-            continue
-        out.append((r["_g"], r["q"], a + (pos - (lo_k - 1)) * (b - a)))
-    if missed:
-        out = [o for o in out if o[0] not in missed]
-        exact = _sorted_quantiles(base.filter(F.col("_g").isin(list(missed))), qs, tiebreak)
-        out += [(r["_g"], r["q"], r["value"]) for r in exact.collect()]
-    return spark.createDataFrame(out, f"{group_col} {gtype}, q double, value double")
+BUCKETS = 2048
 
 
 def column_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
@@ -162,114 +91,75 @@ def column_quantiles_with(df: DataFrame, cols: list[str], qs: list[float],
     """Quantiles as in :func:`column_quantiles`, plus ``extra`` aggregates
     evaluated in the same first scan; returns (quantiles, extra row).
 
-    Pass 2 unpivots to (column, value) groups so its expressions stay small
-    whatever the number of columns:
-
-    1. per column (one aggregate on the wide table): count and
-       ``percentile_approx`` at q -+ 2/acc (rank error at most n/acc, so the
-       exact order statistics lie between the bounds);
-    2. per column (unpivoted, grouped): counts of values below / equal to each bound and the
-       sorted values strictly between them (about 6 n/acc per q). Bounds
-       are a broadcast table (one row per column). A value repeated in
-       a third of all rows only shows up in the equality counts.
+    Selection by counting: the first scan gives count, min and max per column.
+    Each further scan cuts the range that holds a wanted order statistic into
+    ``BUCKETS`` buckets and keeps only counts, minima and maxima per bucket
+    (map-side combined, so a value held by a third of all rows is one
+    count). The bucket that holds the statistic becomes the next range; a
+    statistic at a bucket's edge, or in a bucket of one value, is found. Only
+    the found buckets (one row per column and quantile) reach the driver.
     """
     if not cols:
         return {}, (df.agg(*extra).first() if extra else None)
-    long_df = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("g"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols]))
-        .alias("kv")).select("kv.*").filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    # pass 1 on the wide table: one sketch per column in a single aggregate
     val = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    ok = {c: val[c].isNotNull() & ~F.isnan(val[c]) for c in cols}
-    n_rows = df.count()
-    acc = _accuracy(n_rows)
-    delta = 2.0 / acc
-    probes = sorted({min(1.0, max(0.0, q + s * delta)) for q in qs for s in (-1, 1)})
+    ok = {c: F.when(val[c].isNotNull() & ~F.isnan(val[c]), val[c]) for c in cols}
     extra = list(extra or [])
-    wide = df.agg(*[F.struct(F.count_if(ok[c]).alias("n"),
-                             F.percentile_approx(F.when(ok[c], val[c]), probes, acc).alias("p"))
+    wide = df.agg(*[F.struct(F.count(ok[c]).alias("n"), F.min(ok[c]).alias("lo"), F.max(ok[c]).alias("hi"))
                     .alias(f"c{i}") for i, c in enumerate(cols)], *extra).first()
-    extra_row = wide if extra else None
-    counts = {c: wide[f"c{i}"]["n"] for i, c in enumerate(cols) if wide[f"c{i}"]["n"]}
-    approx = {c: dict(zip(probes, wide[f"c{i}"]["p"])) for i, c in enumerate(cols) if c in counts}
-    bounds = {c: [b for q in qs for b in (float(approx[c][min(1.0, max(0.0, q - delta))]),
-                                          float(approx[c][min(1.0, max(0.0, q + delta))]))]
-              for c in approx}
-    out: dict = {c: {} for c in cols}
-    if not bounds:
-        return out, extra_row
-    nb = 2 * len(qs)
-    btab = long_df.sparkSession.createDataFrame(
-        [(c, *b) for c, b in bounds.items()],
-        "g string, " + ", ".join(f"b{j} double" for j in range(nb)))
-    x = F.col("x")
-    aggs = []
-    for t in range(len(qs)):
-        lo, hi = F.col(f"b{2 * t}"), F.col(f"b{2 * t + 1}")
-        aggs += [F.count_if(x < lo).alias(f"lt{t}"), F.count_if(x == lo).alias(f"el{t}"),
-                 F.count_if(x == hi).alias(f"eh{t}"),
-                 F.sort_array(F.collect_list(F.when((x > lo) & (x < hi), x))).alias(f"m{t}")]
-    # bounds: one row per column, broadcast
-    second = {r["g"]: r for r in long_df.join(F.broadcast(btab), "g").groupBy("g").agg(*aggs).collect()}
-    missing = set()
-    for c, r2 in second.items():
-        n = counts[c]
-        for t, q in enumerate(qs):
-            lo, hi = bounds[c][2 * t], bounds[c][2 * t + 1]
-            r = {"lt": r2[f"lt{t}"], "eq_lo": r2[f"el{t}"], "eq_hi": r2[f"eh{t}"], "mid": r2[f"m{t}"],
-                 "pl": lo, "ph": hi}
+    found: dict = {}        # (column, rank) -> value
+    pending: dict = {}      # (column, rank) -> (low, high, rows below low)
+    wanted = {}
+    for i, c in enumerate(cols):
+        n, lo, hi = wide[f"c{i}"]
+        for q in qs if n else ():
             pos = q * (n - 1)
-            lo_k, hi_k = int(pos // 1) + 1, int(-(-pos // 1)) + 1
-            a, bb = _kth(r, lo_k), _kth(r, hi_k)
-            if a is None or bb is None:
-                missing.add(c)
-                continue
-            out[c][q] = a + (pos - (lo_k - 1)) * (bb - a)
-    if missing:
-        sub = long_df.filter(F.col("g").isin(sorted(missing)))
-        for r in _sorted_quantiles(sub.select(F.col("g").alias("_g"), F.col("x").alias("_v")),
-                                   qs, None).collect():
-            out[r["_g"]][r["q"]] = r["value"]
-    return out, extra_row
-
-
-def _kth(r, k):
-    """k-th smallest (1-based) from bound counts and the between-bound list."""
-    lt, eq_lo, mid, eq_hi = r["lt"], r["eq_lo"], r["mid"], r["eq_hi"]
-    if k <= lt:
-        return None
-    if k <= lt + eq_lo:
-        return r["pl"]
-    if k <= lt + eq_lo + len(mid):
-        return mid[k - lt - eq_lo - 1]
-    if r["pl"] != r["ph"] and k <= lt + eq_lo + len(mid) + eq_hi:
-        return r["ph"]
-    return None
-
-
-def _sorted_quantiles(base: DataFrame, qs: list[float], tiebreak: list[str] | None) -> DataFrame:
-    """Fallback: quantiles from the full distributed rank (sort-based)."""
-    tiebreak = list(tiebreak or [])
-    if not tiebreak:
-        base = base.withColumn("_tb", F.monotonically_increasing_id())
-        tiebreak = ["_tb"]
-    sizes = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    q_tab = F.array(*[F.lit(float(q)) for q in qs])
-    wanted = (sizes.select("_g", "_n", F.explode(q_tab).alias("q"))
-              .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
-              .withColumn("_lo", F.floor("_pos").cast("long") + 1)
-              .withColumn("_hi", F.ceil("_pos").cast("long") + 1)
-              .withColumn("_frac", F.col("_pos") - F.floor("_pos")))
-    ranked = global_rank(base.select("_g", "_v", *tiebreak), ["_v"], tiebreak, group_cols=["_g"],
-                         rank_col="_r")
-    needed = (wanted.select("_g", F.col("_lo").alias("_r"))
-              .union(wanted.select("_g", F.col("_hi").alias("_r"))).distinct())
-    picked = ranked.join(F.broadcast(needed), ["_g", "_r"], "left_semi").select("_g", "_r", "_v")
-    lo = picked.select("_g", F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = picked.select("_g", F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    return (wanted.join(lo, ["_g", "_lo"]).join(hi, ["_g", "_hi"])
-            .select("_g", "q", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))
-                    .alias("value")))
+            wanted[c, q] = (pos, math.floor(pos) + 1, math.ceil(pos) + 1)
+            for k in wanted[c, q][1:]:
+                _settle(found, pending, (c, k), lo, hi, 0, n)
+    while pending:
+        pending = _narrow(df, ok, pending, found)
+    out: dict = {c: {} for c in cols}
+    for (c, q), (pos, lo_k, hi_k) in wanted.items():
+        a, b = found[c, lo_k], found[c, hi_k]
+        out[c][q] = a + (pos - (lo_k - 1)) * (b - a)
+    return out, (wide if extra else None)
+
+
+def _settle(found: dict, pending: dict, key: tuple, lo: float, hi: float, below: int, n: int) -> None:
+    """Record the order statistic ``key`` = (column, rank), known to lie among ``n`` values in
+    [lo, hi] with ``below`` values under them, as found or pending."""
+    if lo == hi or key[1] == below + 1:
+        found[key] = lo
+    elif key[1] == below + n:
+        found[key] = hi
+    else:
+        pending[key] = (lo, hi, below)
+
+
+def _narrow(df: DataFrame, ok: dict, pending: dict, found: dict) -> dict:
+    """One counting scan over the pending ranges."""
+    spark = df.sparkSession
+    ranges = sorted({(c, *r) for (c, _), r in pending.items()})
+    number = {r: i for i, r in enumerate(ranges)}
+    names = sorted({r[0] for r in ranges})
+    table = spark.createDataFrame([(i, names.index(c), lo, hi, below) for (c, lo, hi, below), i in number.items()],
+                                  "range int, col int, lo double, hi double, below long")
+    ranks = spark.createDataFrame([(number[(c, *r)], k) for (c, k), r in pending.items()], "range int, rank long")
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("col"), ok[c].alias("x")) for i, c in enumerate(names)])).alias("v")).select("v.*")
+    # halves keep the width of the widest double ranges finite
+    at = ((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS)
+    hist = (values.join(F.broadcast(table), "col")      # one row per column and quantile
+            .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+            .groupBy("range", "below", F.least(F.floor(at), F.lit(BUCKETS - 1)).alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")))
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("bucket"))    # BUCKETS rows at most
+    hits = (hist.withColumn("end", F.col("below") + upto).join(F.broadcast(ranks), "range")
+            .filter((F.col("rank") <= F.col("end")) & (F.col("rank") > F.col("end") - F.col("n"))))
+    left: dict = {}
+    for r in hits.collect():
+        _settle(found, left, (ranges[r["range"]][0], r["rank"]), r["mn"], r["mx"], r["end"] - r["n"], r["n"])
+    return left
 
 
 def global_cumsum(df: DataFrame, order: list[str | Column], weights: list[str],

@@ -1,9 +1,9 @@
-"""SparkSession construction and the lineage-cutting helper."""
+"""SparkSession construction and stored intermediate results."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,20 +13,23 @@ def get_spark(master: str | None = None, app: str = "autotab",
               driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every job here assumes.
 
-    AQE is on so shuffle partitions are coalesced and skewed joins split at
-    runtime; ANSI mode stays on (Spark 4 default), so divisions go through
-    ``try_divide``/``nullif`` in the operators.
+    Master, shuffle partitions and driver memory are set only when given;
+    otherwise those of spark-submit or the cluster hold. AQE is on so shuffle
+    partitions are coalesced and skewed joins split at runtime; ANSI mode stays
+    on (Spark 4 default), so divisions go through ``try_divide``/``nullif``.
     """
-    master = master or os.environ.get("AUTOTAB_MASTER", "local[*]")
-    b = (SparkSession.builder.master(master).appName(app)
+    b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8)))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if master:
+        b = b.master(master)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory:
         b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
@@ -39,7 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when nothing is configured (local tests) a scratch folder is set.
+    is. Only a local session without one gets a scratch folder; elsewhere its
+    absence is an error, since executors could not see a local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,14 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="autotab-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-_SEQ = [0]
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table under the checkpoint directory.
 
@@ -63,10 +66,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     iterative job would otherwise grow its plan every round. One write job;
     the files sit in the shared folder named by the session, so a lost
     executor cannot take them along (unlike cached or local blocks).
+    :func:`release` deletes them when nothing reads them any more.
     """
-    import uuid
-    base = ensure_checkpoint_dir(df.sparkSession)
-    _SEQ[0] += 1
-    path = f"{base.rstrip('/')}/autotab-{uuid.uuid4().hex}-{_SEQ[0]}"
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/autotab-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind results of :func:`cut_lineage`; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_stored_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            df._stored_path = None
