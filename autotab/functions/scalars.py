@@ -33,8 +33,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: A number as text: no type suffixes (Spark's cast would take "3d" or "0.3f").
+NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def _num(s: Column) -> Column:
-    return s.try_cast("double")
+    return F.when(s.rlike(NUMBER_TEXT), s.try_cast("double"))
 
 
 def parse_estimate(text) -> Column:

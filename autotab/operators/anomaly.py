@@ -5,6 +5,7 @@ above the (1 - contamination) quantile of the score (exact, distributed)."""
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autotab.operators.neighbours import as_array, knn_join
-from autotab.operators.ranking import column_quantiles, global_rank
-from autotab.operators.split import hash_key
-from autotab.session import cut_lineage
+from autotab.operators.ranking import column_quantiles
+from autotab.operators.sums import moments
+from autotab.session import cut_lineage, release
 
 SEED = 42
 
@@ -33,10 +34,14 @@ def anomaly_summary(flagged: DataFrame) -> DataFrame:
                        (F.avg("is_anomaly") * 100).alias("anomaly_pct"))
 
 
-def attach_anomalies(raw: DataFrame, flagged: DataFrame, id_col: str, n: int = 20) -> DataFrame:
-    """Raw rows of the flagged anomalies with their score, highest first
-    (the report shows the first ``n``)."""
-    return (raw.join(flagged.filter(F.col("is_anomaly") == 1), id_col)
+def attach_anomalies(raw: DataFrame, flagged: DataFrame, id_col: str) -> DataFrame:
+    """Every raw row with its score and flag."""
+    return raw.join(flagged.select(id_col, "anomaly_score", "is_anomaly"), id_col)
+
+
+def top_anomalies(attached: DataFrame, id_col: str, n: int = 20) -> DataFrame:
+    """The first ``n`` flagged rows, highest score first (the report's table)."""
+    return (attached.filter(F.col("is_anomaly") == 1)
             .orderBy(F.col("anomaly_score").desc(), id_col).limit(n))
 
 
@@ -70,19 +75,21 @@ def _c(n: float) -> float:
 def anomaly_isolation_forest(df: DataFrame, id_col: str = "row_id", contamination: float = 0.1,
                              n_trees: int = 100, sample: int = 256, features: str = "features",
                              seed: int = SEED) -> DataFrame:
-    """Isolation forest (Liu et al. 2008). Each tree's 256 training rows are
-    the smallest hashes of (seed, tree, id) inside a repeatable candidate
-    pool of ``2 * n_trees * sample`` rows (bounded, independent of table
-    size); one grouped ``applyInPandas`` grows one tree per group on the
-    executors. The forest (at most n_trees * (2 * sample - 1) nodes) is
-    shipped to every task and rows are scored by path length in Arrow
-    batches."""
+    """Isolation forest (Liu et al. 2008). Each tree's ``sample`` training rows
+    are the smallest hashes of (seed, tree, id) over the whole table: one pass
+    keeps the rows whose hash for a tree lies under a bound that more than
+    ``sample`` rows pass, and one grouped ``applyInPandas`` takes the smallest
+    and grows that tree on the executors. The forest (at most n_trees *
+    (2 * sample - 1) nodes) is shipped to every task and rows are scored by
+    path length in Arrow batches."""
     data = df.select(id_col, as_array(df, features).alias("_a"))
-    pool = (data.withColumn("_h", hash_key([id_col], seed)).orderBy("_h", id_col)
-            .limit(2 * n_trees * sample).drop("_h"))
-    per_tree = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-                .withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"),
-                                                    F.col(id_col).cast("string")))))
+    n = data.count()
+    share = min(1.0, (sample + 8.0 * math.sqrt(sample) + 8.0) / max(n, 1))
+    bound = F.lit(int(share * (1 << 62)))
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col(id_col)), 2).alias("_h")))
+    per_tree = (data.select(id_col, "_a", F.explode(F.filter(hashed, lambda x: x["_h"] < bound)).alias("t"))
+                .select(id_col, "_a", "t.tree", "t._h"))
     limit = int(math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,8 +125,8 @@ def anomaly_isolation_forest(df: DataFrame, id_col: str = "row_id", contaminatio
         grow, "tree int, feat array<int>, thr array<double>, left array<int>, right array<int>, "
               "size array<long>").collect()
     forest = [(np.asarray(r.feat), np.asarray(r.thr), np.asarray(r.left), np.asarray(r.right),
-               np.asarray(r.size)) for r in trees]
-    c_sample = _c(sample)
+               np.array([_c(v) for v in r.size])) for r in trees]
+    c_sample = _c(min(sample, n)) or 1.0
     id_type = df.schema[id_col].dataType.simpleString()
 
     def path_len(batches):
@@ -139,7 +146,7 @@ def anomaly_isolation_forest(df: DataFrame, id_col: str = "row_id", contaminatio
                     node[active] = nxt
                     depth[active] += 1
                     active = feat[node] >= 0
-                total += depth + np.array([_c(s) for s in size[node]])
+                total += depth + size[node]
             mean = total / max(len(forest), 1)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
                                 "anomaly_score": np.power(2.0, -mean / c_sample)})
@@ -149,39 +156,22 @@ def anomaly_isolation_forest(df: DataFrame, id_col: str = "row_id", contaminatio
 
 
 # ------------------------------------------------------ elliptic envelope
-def _partial_moments(df: DataFrame, arr: str, d: int, where=None):
-    def part(batches):
-        n, s, xx = 0, np.zeros(d), np.zeros((d, d))
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack(pdf[arr].to_numpy())
-            n += len(X)
-            s += X.sum(axis=0)
-            xx += X.T @ X
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "xx": [xx.ravel().tolist()]})
-    src = df if where is None else df.filter(where)
-    rows = src.select(arr).mapInPandas(part, "n long, s array<double>, xx array<double>").collect()
-    n = sum(r.n for r in rows)
-    s = np.sum([np.asarray(r.s) for r in rows], axis=0)
-    xx = np.sum([np.asarray(r.xx) for r in rows], axis=0).reshape(d, d)
-    mu = s / n
-    return n, mu, xx / n - np.outer(mu, mu)
-
-
 def anomaly_elliptic(df: DataFrame, id_col: str = "row_id", contamination: float = 0.1,
-                     features: str = "features", max_steps: int = 10) -> DataFrame:
-    """Robust covariance by MCD C-steps: Mahalanobis distances under the
-    current (mean, cov) -> keep the h = (n + d + 1) / 2 closest rows (exact
-    h-th distance from the distributed rank) -> re-estimate, until the
-    determinant stops falling. Score = squared robust distance."""
+                     features: str = "features", starts: int = 4, start_rows: int = 500, tol: float = 1e-6,
+                     max_steps: int = 50, seed: int = SEED) -> DataFrame:
+    """Robust covariance by the minimum covariance determinant (FastMCD): from the mean
+    and covariance of all rows and of ``starts`` hash-chosen subsets, C-steps keep the
+    h = (n + d + 1) / 2 rows closest in Mahalanobis distance (exact h-th distance by
+    selection) and re-estimate, until the determinant stops falling; every start gets two
+    steps, the best one goes on to the end. The covariance is scaled so that the median distance is
+    the chi-square median. Score = squared robust distance."""
     data = cut_lineage(df.select(id_col, as_array(df, features).alias("_a")))
     d = len(data.select("_a").first()[0])
-    n, mu, cov = _partial_moments(data, "_a", d)
+    n, mu, cov = moments(data, "_a", d)
     h = (n + d + 1) // 2
     id_type = df.schema[id_col].dataType.simpleString()
 
-    def distances(mu, cov):
+    def distances(mu, cov, keep=False):
         inv = np.linalg.pinv(cov)
 
         def fn(batches):
@@ -189,25 +179,46 @@ def anomaly_elliptic(df: DataFrame, id_col: str = "row_id", contamination: float
                 if len(pdf) == 0:
                     continue
                 X = np.vstack(pdf["_a"].to_numpy()) - mu
-                yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
-                                    "_a": pdf["_a"],
+                out = pd.DataFrame({id_col: pdf[id_col].to_numpy(),
                                     "anomaly_score": np.einsum("ij,jk,ik->i", X, inv, X)})
-        return data.mapInPandas(fn, f"{id_col} {id_type}, _a array<double>, anomaly_score double")
-
-    best_det = np.inf
+                if keep:
+                    out["_a"] = pdf["_a"]
+                yield out
+        extra = ", _a array<double>" if keep else ""
+        return data.mapInPandas(fn, f"{id_col} {id_type}, anomaly_score double{extra}")
+
+    def step(mu, cov):
+        dist = cut_lineage(distances(mu, cov, keep=True))
+        at = (h - 1) / max(n - 1, 1)
+        thr = column_quantiles(dist, ["anomaly_score"], [at])["anomaly_score"][at]
+        _, mu, cov = moments(dist, "_a", d, F.col("anomaly_score") <= thr * (1 + 1e-12))
+        release(dist)
+        return mu, cov, float(np.linalg.slogdet(cov)[1])
+
+    tried = []
+    for s in range(starts + 1):
+        if s:
+            share = F.pmod(F.xxhash64(F.lit(seed + s), F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
+            m, mu, cov = moments(data, "_a", d, share < min(1.0, max(start_rows, 10 * d) / max(n, 1)))
+            if m <= d:
+                continue
+        for _ in range(2):
+            mu, cov, det = step(mu, cov)
+        tried.append((det, len(tried), mu, cov))
+    det, _, mu, cov = min(tried, key=lambda t: t[:2])
     for _ in range(max_steps):
-        dist = cut_lineage(distances(mu, cov))
-        kth = (global_rank(dist.select(id_col, "anomaly_score"), ["anomaly_score"], [id_col],
-                           rank_col="_r").filter(F.col("_r") == h).first())
-        thr = kth["anomaly_score"]
-        _, mu_new, cov_new = _partial_moments(dist, "_a", d, F.col("anomaly_score") <= thr)
-        det = np.linalg.det(cov_new)
-        mu, cov = mu_new, cov_new
-        if det >= best_det * (1 - 1e-9):
+        new_mu, new_cov, new_det = step(mu, cov)
+        if new_det >= det - tol * max(1.0, abs(det)):
             break
-        best_det = det
-    scored = cut_lineage(distances(mu, cov).select(id_col, "anomaly_score"))
-    return flag_anomalies(scored, id_col, contamination)
+        mu, cov, det = new_mu, new_cov, new_det
+    else:
+        warnings.warn(f"anomaly_elliptic stopped at its limit of {max_steps} steps", stacklevel=2)
+    scored = cut_lineage(distances(mu, cov))
+    median = column_quantiles(scored, ["anomaly_score"], [0.5])["anomaly_score"][0.5]
+    # Wilson and Hilferty's approximation of the chi-square median
+    factor = median / (d * (1 - 2 / (9 * d)) ** 3) if median else 1.0
+    release(data)
+    return flag_anomalies(scored.withColumn("anomaly_score", F.col("anomaly_score") / factor), id_col, contamination)
 
 
 # ---------------------------------------------------------- one-class SVM

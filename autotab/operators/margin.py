@@ -1,55 +1,51 @@
-"""``linear_margin``: a full-batch subgradient solver for linear models on
-(random Fourier) features. Each step is one ``mapInPandas`` pass that
-returns a partial gradient per partition (a d-vector), summed on the
-driver; the weights (length d) go back to the tasks in the next step's
-closure. Used by ``reg_svr`` (epsilon-insensitive loss) and
-``anomaly_one_class`` (one-class hinge)."""
+"""Linear margin models on (random Fourier) features: ``linear_margin`` minimises
+hinge losses by majorisation; epsilon-insensitive regression (``fit_svr``) and the
+one-class SVM are two uses of it. Every step is one pass whose sums are added up on the
+executors; the weights (length d) go back to the tasks in the next step's
+closure. Steps end by a tolerance; reaching the limit warns."""
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autotab.session import cut_lineage
+from autotab.operators.sums import array_sums, stacked
+from autotab.session import cut_lineage, release
+
 
+def linear_margin(data: DataFrame, x: str, hinges, ridge: np.ndarray, weight: float, linear: np.ndarray,
+                  start: np.ndarray, constant: float = 1.0, y: str | None = None, steps: int = 60,
+                  tol: float = 1e-3) -> np.ndarray:
+    """Minimise 1/2 w'Rw + linear'w + weight * sum of max(0, s * w.z + o) over rows and hinges.
 
-def linear_margin(data: DataFrame, x: str, loss_grad, d: int, steps: int = 100,
-                  lr: float = 0.5, reg: float = 1e-3, extra: int = 1, y: str | None = None):
-    """Minimise reg/2 |w|^2 + mean(loss(x.w + b, y)) by subgradient steps
-    with step lr / sqrt(t). ``loss_grad(margin, y, params)`` returns
-    d loss / d margin per row and the gradient for the ``extra`` scalar
-    parameters (bias / offset). Returns (w, params)."""
-    w = np.zeros(d)
-    params = np.zeros(extra)
+    z is the row's ``x`` followed by ``constant``; ``hinges(y)`` gives the (s, o) of each hinge;
+    R is the diagonal ``ridge``. Each step replaces max(0, u) by its quadratic majorant
+    u/2 + u^2/(4c) + c/4 at c = |u| of the last step and solves the normal equations, so the
+    objective never rises."""
+    d, w = len(ridge), np.asarray(start, float)
     cols = [x] + ([y] if y else [])
-    for t in range(1, steps + 1):
-        wb, pb = w.copy(), params.copy()
-
-        def part(batches, wb=wb, pb=pb):
-            n, g, gp = 0, np.zeros(d), np.zeros(extra)
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                X = np.vstack(pdf[x].to_numpy())
-                yy = pdf[y].to_numpy() if y else None
-                m = X @ wb
-                dm, dp = loss_grad(m, yy, pb)
-                g += X.T @ dm
-                gp += dp
-                n += len(X)
-            yield pd.DataFrame({"n": [n], "g": [g.tolist()], "gp": [gp.tolist()]})
-
-        rows = data.select(*cols).mapInPandas(part, "n long, g array<double>, gp array<double>").collect()
-        n = sum(r.n for r in rows)
-        g = np.sum([np.asarray(r.g) for r in rows], axis=0) / n + reg * w
-        gp = np.sum([np.asarray(r.gp) for r in rows], axis=0) / n
-        eta = lr / np.sqrt(t)
-        w = w - eta * g
-        params = params - eta * gp
-    return w, params
+    for _ in range(steps):
+        def part(pdf, w=w):
+            Z = np.hstack([stacked(pdf[x]), np.full((len(pdf), 1), constant)])
+            m, h, g = Z @ w, np.zeros((d, d)), np.zeros(d)
+            for s, o in hinges(pdf[y].to_numpy() if y else None):
+                c = np.maximum(np.abs(s * m + o), 1e-4)
+                h += (Z / (2 * c)[:, None]).T @ Z
+                g += Z.T @ (s / 2 + s * o / (2 * c))
+            return {"h": h, "g": g}
+
+        t = array_sums(data, cols, part, {"h": (d, d), "g": (d,)})
+        new = np.linalg.solve(np.diag(ridge) + weight * t["h"], -(weight * t["g"] + linear))
+        moved = np.linalg.norm(new - w)
+        w = new
+        if moved <= tol * max(np.linalg.norm(w), 1e-12):
+            return w
+    warnings.warn(f"linear_margin stopped at its limit of {steps} steps", stacklevel=2)
+    return w
 
 
 class LinearScore:
@@ -60,30 +56,27 @@ class LinearScore:
 
     def transform(self, df: DataFrame) -> DataFrame:
         z = self.projector(df)
-        a = vector_to_array("rff")
-        expr = sum((a[i] * float(self.w[i]) for i in range(1, len(self.w))),
-                   a[0] * float(self.w[0])) + float(self.b)
-        return z.withColumn(self.out, expr).drop("rff")
+        w = F.array(*[F.lit(float(v)) for v in self.w])
+        dot = F.aggregate(F.zip_with(vector_to_array("rff"), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return z.withColumn(self.out, dot + float(self.b)).drop("rff")
 
 
 def fit_svr(df: DataFrame, label: str = "label", features: str = "features", epsilon: float = 0.1,
             C: float = 1.0, n_components: int = 100, gamma: float | None = None, steps: int = 60):
-    """RBF support vector regression: Fourier features + epsilon-insensitive
-    loss, regularisation 1/(C n) as in the kernel form."""
-    from autotab.operators.models import _feature_dim, fourier_features
+    """RBF support vector regression: Fourier features, 1/2 |w|^2 + C sum max(0, |y - f| - epsilon).
+    The target is standardised inside the fit (C and epsilon hold on that scale) and the output
+    is scaled back."""
+    from autotab.operators.models import _feature_dim, fourier_features, scale_gamma
     d = _feature_dim(df, features)
-    proj = fourier_features(features, d, n_components, gamma)
-    data = cut_lineage(proj(df).select(vector_to_array("rff").alias("_z"), F.col(label).alias("_y")))
-    n = data.count()
-
-    def grad(m, y, p):
-        r = m + p[0] - y
-        s = np.where(r > epsilon, 1.0, np.where(r < -epsilon, -1.0, 0.0))
-        return s, np.array([s.sum()])
-
-    w, p = linear_margin(data, "_z", grad, n_components, steps=steps, lr=1.0,
-                         reg=1.0 / (C * max(n, 1)), extra=1, y="_y")
-    return LinearScore(proj, w, p[0])
+    proj = fourier_features(features, d, n_components, gamma or scale_gamma(df, features))
+    mean, sd = df.agg(F.avg(label), F.stddev_pop(label)).first()
+    sd = sd or 1.0
+    data = cut_lineage(proj(df).select(vector_to_array("rff").alias("_z"), ((F.col(label) - mean) / sd).alias("_y")))
+    w = linear_margin(data, "_z", lambda y: [(-1.0, y - epsilon), (1.0, -y - epsilon)],
+                      np.append(np.ones(n_components), 1e-9), C, np.zeros(n_components + 1),
+                      np.zeros(n_components + 1), y="_y", steps=steps)
+    release(data)
+    return LinearScore(proj, w[:-1] * sd, w[-1] * sd + mean)
 
 
 def fit_one_class(df: DataFrame, features: str = "features", nu: float = 0.5,
@@ -91,16 +84,16 @@ def fit_one_class(df: DataFrame, features: str = "features", nu: float = 0.5,
     """One-class SVM in Fourier-feature space: minimise 1/2|w|^2 +
     1/(nu n) sum max(0, rho - w.z) - rho. Score = rho - w.z (higher = more
     anomalous)."""
-    from autotab.operators.models import _feature_dim, fourier_features
+    from autotab.operators.models import _feature_dim, fourier_features, scale_gamma
     d = _feature_dim(df, features)
-    proj = fourier_features(features, d, n_components, gamma)
+    proj = fourier_features(features, d, n_components, gamma or scale_gamma(df, features))
     data = cut_lineage(proj(df).select(vector_to_array("rff").alias("_z")))
-
-    def grad(m, y, p):
-        rho = p[0]
-        active = (m < rho).astype(float)
-        # d/dw of hinge term: -z for active rows; d/drho: active / nu - 1 per row
-        return -active / nu, np.array([(active / nu).sum() - len(m)])
-
-    w, p = linear_margin(data, "_z", grad, n_components, steps=steps, lr=1.0, reg=1.0, extra=1)
-    return LinearScore(proj, -w, p[0], out="anomaly_score")
+    s = array_sums(data, ["_z"], lambda p: {"n": len(p), "z": stacked(p["_z"]).sum(axis=0)},
+                   {"n": (), "z": (n_components,)})
+    mean = s["z"] / s["n"]
+    # (w, rho) against (z, -1); from the mean direction, with rho at its mean margin
+    w = linear_margin(data, "_z", lambda y: [(-1.0, 0.0)], np.append(np.ones(n_components), 1e-9),
+                      1.0 / (nu * s["n"]), np.append(np.zeros(n_components), -1.0), np.append(mean, mean @ mean),
+                      constant=-1.0, steps=steps)
+    release(data)
+    return LinearScore(proj, -w[:-1], w[-1], out="anomaly_score")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEED = 42
-MAX_TREE_DEPTH = 12   # sklearn grows unlimited trees; Spark caps at 30, 12 keeps memory bounded
+MAX_TREE_DEPTH = 30   # what unlimited depth becomes: Spark's own limit
 
 # Each boosting library choice mapped to GBT settings
 # (library defaults: rounds, depth, learning rate).
@@ -47,7 +47,7 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> D
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k")).first()
     w = counts.select(label, (F.lit(float(tot["_n"])) / (F.lit(float(tot["_k"])) * F.col("_nc")))
                       .alias(out))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 # ------------------------------------------------------------ composites
@@ -97,7 +97,7 @@ def fourier_features(features: str, d: int, n_components: int = 100, gamma: floa
     D x d matrix shipped inside the Arrow-batched UDF; rows never leave
     their task."""
     from pyspark.sql.functions import pandas_udf
-    gamma = gamma or 1.0 / max(d, 1)
+    gamma = 1.0 / max(d, 1) if gamma is None else gamma
     rng = np.random.default_rng(seed)
     W = rng.normal(0.0, math.sqrt(2 * gamma), size=(d, n_components))
     b = rng.uniform(0, 2 * math.pi, size=n_components)
@@ -148,6 +148,14 @@ class PlattSVM:
         return out.drop("rff", *drop)
 
 
+def scale_gamma(df: DataFrame, features: str = "features") -> float:
+    """1 / (d * variance of all feature values): the usual default RBF width."""
+    from autotab.operators.neighbours import as_array
+    x = df.select(F.explode(as_array(df, features)).alias("x"))
+    n, var = df.count(), x.agg(F.var_pop("x")).first()[0]
+    return 1.0 / (_feature_dim(df, features) * var) if n and var else 1.0
+
+
 def _feature_dim(df: DataFrame, features: str = "features") -> int:
     from autotab.operators.neighbours import as_array
     return int(df.select(F.size(as_array(df, features))).first()[0])
@@ -196,7 +204,7 @@ def _fit(df: DataFrame, task: str, name: str, params: dict | None, weights: bool
     if name == "clf_logistic":
         C = params.pop("C", 1.0)
         est = LogisticRegression(regParam=1.0 / (C * count()), standardization=False,
-                                 maxIter=params.pop("maxIter", 100), tol=1e-6, **kw, **params)
+                                 maxIter=params.pop("maxIter", 2000), tol=1e-6, **kw, **params)
         if wcol:
             est.setWeightCol(wcol)
         return ScoredModel(est.fit(df))
@@ -234,8 +242,8 @@ def _fit(df: DataFrame, task: str, name: str, params: dict | None, weights: bool
         projector = None
         src = df
         if kernel == "rbf":
-            projector = fourier_features(features, _feature_dim(df, features),
-                                         params.pop("n_components", 100), params.pop("gamma", None))
+            projector = fourier_features(features, _feature_dim(df, features), params.pop("n_components", 100),
+                                         params.pop("gamma", None) or scale_gamma(df, features))
             src = projector(df)
         else:
             src = df.withColumn("rff", F.col(features))
@@ -267,7 +275,7 @@ def _fit(df: DataFrame, task: str, name: str, params: dict | None, weights: bool
         d = _feature_dim(df, features)
         k = _n_classes(df, label)
         est = MultilayerPerceptronClassifier(layers=[d, params.pop("hidden", 100), max(k, 2)],
-                                             maxIter=params.pop("maxIter", 200), seed=SEED, **kw)
+                                             maxIter=params.pop("maxIter", 1000), seed=SEED, **kw)
         return ScoredModel(est.fit(df))
     if name == "reg_linear":
         return ScoredModel(LinearRegression(regParam=0.0, solver="normal", **kw).fit(df), prob=False)

@@ -10,6 +10,8 @@ the driver. The fitted model consists of built-in stages only
 
 from __future__ import annotations
 
+import datetime
+import decimal
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -106,13 +108,13 @@ def label_classes(df: DataFrame, target: str) -> DataFrame:
 def encode_label(df: DataFrame, target: str, classes: DataFrame | None = None,
                  out: str = "label") -> DataFrame:
     classes = classes if classes is not None else label_classes(df, target)
-    small = F.broadcast(classes.select(F.col("value").alias("_cls"), F.col("label").alias(out)))
+    small = classes.select(F.col("value").alias("_cls"), F.col("label").alias(out))
     return df.join(small, F.col(target) == F.col("_cls"), "left").drop("_cls")
 
 
 def decode_label(df: DataFrame, classes: DataFrame, code: str = "prediction",
                  out: str = "predicted_value") -> DataFrame:
-    small = F.broadcast(classes.select(F.col("label").alias("_code"), F.col("value").alias(out)))
+    small = classes.select(F.col("label").alias("_code"), F.col("value").alias(out))
     return df.join(small, F.col(code) == F.col("_code"), "left").drop("_code")
 
 
@@ -193,10 +195,21 @@ def infer_task_value(df: DataFrame, target: str | None) -> str:
 
 
 def sql_literal(v) -> str:
+    """A SQL literal of the value's own type."""
     if v is None:
         return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
     if isinstance(v, str):
         return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, datetime.datetime):
+        return f"TIMESTAMP '{v.isoformat(sep=' ')}'"
+    if isinstance(v, datetime.date):
+        return f"DATE '{v.isoformat()}'"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, decimal.Decimal):
+        return f"{v}BD"
     return repr(float(v)) + "D"
 
 

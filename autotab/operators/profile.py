@@ -267,8 +267,8 @@ def target_stats(df: DataFrame, target: str, key: list[str] | None = None) -> Da
 
 
 def group_describe(df: DataFrame, by: str, cols: list[str] | None = None,
-                   max_cols: int = 10) -> DataFrame:
-    """mean, std, min, max of the first ``max_cols`` numeric columns per group."""
+                   max_cols: int | None = None) -> DataFrame:
+    """mean, std, min, max of the numeric columns (the first ``max_cols`` when given) per group."""
     cols = [c for c in numeric_columns(df, cols) if c != by][:max_cols]
     wide = df.groupBy(by).agg(*[F.struct(
         F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),

@@ -62,11 +62,15 @@ def parse_recommendations(df: DataFrame, reply: str = "reply", reply_id: str = "
     calibrated, calibrated_text). The outermost ``{...}`` of the reply is read
     as JSON; no JSON or unreadable JSON gives the fallback table (a reply
     without any JSON is still calibrated, an unreadable one is not, as in the
-    original)."""
+    original); JSON without any listed
+    algorithm counts as unreadable."""
     js = F.regexp_extract(F.col(reply), r"(?s)\{.*\}", 0)
+    read = F.from_json(js, _SCHEMA)
+    # JSON without a list under the expected key counts as unreadable, so no reply is lost
+    listed = F.coalesce(F.exists(F.map_values(read["algorithm_recommendations"]), lambda a: F.size(a) > 0), F.lit(False))
     parsed = df.select(reply_id, js.alias("_js"),
-                       F.try_parse_json(js).isNotNull().alias("_valid"),
-                       F.from_json(js, _SCHEMA).alias("_p"))
+                       (F.try_parse_json(js).isNotNull() & listed).alias("_valid"),
+                       read.alias("_p"))
     good = parsed.filter((F.col("_js") != "") & F.col("_valid"))
     items = (good.select(reply_id, F.explode("_p.algorithm_recommendations").alias("task", "_arr"))
              .select(reply_id, "task", F.posexplode("_arr").alias("position", "_it"))

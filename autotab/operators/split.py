@@ -22,7 +22,6 @@ def hash_key(ids: list[str], seed: int = 42) -> Column:
 
 MAX_BUCKET_BITS = 20
 ROWS_PER_BUCKET = 2000
-MAX_BROADCAST_CELLS = 2_000_000
 
 
 def _with_rank(df: DataFrame, ids: list[str], seed: int, group: list[str] | None = None,
@@ -42,27 +41,52 @@ def _with_rank(df: DataFrame, ids: list[str], seed: int, group: list[str] | None
     keyed = df.withColumn("_h", hash_key(ids, seed)).withColumn(
         "_b", F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), 32 - bits)
         if bits else F.lit(0).cast("long"))
-    # one row per (group, bucket): kept in storage so the size check and the
-    # broadcast below do not recount the table
-    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c")).persist()
+    # one row per (group, bucket); Spark broadcasts it when it is small enough
+    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = (Window.partitionBy(*group).orderBy("_b") if group else Window.orderBy("_b")) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
-    if offsets.count() <= MAX_BROADCAST_CELLS:
-        offsets = F.broadcast(offsets)
     inner = Window.partitionBy(*group, "_b").orderBy("_h", *ids)
     return (keyed.join(offsets, group + ["_b"])
             .withColumn(rank_col, F.col("_off") + F.row_number().over(inner))
             .drop("_h", "_b", "_off"))
 
 
+def _keyed(df: DataFrame, ids: list[str], seed: int, n: int) -> DataFrame:
+    """``df`` with its order key: ``_at`` (md5, then the ids) and its hash bucket ``_b``."""
+    bits = int(min(MAX_BUCKET_BITS, max(0, math.floor(math.log2(max(1, n / ROWS_PER_BUCKET))))))
+    h = hash_key(ids, seed)
+    bucket = (F.shiftright(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), 32 - bits) if bits
+              else F.lit(0).cast("long"))
+    return df.withColumns({"_at": F.struct(h.alias("h"), *[F.col(c) for c in ids]), "_b": bucket})
+
+
+def _thresholds(keyed: DataFrame, group: list[str], quotas: DataFrame) -> DataFrame:
+    """(group, _last): the order key of the ``_quota``-th row of every group.
+
+    Counts per (group, bucket) find the bucket that holds that row; only the rows of
+    those buckets (about ROWS_PER_BUCKET per group) are ranked.
+    """
+    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_b"))
+    held = (counts.withColumn("_end", upto).join(quotas.select(*group, "_quota"), group)
+            .filter((F.col("_quota") <= F.col("_end")) & (F.col("_quota") > F.col("_end") - F.col("_c")))
+            .select(*group, "_b", (F.col("_quota") - F.col("_end") + F.col("_c")).alias("_k")))
+    rank = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_at"))
+    return (keyed.select(*group, "_b", "_at").join(held, group + ["_b"]).withColumn("_r", rank)
+            .filter("_r = _k").select(*group, F.col("_at").alias("_last")))
+
+
 def split_random(df: DataFrame, ids: list[str], test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``split`` = 'test' for the first ceil(n * test) rows in hash order."""
-    n = df.count()  # noqa: F841 - also sizes the buckets inside _with_rank
-    n_test = math.ceil(n * test)
-    ranked = _with_rank(df, ids, seed)
-    return ranked.withColumn("split", F.when(F.col("_rank") <= n_test, "test").otherwise("train")
-                             ).drop("_rank")
+    """Add ``split`` = 'test' for the first ceil(n * test) rows in hash order: a filter on the
+    order key against one threshold, so the rows themselves are not shuffled."""
+    n = df.count()
+    keyed = _keyed(df, ids, seed, n).withColumn("_g", F.lit(0))
+    quota = df.sparkSession.createDataFrame([(0, math.ceil(n * test))], "_g int, _quota long")
+    last = _thresholds(keyed, ["_g"], quota)    # one row
+    return (keyed.join(F.broadcast(last), "_g", "left")
+            .withColumn("split", F.when(F.col("_at") <= F.col("_last"), "test").otherwise("train"))
+            .drop("_at", "_b", "_g", "_last"))
 
 
 def stratified_quotas(df: DataFrame, label: str, test: float) -> DataFrame:
@@ -83,11 +107,14 @@ def stratified_quotas(df: DataFrame, label: str, test: float) -> DataFrame:
 
 def split_stratified(df: DataFrame, label: str, ids: list[str], test: float = 0.2,
                      seed: int = 42) -> DataFrame:
-    quotas = F.broadcast(stratified_quotas(df, label, test))  # one row per class
-    ranked = _with_rank(df, ids, seed, group=[label])
-    return (ranked.join(quotas, label)
-            .withColumn("split", F.when(F.col("_rank") <= F.col("_quota"), "test").otherwise("train"))
-            .drop("_rank", "_n", "_quota"))
+    """Hash-order split inside every class, ``stratified_quotas`` test rows each: a filter
+    against one threshold per class."""
+    quotas = stratified_quotas(df, label, test)
+    keyed = _keyed(df, ids, seed, df.count())
+    last = _thresholds(keyed, [label], quotas)
+    return (keyed.join(last, label, "left")
+            .withColumn("split", F.when(F.col("_at") <= F.col("_last"), "test").otherwise("train"))
+            .drop("_at", "_b", "_last"))
 
 
 def kfold(df: DataFrame, ids: list[str], k: int = 5, seed: int = 42) -> DataFrame:
@@ -103,16 +130,16 @@ def kfold_stratified(df: DataFrame, label: str, ids: list[str], k: int = 5,
 
 
 def cv_plain(df: DataFrame, ids: list[str], k: int | None = None,
-             label: str | None = None) -> DataFrame:
+             label: str | None = None, few_rows: int = 30) -> DataFrame:
     """Unshuffled contiguous folds over the id order (per class when
     ``label`` is given): fold = floor((rank - 1) * k / n), like ``ntile``.
-    k defaults to 3, or 2 below 30 rows."""
+    k defaults to 3, or 2 below ``few_rows`` rows."""
     group = [label] if label else None
     n_all = df.count()
-    k = k or (2 if n_all < 30 else 3)
+    k = k or (2 if n_all < few_rows else 3)
     ranked = global_rank(df, [], ids, group_cols=group, rank_col="_rank")
     if label:
-        sizes = F.broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+        sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
         ranked = ranked.join(sizes, label)
     else:
         ranked = ranked.withColumn("_n", F.lit(n_all))
@@ -121,8 +148,17 @@ def cv_plain(df: DataFrame, ids: list[str], k: int | None = None,
 
 
 def sample_n(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows without replacement: the n smallest hashes (a bounded top-n,
-    planned as TakeOrderedAndProject, no full sort)."""
+    """n rows without replacement: the n smallest hashes.
+
+    A hash bound that keeps about 2n rows (exactly: more than n, or all rows)
+    filters first, so the final top-n merges about 2n rows however many
+    partitions there are.
+    """
+    total = df.count()
+    if total > 4 * n:
+        share = F.conv(F.substring(hash_key(ids, seed), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+        few = df.filter(share < 2.0 * n / total + 20.0 * math.sqrt(n) / total)
+        df = few if few.count() >= n else df
     return (df.withColumn("_h", hash_key(ids, seed)).orderBy("_h", *ids).limit(n).drop("_h"))
 
 

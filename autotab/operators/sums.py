@@ -15,8 +15,9 @@ def array_sums(df: DataFrame, cols: list[str], fn, shapes: dict[str, tuple]) ->
     """{name: array} of the sums over all Arrow batches of ``fn(pdf)``, a dict of arrays
     of the given ``shapes``.
 
-    Every task adds up its own batches; the tasks' sums (one row each) are then added in
-    ``FANIN`` tasks, so the driver reads at most ``FANIN`` rows whatever the number of partitions.
+    Every task adds up its own batches; when there are many tasks their sums (one row each)
+    are added in ``FANIN`` further tasks, so the driver reads few rows whatever the number of
+    partitions.
     """
     names = list(shapes)
     schema = ", ".join(f"{n} array<double>" for n in names)
@@ -40,7 +41,10 @@ def array_sums(df: DataFrame, cols: list[str], fn, shapes: dict[str, tuple]) ->
                     total[n] += np.asarray(v)
         yield frame(total)
 
-    rows = df.select(*cols).mapInPandas(part, schema).repartition(FANIN).mapInPandas(add, schema).collect()
+    parts = df.select(*cols).mapInPandas(part, schema)
+    if parts.rdd.getNumPartitions() > 2 * FANIN:
+        parts = parts.repartition(FANIN).mapInPandas(add, schema)
+    rows = parts.collect()
     return {n: np.sum([np.asarray(r[n]) for r in rows], axis=0).reshape(s) for n, s in shapes.items()}
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from autotab.operators import metrics as M
 from autotab.operators.models import MAX_TREE_DEPTH, fit_model, score
-from autotab.operators.split import cv_plain, head_n, kfold, kfold_stratified
-from autotab.session import cut_lineage
+from autotab.operators.split import cv_plain, kfold, kfold_stratified, sample_n
+from autotab.session import cut_lineage, release
+
+FIT_THREADS = 4
 
 # Search grids per task and model, in the original's
 # parameter names.
@@ -67,7 +70,7 @@ def param_grid(task: str, name: str) -> list[dict]:
             if target is None:
                 continue
             if target == "maxDepth" and v is None:
-                v = MAX_TREE_DEPTH
+                v = MAX_TREE_DEPTH      # unlimited
             p[target] = v
         key = json.dumps(p, sort_keys=True)
         if key not in seen:
@@ -100,15 +103,20 @@ def cross_validate(df: DataFrame, task: str, name: str, folds: int = 5, params:
         withf = (kfold_stratified(df, "label", ids, folds, seed) if task == "classification"
                  else kfold(df, ids, folds, seed))
         fold_col = "fold"
+        withf = cut_lineage(withf)
     else:
         withf = df
-    withf = cut_lineage(withf)
-    rows = []
-    for f in range(folds):
+
+    def one(f):
         train = withf.filter(F.col(fold_col) != f)
         test = withf.filter(F.col(fold_col) == f)
         m = fit_model(train, task, name, dict(params or {}, **({"ids": ids} if name == "clf_knn" else {})))
-        rows.append((f, _metric(score(m, test, ids), task)))
+        return f, _metric(score(m, test, ids), task)
+
+    with ThreadPoolExecutor(FIT_THREADS) as pool:      # folds side by side
+        rows = list(pool.map(one, range(folds)))
+    if withf is not df:
+        release(withf)
     return spark.createDataFrame(rows, "fold int, score double")
 
 
@@ -123,7 +131,7 @@ def random_search(df: DataFrame, task: str, name: str, folds: int = 5, n_iter: i
                         else kfold(df, ids, folds, seed))
     table, fold_scores = [], {}
     for i, p in enumerate(cands):
-        fs = cross_validate(withf, task, name, folds, p, ids, "fold", seed).collect()
+        fs = cross_validate(withf.select("*"), task, name, folds, p, ids, "fold", seed).collect()
         fold_scores[i] = fs
         vals = [r.score for r in fs]
         mean = sum(vals) / len(vals)
@@ -183,12 +191,13 @@ def ensemble_mean(df: DataFrame, pred_cols: list[str]) -> DataFrame:
                          / len(pred_cols))
 
 
-def fit_ensemble(df: DataFrame, task: str):
-    """Forest + boosting + logistic (soft vote) or forest + boosting + ridge (mean)."""
+def fit_ensemble(df: DataFrame, task: str, weights: bool = False):
+    """Forest + boosting + logistic (soft vote) or forest + boosting + ridge (mean);
+    ``weights`` balances the classes in the members that take class weights."""
     if task == "classification":
-        return VoteEnsemble([fit_model(df, task, "clf_random_forest", {"numTrees": 100}),
-                             fit_model(df, task, "clf_boosted", {"choice": "xgboost"}),
-                             fit_model(df, task, "clf_logistic")])
+        return VoteEnsemble([fit_model(df, task, "clf_random_forest", {"numTrees": 100}, weights),
+                             fit_model(df, task, "clf_boosted", {"choice": "xgboost"}, weights),
+                             fit_model(df, task, "clf_logistic", None, weights)])
     return MeanEnsemble([fit_model(df, task, "reg_random_forest", {"numTrees": 100}),
                          fit_model(df, task, "reg_boosted", {"choice": "xgboost"}),
                          fit_model(df, task, "reg_ridge")])
@@ -222,49 +231,48 @@ def co_training(df: DataFrame, ids: list[str], max_iter: int = 100, per_round_ca
     ``label`` null marks unlabelled rows. Each round both view models score
     the pool; each picks its ``min(cap, pool // 10)`` most confident rows
     (a bounded top-n); the union of the picks, labelled by the view that
-    picked them (view 1 wins a row both picked), moves from the pool to the
-    labelled set; both models refit. Labelled set and pool are rewritten to
-    the checkpoint folder every round.
+    picked them (view 1 wins a row both picked), counts as labelled from then
+    on; both models refit. The rows are stored once; a round adds its picks to a
+    small table of ids and labels (at most 2 * cap a round), which is all that is rewritten.
     """
     from autotab.operators.models import _feature_dim
     dim = _feature_dim(df)
     split = dim // 2
-    helper = CoTrainingModel(None, None, split, dim)
-    base = helper.views(df)
-    labelled = cut_lineage(base.filter(F.col("label").isNotNull()))
-    pool = cut_lineage(base.filter(F.col("label").isNull()))
+    base = cut_lineage(CoTrainingModel(None, None, split, dim).views(df))
+    spark = df.sparkSession
+    kinds = ", ".join(f"{i} {df.schema[i].dataType.simpleString()}" for i in ids)
+    given = spark.createDataFrame([], f"{kinds}, _pl double")
 
-    def fit_views(lab):
+    def fit_views():
+        lab = base.join(F.broadcast(given), ids, "left").withColumn("label", F.coalesce("label", "_pl")).drop("_pl")
+        lab = lab.filter(F.col("label").isNotNull()).persist()
         m1 = fit_model(lab.withColumn("features", F.col("_v1")), "classification", name1)
-        m2 = fit_model(lab.withColumn("features", F.col("_v2")), "classification", name2,
-                       {"numTrees": 20})
-        return m1, m2
-
-    m1, m2 = fit_views(labelled)
-    rounds = 0
+        m2 = fit_model(lab.withColumn("features", F.col("_v2")), "classification", name2, {"numTrees": 20})
+        n = lab.count()
+        lab.unpersist()
+        return m1, m2, n
+
+    total = base.count()
+    m1, m2, n_labelled = fit_views()
+    picked, rounds = [], 0
     for _ in range(max_iter):
-        n_pool = pool.count()
-        n_add = min(per_round_cap, n_pool // 10)
+        n_add = min(per_round_cap, (total - n_labelled) // 10)
         if n_add == 0:
             break
-        picks = []
-        for view, m in (("_v1", m1), ("_v2", m2)):
-            s = m.transform(pool.withColumn("features", F.col(view)))
-            s = s.withColumn("_conf", F.array_max("probability"))
-            top = (s.orderBy(F.col("_conf").desc(), *ids).limit(n_add)
-                   .select(*ids, F.col("prediction").alias("_pl")))
-            picks.append(top)
-        both = picks[0].withColumn("_src", F.lit(1)).unionByName(picks[1].withColumn("_src", F.lit(2)))
-        chosen = both.groupBy(*ids).agg(F.min_by("_pl", "_src").alias("_pl"))
-        chosen = cut_lineage(chosen)
-        new_rows = pool.join(chosen, ids).withColumn("label", F.col("_pl")).drop("_pl")
-        labelled = cut_lineage(labelled.unionByName(new_rows))
-        pool = cut_lineage(pool.join(chosen.select(*ids), ids, "left_anti"))
-        m1, m2 = fit_views(labelled)
+        pool = base.filter(F.col("label").isNull()).join(F.broadcast(given.select(*ids)), ids, "left_anti")
+        chosen: dict = {}
+        for view, m in (("_v2", m2), ("_v1", m1)):      # view 1 last: it wins a row both picked
+            s = m.transform(pool.withColumn("features", F.col(view))).withColumn("_conf", F.array_max("probability"))
+            for r in s.orderBy(F.col("_conf").desc(), *ids).limit(n_add).select(*ids, "prediction").collect():
+                chosen[tuple(r[i] for i in ids)] = float(r["prediction"])
+        picked += [(*key, label) for key, label in chosen.items()]
+        given = spark.createDataFrame(picked, f"{kinds}, _pl double")
+        m1, m2, n_labelled = fit_views()
         rounds += 1
     model = CoTrainingModel(m1, m2, split, dim)
     model.rounds = rounds
-    model.n_labelled = labelled.count()
+    model.n_labelled = n_labelled
+    release(base)
     return model
 
 
@@ -279,38 +287,54 @@ PILOT_MODELS = {
 }
 
 
-def pilot_benchmark(df: DataFrame, ids: list[str], task: str, cap: int = 2000) -> DataFrame:
-    """First ``cap`` rows in id order, unshuffled 3 folds (2 below 30 rows),
-    three representative models; (model, cv_mean, status) best first.
-    Failures are reported as rows, not skipped."""
+def pilot_benchmark(df: DataFrame, ids: list[str], task: str, cap: int | None = 2000, few_rows: int = 10) -> DataFrame:
+    """Unshuffled 3 folds (2 below 30 rows), three representative models; (model, cv_mean,
+    status, line) best first. ``cap`` bounds the labelled rows that classifiers are fitted on
+    (the smallest hashes); regression takes all rows. Failures are reported as rows, not skipped;
+    ``line`` is the text of the recommendation, with a note when rows are few."""
     spark = df.sparkSession
-    head = cut_lineage(head_n(df, ids, cap))
+    rows_used = df if task == "regression" or cap is None else sample_n(df, ids, cap)
+    head = cut_lineage(rows_used)
     n = head.count()
-    if n < 10:
-        return spark.createDataFrame([("pilot", None, "too few rows (< 10)")],
-                                     "model string, cv_mean double, status string")
+    schema = "model string, cv_mean double, status string, line string"
+    if n < few_rows:
+        return spark.createDataFrame([("pilot", None, f"too few rows (< {few_rows})", None)], schema)
     k = 2 if n < 30 else 3
     folded = cut_lineage(cv_plain(head, ids, k, label="label" if task == "classification" else None))
+    note = " (few rows: treat with care)" if n < 100 else ""
     rows = []
     for title, name, params in PILOT_MODELS[task]:
         try:
             fs = cross_validate(folded, task, name, k, params, ids, "fold").collect()
-            rows.append((title, sum(r.score for r in fs) / len(fs), "ok"))
+            mean = sum(r.score for r in fs) / len(fs)
+            shown = f"{mean * 100:.1f}%" if task == "classification" else f"{mean:.2f}"
+            rows.append((title, mean, "ok", f"{title}: {shown} over {k} folds of {n} rows{note}"))
         except Exception as e:  # noqa: BLE001 - a failing model is reported, not raised
-            rows.append((title, None, f"failed: {type(e).__name__}"))
-    out = spark.createDataFrame(rows, "model string, cv_mean double, status string")
+            rows.append((title, None, f"failed: {type(e).__name__}", f"{title}: no result"))
+    release(head)
+    out = spark.createDataFrame(rows, schema)
     return out.orderBy(F.col("cv_mean").desc_nulls_last(), "model")
 
 
+def fit_auto_k(df: DataFrame, ids: list[str], k_min: int = 2, k_max: int = 10, features: str = "features",
+               starts: int = 10, seed: int = 42):
+    """(best fitted model, its labels, table (k, silhouette) best first) over k_min..k_max, with the
+    silhouette of all rows."""
+    from autotab.operators.cluster import _vec, best_kmeans, silhouette
+    data = cut_lineage(_vec(df, features).select(*ids, features))
+    rows, best = [], None
+    for k in range(k_min, k_max + 1):
+        model = best_kmeans(data, k, starts, features, seed)
+        lab = model.transform(data).select(*ids, features, F.col("prediction").cast("int").alias("cluster"))
+        s = float(silhouette(lab, ids[0], "cluster", features).first()[0])
+        rows.append((k, s))
+        if best is None or s > best[0]:
+            best = (s, model)
+    table = df.sparkSession.createDataFrame(rows, "k int, silhouette double").orderBy(F.col("silhouette").desc(), "k")
+    return best[1], best[1].transform(data).select(*ids, F.col("prediction").cast("int").alias("cluster")), table
+
+
 def kmeans_auto_k(df: DataFrame, ids: list[str], k_min: int = 2, k_max: int = 10,
-                  features: str = "features", sample: int = 5000) -> DataFrame:
+                  features: str = "features", starts: int = 10) -> DataFrame:
     """(k, silhouette) for each k; the best k is the first row."""
-    from autotab.operators.cluster import cluster_kmeans, silhouette
-    spark = df.sparkSession
-    rows = []
-    for k in range(k_min, k_max + 1):
-        lab = cluster_kmeans(df, ids, k, starts=1, features=features)
-        s = silhouette(df.drop("cluster").join(lab, ids), ids[0], "cluster", features,
-                       sample=sample).first()[0]
-        rows.append((k, float(s)))
-    return spark.createDataFrame(rows, "k int, silhouette double").orderBy(F.col("silhouette").desc(), "k")
+    return fit_auto_k(df, ids, k_min, k_max, features, starts)[2]

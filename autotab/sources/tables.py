@@ -9,6 +9,8 @@ partition per file.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,19 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Header row, comma separated; NA tokens become null; each column gets
-    the narrowest of long, double, boolean, string that all its values fit."""
+#: Numbers in text: no type suffixes, no Java spellings.
+LONG_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|[iI]nf(inity)?)\s*$"
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multiline: bool = True) -> DataFrame:
+    """Header row, comma separated, doubled quotes inside quoted values; NA tokens become null;
+    each column gets the narrowest of long, double, boolean, string that all its values fit.
+
+    ``multiline`` allows newlines inside quoted values, which makes a file one task; turn it off for
+    large files without such newlines, so they are split."""
     raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False) \
+        .option("quote", '"').option("escape", '"').option("multiLine", multiline) \
         .option("nullValue", None).option("emptyValue", "").csv(path)
     cols = raw.columns
     clean = raw.select(*[F.when(F.col(f"`{c}`").isin(NA_TOKENS), F.lit(None).cast("string"))
@@ -54,8 +65,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     for c in cols:
         v = F.col(f"`{c}`")
         checks += [F.count(v).alias(f"{c}__n"),
-                   F.count(v.try_cast("long")).alias(f"{c}__l"),
-                   F.count(v.try_cast("double")).alias(f"{c}__d"),
+                   F.count(F.when(v.rlike(LONG_TEXT), F.trim(v).try_cast("long"))).alias(f"{c}__l"),
+                   F.count_if(v.rlike(NUMBER_TEXT)).alias(f"{c}__d"),
                    F.count_if(v.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"{c}__b")]
     stats = clean.agg(*checks).first().asDict() if cols else {}
     out = []
@@ -65,9 +76,9 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
         if n == 0:
             out.append(v.cast("double").alias(c))        # all missing: float column of NaN
         elif nl == n:
-            out.append(v.cast("long").alias(c))
+            out.append(F.trim(v).cast("long").alias(c))
         elif nd == n:
-            out.append(v.cast("double").alias(c))
+            out.append(F.trim(v).cast("double").alias(c))
         elif nb == n:
             out.append(v.isin(TRUE_TOKENS).alias(c))
         else:
@@ -76,8 +87,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, no index column; one file per partition under ``path``."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Header, no index column, quotes doubled; one file per partition under ``path``."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def preview(df: DataFrame, ids: list[str], n: int = 5) -> DataFrame:
@@ -86,6 +97,9 @@ def preview(df: DataFrame, ids: list[str], n: int = 5) -> DataFrame:
 
 
 # ------------------------------------------------------------------ feather
+BATCHES_PER_TASK = 4
+
+
 def _fs(path: str):
     """(pyarrow filesystem, path inside it) for local, file:, hdfs:, s3: ..."""
     import pyarrow.fs as pafs
@@ -118,27 +132,81 @@ def _list_files(path: str) -> list[str]:
 
 
 def _register_feather(spark: SparkSession) -> None:
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+    from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
+                                        WriterCommitMessage)
 
     class FeatherPartition(InputPartition):
-        def __init__(self, path):
-            self.path = path
+        def __init__(self, path, first, last):
+            self.path, self.first, self.last = path, first, last
 
     class FeatherReader(DataSourceReader):
         def __init__(self, options, schema):
             self.options, self.schema_ = options, schema
 
         def partitions(self):
-            return [FeatherPartition(p) for p in _list_files(self.options["path"])]
+            import pyarrow.ipc as ipc
+            out = []
+            for path in _list_files(self.options["path"]):
+                fs, p = _fs(path)
+                with fs.open_input_file(p) as src:
+                    n = ipc.open_file(src).num_record_batches
+                out += [FeatherPartition(path, i, min(i + BATCHES_PER_TASK, n)) for i in range(0, n, BATCHES_PER_TASK)]
+            return out or [FeatherPartition(None, 0, 0)]
 
         def read(self, partition):
             import pyarrow.ipc as ipc
+            if partition.path is None:
+                return
             fs, p = _fs(partition.path)
             with fs.open_input_file(p) as src:
                 reader = ipc.open_file(src)
-                for i in range(reader.num_record_batches):
+                for i in range(partition.first, partition.last):
                     yield reader.get_batch(i)
 
+    @dataclass
+    class FeatherDone(WriterCommitMessage):
+        file: str | None
+
+    class FeatherWriter(DataSourceArrowWriter):
+        """Every task attempt writes a file of its own under ``_temporary``; the driver moves the
+        files of the attempts that count to their names, so repeated attempts leave no rows behind."""
+
+        def __init__(self, options):
+            self.path = options["path"]
+
+        def write(self, batches):
+            import uuid
+
+            import pyarrow.ipc as ipc
+            fs, p = _fs(self.path)
+            fs.create_dir(f"{p}/_temporary", recursive=True)
+            name, out, sink = f"{p}/_temporary/{uuid.uuid4().hex}", None, None
+            for b in batches:
+                if out is None:
+                    sink = fs.open_output_stream(name)
+                    out = ipc.new_file(sink, b.schema)
+                out.write_batch(b)
+            if out is None:
+                return FeatherDone(None)
+            out.close()
+            sink.close()
+            return FeatherDone(name)
+
+        def commit(self, messages):
+            fs, p = _fs(self.path)
+            kept = [m.file for m in messages if m is not None and m.file]
+            for i, name in enumerate(sorted(kept)):
+                fs.move(name, f"{p}/part-{i:05d}.feather")
+            self._clean(fs, p)
+
+        def abort(self, messages):
+            self._clean(*_fs(self.path))
+
+        def _clean(self, fs, p):
+            import pyarrow.fs as pafs
+            if fs.get_file_info(f"{p}/_temporary").type == pafs.FileType.Directory:
+                fs.delete_dir(f"{p}/_temporary")
+
     class FeatherSource(DataSource):
         @classmethod
         def name(cls):
@@ -154,36 +222,22 @@ def _register_feather(spark: SparkSession) -> None:
         def reader(self, schema):
             return FeatherReader(self.options, schema)
 
+        def writer(self, schema, overwrite):
+            return FeatherWriter(self.options)
+
     spark.dataSource.register(FeatherSource)
 
 
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
     """Feather (Arrow IPC file) file, directory or glob on any filesystem
-    pyarrow reaches; one partition per file, record batches straight to
-    Spark."""
+    pyarrow reaches; a few record batches per partition, straight to Spark."""
     _register_feather(spark)
     return spark.read.format("autotab_feather").option("path", path).load()
 
 
 def write_feather(df: DataFrame, path: str) -> int:
-    """One Feather file per partition, written by the executors to ``path``
-    (nothing passes through the driver). Returns the number of files."""
-
-    def write(batches, base=path):
-        import uuid
-        import pyarrow as pa
-        import pyarrow.ipc as ipc
-        import pandas as pd
-        frames = list(batches)
-        if not frames:
-            return
-        table = pa.Table.from_pandas(pd.concat(frames, ignore_index=True), preserve_index=False)
-        fs, p = _fs(base)
-        fs.create_dir(p, recursive=True)
-        name = f"{p}/part-{uuid.uuid4().hex}.feather"
-        with fs.open_output_stream(name) as sink:
-            with ipc.new_file(sink, table.schema) as w:
-                w.write_table(table)
-        yield pd.DataFrame({"file": [name]})
-
-    return df.mapInPandas(write, "file string").count()
+    """One Feather file per non-empty partition, streamed by the executors to ``path`` and
+    committed together. Returns the number of files."""
+    _register_feather(df.sparkSession)
+    df.write.format("autotab_feather").mode("append").option("path", path).save()
+    return len(_list_files(path))
