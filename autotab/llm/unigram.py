@@ -126,7 +126,11 @@ class Vocabulary:
 
     def segments(self, text: str) -> list[str]:
         """Segments of the normalised text."""
-        return _SEGMENT.findall(self.model.normalize(text))
+        return self.split(self.model.normalize(text))
+
+    def split(self, normal: str) -> list[str]:
+        """Segments of a normalised text."""
+        return _SEGMENT.findall(normal)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of piece ids: the pieces' surfaces without the leading blank."""
