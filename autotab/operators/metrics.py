@@ -36,9 +36,9 @@ def confusion_matrix(scored: DataFrame, label: str = "label", pred: str = "predi
     classes = _classes(scored, label, pred)
     counts = scored.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
-    arr = F.array(*[F.lit(c) for c in classes])
-    grid = (scored.sparkSession.range(1)
-            .select(F.explode(arr).alias("actual")).select("actual", F.explode(arr).alias("predicted")))
+    one = scored.sparkSession.createDataFrame([(c,) for c in classes], f"c {scored.schema[label].dataType.simpleString()}")
+    # the grid is the result: one row per pair of classes
+    grid = one.select(F.col("c").alias("actual")).join(one.select(F.col("c").alias("predicted")), F.lit(True))
     return (grid.join(counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
@@ -203,3 +203,21 @@ def evaluate(scored: DataFrame, task: str, label: str = "label", pred: str = "pr
         data.unpersist()
     return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in r.items()],
                                  "metric string, value double")
+
+
+def report(scored: DataFrame, task: str, label: str = "label", pred: str = "prediction",
+           prob: str | None = "probability", cv: DataFrame | None = None) -> DataFrame:
+    """(section, item, value): the metrics, for classification the confusion counts
+    ('actual:predicted'), and with fold scores ``cv`` their mean and deviation."""
+    out = evaluate(scored, task, label, pred, prob).select(F.lit("metric").alias("section"),
+                                                           F.col("metric").alias("item"), "value")
+    if task == "classification":
+        name = F.concat_ws(":", *[F.col(c).cast("int").cast("string") for c in ("actual", "predicted")])
+        out = out.unionByName(confusion_matrix(scored, label, pred).select(
+            F.lit("confusion").alias("section"), name.alias("item"), F.col("n").cast("double").alias("value")))
+    if cv is not None:
+        folds = cv_summary(cv, []).select(F.inline(F.array(*[
+            F.struct(F.lit("cv").alias("section"), F.lit(c).alias("item"), F.col(c).alias("value"))
+            for c in ("cv_mean", "cv_std")])))
+        out = out.unionByName(folds)
+    return out

@@ -49,6 +49,20 @@ def q_read_csv(spark, d):
     return IO.read_table(spark, path)
 
 
+@plan("read_csv_quoted", sql="""
+SELECT p_partkey, 'say "' || p_name || '", twice ""' AS quoted, p_brand || chr(10) || p_type AS two_lines,
+       cast(p_size as varchar) || 'd' AS suffixed, 1.5 * p_size AS number FROM part""")
+def q_read_csv_quoted(spark, d):
+    """Doubled quotes, newlines inside values and number-like text survive a write and a read."""
+    path = scratch(spark, "csv") + "/data.csv"
+    p = X.table(spark, d, "part")
+    IO.write_csv(p.select("p_partkey", F.concat(F.lit('say "'), "p_name", F.lit('", twice ""')).alias("quoted"),
+                          F.concat("p_brand", F.lit("\n"), "p_type").alias("two_lines"),
+                          F.concat(F.col("p_size").cast("string"), F.lit("d")).alias("suffixed"),
+                          (1.5 * F.col("p_size")).alias("number")), path)
+    return IO.read_table(spark, path)
+
+
 @plan("read_feather", sql="SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def q_read_feather(spark, d):
     path = scratch(spark, "feather")
@@ -62,7 +76,9 @@ def q_preview(spark, d):
     return IO.preview(X.lineitem(spark, d).select("row_id", "l_quantity", "l_returnflag"), ["row_id"], 5)
 
 
-@plan("save_model")
+#: The test rows of the stratified split: as many as its quotas.
+@plan("save_model", sql="""
+SELECT cast(ceil(count(*) * 0.2) as bigint) AS n, cast(ceil(count(*) * 0.2) as bigint) AS n_equal FROM lineitem""")
 def q_save_model(spark, d):
     """Fit, save, reload, score: predictions of the reloaded model."""
     train, test, _ = lineitem_binary(spark, d)

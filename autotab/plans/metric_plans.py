@@ -102,6 +102,16 @@ def q_roc_curve_micro(spark, d):
     return M.roc_curve(X.scored_multi(spark, d), prob="probability", average="micro")
 
 
+CLASS_CURVES = " UNION ALL ".join("(" + _curve_sql(
+    f"(SELECT CASE WHEN label = {k}.0 THEN 1 ELSE 0 END AS y, probability[{k + 1}] AS s FROM {SM})", str(k)) + ")"
+    for k in range(3))
+
+
+@plan("roc_curve_classes", rnd=("fpr", "tpr", "threshold"), sql=CLASS_CURVES)
+def q_roc_curve_classes(spark, d):
+    return M.roc_curve(X.scored_multi(spark, d), prob="probability")
+
+
 @plan("auc_trapezoid", rnd=("auc",), sql=f"""
 SELECT curve, sum((fpr - px) * (tpr + py) / 2) AS auc FROM (
   SELECT curve, fpr, tpr, lag(fpr) OVER (ORDER BY threshold DESC NULLS FIRST) AS px,
@@ -150,3 +160,19 @@ SELECT * FROM (
   UNION ALL SELECT 'f1_weighted', f1_weighted FROM ({PRF_SQL}))""")
 def q_evaluate(spark, d):
     return M.evaluate(X.scored_multi(spark, d), "classification", prob=None)
+
+
+@plan("report", rnd=("value",), sql=f"""
+WITH cls AS (SELECT label AS c FROM {SM} UNION SELECT prediction FROM {SM}),
+ev AS (SELECT 'accuracy' AS item, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS value FROM {SM}
+  UNION ALL SELECT 'precision_weighted', precision_weighted FROM ({PRF_SQL})
+  UNION ALL SELECT 'recall_weighted', recall_weighted FROM ({PRF_SQL})
+  UNION ALL SELECT 'f1_weighted', f1_weighted FROM ({PRF_SQL}))
+SELECT 'metric' AS section, item, value FROM ev
+UNION ALL SELECT 'confusion', cast(cast(a.c as integer) as varchar) || ':' || cast(cast(p.c as integer) as varchar),
+  (SELECT count(*) FROM {SM} s WHERE s.label = a.c AND s.prediction = p.c) FROM cls a, cls p
+UNION ALL SELECT 'cv', 'cv_mean', 0.75 UNION ALL SELECT 'cv', 'cv_std', 0.05""")
+def q_report(spark, d):
+    """The whole report of one scored table with its fold scores."""
+    folds = spark.createDataFrame([(0, 0.7), (1, 0.8)], "fold int, score double")
+    return M.report(X.scored_multi(spark, d), "classification", prob=None, cv=folds)

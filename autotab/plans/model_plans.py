@@ -46,34 +46,73 @@ def lineitem_regression(spark, d):
     return prepared.persist(), model.transform(test), rep
 
 
-def _clf_plan(name, data=lineitem_binary, params=None):
+_RESULTS: dict = {}
+
+
+def _results(key, spark, d, run):
+    """Metric rows of one fit, shared in a process by its two queries (the metrics, the quality row)."""
+    if (key, d) not in _RESULTS:
+        _RESULTS[key, d] = [tuple(r) for r in run(spark, d).collect()]
+    return _RESULTS[key, d]
+
+
+def _metrics_plan(name, run):
     def build(spark, d):
+        return spark.createDataFrame(_results(name, spark, d, run), "metric string, value double")
+    return build
+
+
+def _clf_plan(name, data=lineitem_binary, params=None, weights=False):
+    def run(spark, d):
         train, test, _ = data(spark, d)
-        m = MD.fit_model(train, "classification", name, params)
+        m = MD.fit_model(train, "classification", name, params, weights)
         return M.evaluate(MD.score(m, test, ["row_id"]), "classification")
-    return build
+    return run
 
 
 def _reg_plan(name, params=None):
-    def build(spark, d):
+    def run(spark, d):
         train, test, _ = lineitem_regression(spark, d)
         m = MD.fit_model(train, "regression", name, params)
         return M.evaluate(MD.score(m, test, ["row_id"]), "regression")
-    return build
+    return run
+
+
+def _register(name, run, table, target):
+    """The metrics query, and a row that holds its accuracy against the majority share (or its R2
+    against a bound), whose share SQL computes on its own."""
+    plan(name)(_metrics_plan(name, run))
+    if target is None:
+        def quality(spark, d):
+            r2 = dict(_results(name, spark, d, run))["r2"]
+            return X.lineitem(spark, d).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("r2_above_0_9", F.lit(r2 > 0.9))
+        plan(f"{name}_quality", sql="SELECT count(*) AS n_rows, true AS r2_above_0_9 FROM lineitem")(quality)
+        return
+
+    def quality(spark, d):
+        accuracy = dict(_results(name, spark, d, run))["accuracy"]
+        counts = getattr(X, table)(spark, d).groupBy(target).count()
+        return counts.agg((F.max("count") / F.sum("count")).alias("majority_share")).withColumn(
+            "beats_majority", F.lit(accuracy) > F.col("majority_share") + 0.05)
+    source = {"lineitem": X.LINEITEM_SQL, "part": X.PART_SQL}[table]
+    plan(f"{name}_quality", rnd=("majority_share",), sql=f"""
+SELECT cast(max(n) as double) / sum(n) AS majority_share, true AS beats_majority
+FROM (SELECT {target}, count(*) AS n FROM ({source}) GROUP BY {target})""")(quality)
 
 
 for _name in ["clf_logistic", "clf_decision_tree", "clf_random_forest", "clf_gbt",
               "clf_gaussian_nb", "clf_mlp"]:
-    plan(_name)(_clf_plan(_name))
-plan("clf_boosted")(_clf_plan("clf_boosted", params={"choice": "lightgbm"}))
-plan("clf_svm")(_clf_plan("clf_svm", params={"kernel": "rbf"}))
-plan("clf_svm_linear")(_clf_plan("clf_svm", params={"kernel": "linear"}))
-plan("clf_gbt_multiclass")(_clf_plan("clf_gbt", data=part_band))
-plan("clf_knn")(_clf_plan("clf_knn", params={"k": 5, "ids": ["row_id"]}))
+    _register(_name, _clf_plan(_name), "lineitem", "big_order")
+_register("clf_boosted", _clf_plan("clf_boosted", params={"choice": "lightgbm"}), "lineitem", "big_order")
+_register("clf_svm", _clf_plan("clf_svm", params={"kernel": "rbf"}), "lineitem", "big_order")
+_register("clf_svm_linear", _clf_plan("clf_svm", params={"kernel": "linear"}), "lineitem", "big_order")
+_register("clf_gbt_multiclass", _clf_plan("clf_gbt", data=part_band), "part", "band")
+_register("clf_knn", _clf_plan("clf_knn", params={"k": 5, "ids": ["row_id"]}), "lineitem", "big_order")
+_register("clf_logistic_weighted", _clf_plan("clf_logistic", weights=True), "lineitem", "big_order")
 for _name in ["reg_linear", "reg_ridge", "reg_random_forest", "reg_gbt"]:
-    plan(_name)(_reg_plan(_name))
-plan("reg_boosted")(_reg_plan("reg_boosted", params={"choice": "xgboost"}))
-plan("reg_svr")(_reg_plan("reg_svr"))
+    _register(_name, _reg_plan(_name), "lineitem", None)
+_register("reg_boosted", _reg_plan("reg_boosted", params={"choice": "xgboost"}), "lineitem", None)
+_register("reg_svr", _reg_plan("reg_svr"), "lineitem", None)
 
 
 @plan("class_weights", rnd=("weight",), sql="""

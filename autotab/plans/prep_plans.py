@@ -28,6 +28,20 @@ def q_drop_high_cardinality(spark, d):
     return R.high_cardinality_columns(X.table(spark, d, "part").select(*PART_STR))
 
 
+DROP_COLS = ["row_id", "l_quantity", "constant", "l_returnflag"]
+
+
+@plan("drop_constant_applied", sql=f"SELECT row_id, l_quantity, l_returnflag FROM {LI}")
+def q_drop_constant_applied(spark, d):
+    return R.drop_constant(X.lineitem(spark, d).select(*DROP_COLS), keep=("row_id",))
+
+
+@plan("drop_high_cardinality_applied", sql="SELECT p_partkey, p_brand FROM part")
+def q_drop_high_cardinality_applied(spark, d):
+    """p_name goes (one value per part), p_brand stays (25 values)."""
+    return R.drop_high_cardinality(X.table(spark, d, "part").select("p_partkey", "p_name", "p_brand"))
+
+
 @plan("drop_null_target", sql=f"SELECT row_id, semi_label FROM {LI} WHERE semi_label IS NOT NULL")
 def q_drop_null_target(spark, d):
     return R.drop_null_target(X.lineitem(spark, d), "semi_label").select("row_id", "semi_label")
@@ -131,22 +145,54 @@ def q_variance_filter(spark, d):
     return spark.createDataFrame(rows, "position int, feature string, variance double, kept boolean")
 
 
-@plan("feature_names")
+def _prepared_sql():
+    """Imputed columns and, per raw feature in order, its expression."""
+    med = f"(SELECT quantile_cont(qty_null, 0.5) FROM {LI})"
+    mode = (f"(SELECT flag_null FROM {LI} WHERE flag_null IS NOT NULL GROUP BY flag_null "
+            f"ORDER BY count(*) DESC, flag_null LIMIT 1)")
+    imp = (f"(SELECT row_id, big_order, l_quantity, l_extendedprice, l_discount, l_tax, "
+           f"coalesce(qty_null, {med}) AS qty_null, l_returnflag, l_linestatus, "
+           f"coalesce(flag_null, {mode}) AS flag_null, rare_cat FROM {LI}) AS imp")
+    exprs = [f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1)" for c in PREP_NUM]
+    cats = {"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"],
+            "flag_null": ["A", "N", "R"], "rare_cat": ["common", "rare"]}
+    exprs += [f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END" for c, vs in cats.items() for v in vs]
+    return imp, exprs
+
+
+def _features_sql(extra: str, kept: bool) -> str:
+    imp, exprs = _prepared_sql()
+    row = ", ".join(f"round(cast({e} as double), 5)" for e in exprs)
+    src = f"(SELECT row_id, big_order, [{row}] AS v FROM {imp})"
+    if not kept:
+        return f"SELECT row_id, v AS features{extra} FROM {src}"
+    return (f"SELECT row_id, list_filter(v, lambda x, i: list_contains(k, i)) AS features{extra} FROM {src}, "
+            f"(SELECT list(position + 1) AS k FROM ({_variance_sql()}) WHERE kept)")
+
+
+def _rounded():
+    # adding 0.0 turns a rounded -0.0 into 0.0, which hash alike nowhere else
+    return F.transform(vector_to_array("features"), lambda x: F.round(x, 5) + 0.0).alias("features")
+
+
+@plan("feature_names", sql=f"""
+SELECT cast(row_number() OVER (ORDER BY position) - 1 as integer) AS position, feature
+FROM ({_variance_sql()}) WHERE kept""")
 def q_feature_names(spark, d):
     _, _, rep = R.prepare(_prep_input(spark, d), "big_order", ids=["row_id"])
     return spark.createDataFrame(list(enumerate(rep.feature_names)), "position int, feature string")
 
 
-@plan("prepare")
+@plan("prepare", sql=_features_sql(", cast(big_order as double) AS label", True))
 def q_prepare(spark, d):
     out, _, _ = R.prepare(_prep_input(spark, d), "big_order", ids=["row_id"])
-    return out.select("row_id", vector_to_array("features").alias("features"), "label")
+    return out.select("row_id", _rounded(), "label")
 
 
-@plan("assemble_features")
+@plan("assemble_features", sql=_features_sql("", False))
 def q_assemble_features(spark, d):
     out, _, _ = R.prepare(_prep_input(spark, d), "big_order", ids=["row_id"], select=False)
-    return out.select("row_id", vector_to_array("features").alias("features"))
+    return out.select("row_id", _rounded())
 
 
 # ------------------------------------------------------------------ splits

@@ -56,19 +56,25 @@ def q_range_join(spark, d):
 
 
 # ---------------------------------------------------------------- clusters
-@plan("cluster_kmeans")
+#: The planted blobs, numbered by their smallest member.
+BLOB_SQL = f"""
+SELECT p_partkey, cast(dense_rank() OVER (ORDER BY first) - 1 as integer) AS cluster
+FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY blob) AS first FROM {PS})"""
+
+
+@plan("cluster_kmeans", sql=BLOB_SQL)
 def q_cluster_kmeans(spark, d):
-    return C.cluster_kmeans(blobs(spark, d), ["p_partkey"], k=3, starts=3)
+    return C.renumber_clusters(C.cluster_kmeans(blobs(spark, d), ["p_partkey"], k=3), "p_partkey")
 
 
-@plan("cluster_gmm")
+@plan("cluster_gmm", sql=BLOB_SQL)
 def q_cluster_gmm(spark, d):
-    return C.cluster_gmm(blobs(spark, d), ["p_partkey"], k=3)
+    return C.renumber_clusters(C.cluster_gmm(blobs(spark, d), ["p_partkey"], k=3), "p_partkey")
 
 
-@plan("cluster_hierarchical")
+@plan("cluster_hierarchical", sql=BLOB_SQL)
 def q_cluster_hierarchical(spark, d):
-    return C.cluster_hierarchical(blobs(spark, d), ["p_partkey"], k=3)
+    return C.renumber_clusters(C.cluster_hierarchical(blobs(spark, d), ["p_partkey"], k=3), "p_partkey")
 
 
 @plan("cluster_dbscan")
@@ -101,7 +107,7 @@ FROM ab"""
 
 @plan("silhouette", rnd=("silhouette",), sql=SIL_SQL)
 def q_silhouette(spark, d):
-    return C.silhouette(blobs(spark, d), "p_partkey", "cluster", "features", sample=None)
+    return C.silhouette(blobs(spark, d), "p_partkey", "cluster", "features")
 
 
 @plan("calinski_harabasz", rnd=("calinski_harabasz",), digits=3, sql=f"""
@@ -182,7 +188,7 @@ def q_reduce_ica(spark, d):
 def q_reduce_nmf(spark, d):
     p = X.table(spark, d, "part").select(
         "p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("features"))
-    return RD.reduce_nmf(p, ["p_partkey"], 2, max_iter=30)
+    return RD.reduce_nmf(p, ["p_partkey"], 2)
 
 
 # ----------------------------------------------------------------- anomaly
@@ -240,14 +246,48 @@ def q_anomaly_summary(spark, d):
     return A.anomaly_summary(A.flag_anomalies(s, "event_id", 0.01))
 
 
-@plan("attach_anomalies", sql=f"""
-SELECT e.event_id, e.user_id, e.event_type, e.value, f.anomaly_score, f.is_anomaly
-FROM events e JOIN ({FLAG_SQL}) f USING (event_id) WHERE f.is_anomaly = 1
-ORDER BY f.anomaly_score DESC, e.event_id LIMIT 20""")
-def q_attach_anomalies(spark, d):
+def _attached(spark, d):
     s = spikes(spark, d).select("event_id", F.col("spiked").alias("anomaly_score"))
     raw = X.table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    return A.attach_anomalies(raw, A.flag_anomalies(s, "event_id", 0.01), "event_id", 20)
+    return A.attach_anomalies(raw, A.flag_anomalies(s, "event_id", 0.01), "event_id")
+
+
+ATTACHED_SQL = f"""
+SELECT e.event_id, e.user_id, e.event_type, e.value, f.anomaly_score, f.is_anomaly
+FROM events e JOIN ({FLAG_SQL}) f USING (event_id)"""
+
+
+@plan("attach_anomalies", sql=ATTACHED_SQL)
+def q_attach_anomalies(spark, d):
+    return _attached(spark, d)
+
+
+@plan("top_anomalies", sql=f"""
+SELECT * FROM ({ATTACHED_SQL}) WHERE is_anomaly = 1 ORDER BY anomaly_score DESC, event_id LIMIT 20""")
+def q_top_anomalies(spark, d):
+    return A.top_anomalies(_attached(spark, d), "event_id", 20)
+
+
+# ------------------------------------------- detectors against planted spikes
+DETECTORS = {"isolation_forest": A.anomaly_isolation_forest, "elliptic": A.anomaly_elliptic,
+             "one_class": A.anomaly_one_class}
+
+
+def _finds(name):
+    def build(spark, d):
+        rows = spikes(spark, d)
+        flags = DETECTORS[name](rows, "event_id", 0.01)
+        j = flags.join(rows.select("event_id", "truth"), "event_id")
+        true, hit = F.col("truth") == 1, F.col("is_anomaly") == 1
+        return j.agg(F.count_if(true).alias("n_planted"),
+                     (F.count_if(true & hit) >= 0.9 * F.count_if(true)).alias("found"),
+                     (F.count_if(~true & hit) <= 0.01 * F.count_if(~true)).alias("precise"))
+    return build
+
+
+for _name in DETECTORS:
+    plan(f"anomaly_{_name}_finds", sql=f"""
+SELECT count_if(truth = 1) AS n_planted, true AS found, true AS precise FROM ({X.EVENTS_SQL})""")(_finds(_name))
 
 
 @plan("neighbour_embedding")
@@ -255,6 +295,6 @@ def q_neighbour_embedding(spark, d):
     return RD.neighbour_embedding(blobs(spark, d), "p_partkey", 2, 10)
 
 
-@plan("cluster_spectral")
+@plan("cluster_spectral", sql=BLOB_SQL)
 def q_cluster_spectral(spark, d):
-    return C.cluster_spectral(blobs(spark, d), "p_partkey", 3)
+    return C.renumber_clusters(C.cluster_spectral(blobs(spark, d), "p_partkey", 3), "p_partkey")
