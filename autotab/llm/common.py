@@ -6,6 +6,7 @@ import uuid
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +62,13 @@ def word_table(groups: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, groups), np.int64, len(groups))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     flat = list(chain.from_iterable(groups))
-    table = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    return list(table), np.fromiter(map(table.__getitem__, flat), np.int64, len(flat)), offsets
+    if "\0" in "".join(flat):      # pandas would end such words there
+        table = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        return list(table), np.fromiter(map(table.__getitem__, flat), np.int64, len(flat)), offsets
+    words = np.empty(len(flat), object)
+    words[:] = flat
+    ids, words = pd.factorize(words)
+    return words.tolist(), ids.astype(np.int64), offsets
 
 
 def chunks(texts: list[str], limit: int = 4_000_000):

@@ -149,7 +149,8 @@ def load(path: str) -> Vocabulary:
 @dataclass
 class Lattice:
     """Edges of the lattices of several segments laid end to end, in byte positions,
-    with one spare position between them; sorted by end position, longest first.
+    with one spare position between them: the pieces by end position, longest first,
+    then the unknown characters in the same way.
 
     ``piece`` is -1 for an unknown character, ``width`` its number of bytes (1 for
     a piece); ``raw`` holds the bytes.
@@ -185,13 +186,18 @@ def lattice(vocabulary: Vocabulary, segments: list[str]) -> Lattice:
     bare[(end - length)[length == size[end - length]]] = False
     bare = np.flatnonzero(bare)
     width = size[bare]
-    target = np.concatenate([end, bare + width])
-    order = np.argsort(target, kind="stable")
     return Lattice(
-        begin, finish, np.concatenate([end - length, bare])[order], target[order],
-        np.concatenate([vocabulary.scores[piece], np.full(len(bare), vocabulary.unknown)])[order],
-        np.concatenate([piece, np.full(len(bare), -1)])[order],
-        np.concatenate([np.ones(len(piece), np.int64), width])[order], joined)
+        begin, finish, np.concatenate([end - length, bare]), np.concatenate([end, bare + width]),
+        np.concatenate([vocabulary.scores[piece], np.full(len(bare), vocabulary.unknown)]),
+        np.concatenate([piece, np.full(len(bare), -1)]),
+        np.concatenate([np.ones(len(piece), np.int64), width]), joined)
+
+
+def sorted_by(key: np.ndarray) -> np.ndarray:
+    """Stable order of keys below 2^31: key and place sorted as one value."""
+    packed = key << 32 | np.arange(len(key))
+    packed.sort()
+    return packed & 0xFFFFFFFF
 
 
 def levels(depth: np.ndarray):
@@ -221,14 +227,16 @@ def best_counts(lat: Lattice) -> tuple[np.ndarray, np.ndarray]:
     origin = np.zeros(lat.positions, np.int64)
     origin[lat.begin] = lat.begin
     origin = np.maximum.accumulate(origin)
-    for edges in levels(lat.end - origin[lat.start]):
-        start, end = lat.start[edges], lat.end[edges]
-        candidate = score[start] + lat.score[edges]
+    order = sorted_by(lat.end)      # of equal ends an unknown character comes last, as the shortest
+    starts, ends, scores, widths = lat.start[order], lat.end[order], lat.score[order], lat.width[order]
+    for edges in levels(ends - origin[starts]):
+        start, end = starts[edges], ends[edges]
+        candidate = score[start] + scores[edges]
         run = heads(end)
         top = np.maximum.reduceat(candidate, run)
         own = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(end))))
         first = np.flatnonzero(candidate == top[own])
         first = first[heads(own[first])]
         score[end[run]] = top
-        count[end[run]] = count[start[first]] + lat.width[edges][first]
+        count[end[run]] = count[start[first]] + widths[edges][first]
     return score[lat.finish], count[lat.finish]

@@ -66,3 +66,13 @@ def test_null_empty_repeated_and_no_rows(frame):
     got = token_counts.count_tokens(frame(rows), PATH).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got)[1:3] == [(1, 0), (2, 0)] and len(got) == 5
     assert token_counts.count_tokens(frame([]), PATH).count() == 0
+
+
+def test_word_table_keeps_words_apart():
+    from autotab.llm.common import word_table
+    groups = [["ab", "ab\0c", "ab"], [], ["nan", "", "None"], ["ab\0d"]]
+    words, ids, offsets = word_table(groups)
+    assert [[words[i] for i in ids[a:b]] for a, b in zip(offsets, offsets[1:])] == groups
+    groups = [["x", "y", "x"], ["nan", "None", ""]]
+    words, ids, offsets = word_table(groups)
+    assert [[words[i] for i in ids[a:b]] for a, b in zip(offsets, offsets[1:])] == groups
