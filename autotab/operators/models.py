@@ -90,30 +90,39 @@ class OneVsRestBoosted:
         return out.drop(*drop)
 
 
-def fourier_features(features: str, d: int, n_components: int = 100, gamma: float | None = None,
-                     seed: int = SEED, out: str = "rff"):
+class FourierFeatures:
     """Random Fourier features z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2*gamma)
-    (Rahimi & Recht 2007): an RBF kernel approximated by a linear one. W is a
-    D x d matrix shipped inside the Arrow-batched UDF; rows never leave
-    their task."""
-    from pyspark.sql.functions import pandas_udf
-    gamma = 1.0 / max(d, 1) if gamma is None else gamma
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, math.sqrt(2 * gamma), size=(d, n_components))
-    b = rng.uniform(0, 2 * math.pi, size=n_components)
-    scale = math.sqrt(2.0 / n_components)
-
-    @pandas_udf(T.ArrayType(T.DoubleType()))
-    def rff(col):
-        X = np.stack(col.to_numpy()) if len(col) else np.zeros((0, d))
-        Z = scale * np.cos(X @ W + b)
+    (Rahimi & Recht 2007): an RBF kernel approximated by a linear one. Calling it adds the
+    column ``out``. W follows from the seed, so the parameters are all there is to store; it is a
+    D x d matrix shipped inside the Arrow-batched UDF; rows never leave their task."""
+
+    def __init__(self, features: str, d: int, n_components: int, gamma: float, seed: int, out: str):
+        self.params = {"features": features, "d": d, "n_components": n_components, "gamma": gamma,
+                       "seed": seed, "out": out}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
         import pandas as pd
-        return pd.Series(list(Z))
+        from pyspark.sql.functions import pandas_udf
 
-    def apply(df: DataFrame) -> DataFrame:
         from autotab.operators.neighbours import as_array
-        return df.withColumn(out, array_to_vector(rff(as_array(df, features))))
-    return apply
+        p = self.params
+        rng = np.random.default_rng(p["seed"])
+        d, k = p["d"], p["n_components"]
+        W = rng.normal(0.0, math.sqrt(2 * p["gamma"]), size=(d, k))
+        b = rng.uniform(0, 2 * math.pi, size=k)
+        scale = math.sqrt(2.0 / k)
+
+        @pandas_udf(T.ArrayType(T.DoubleType()))
+        def rff(col):
+            X = np.stack(col.to_numpy()) if len(col) else np.zeros((0, d))
+            return pd.Series(list(scale * np.cos(X @ W + b)))
+
+        return df.withColumn(p["out"], array_to_vector(rff(as_array(df, p["features"]))))
+
+
+def fourier_features(features: str, d: int, n_components: int = 100, gamma: float | None = None,
+                     seed: int = SEED, out: str = "rff") -> FourierFeatures:
+    return FourierFeatures(features, d, n_components, 1.0 / max(d, 1) if gamma is None else gamma, seed, out)
 
 
 class PlattSVM:

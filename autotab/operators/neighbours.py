@@ -53,14 +53,18 @@ def pair_distances(X: np.ndarray, Y: np.ndarray):
 
 def blocked(query: DataFrame, ref: DataFrame, fn, schema: str, block_rows: int = BLOCK_ROWS,
             query_extra: list[str] | None = None, ref_extra: list[str] | None = None,
-            counts: tuple[int, int] | None = None) -> DataFrame:
+            counts: tuple[int, int] | None = None, reach: float | None = None) -> DataFrame:
     """Run ``fn(qdf, rdf) -> pandas`` once per (query block, reference block).
 
     ``query``/``ref`` carry ``_id`` and ``_x`` (array<double>) plus extras.
     Each query row is copied to every reference block and vice versa, so a
-    group holds about ``block_rows`` rows of each side.
+    group holds about ``block_rows`` rows of each side. With ``reach`` only pairs within that
+    distance matter to ``fn``: blocks are then cells around pivots and a row goes only to cells
+    that the triangle inequality cannot rule out.
     """
     nq, nr = counts or (query.count(), ref.count())
+    if reach is not None and nr > block_rows:
+        return _reaching(query, ref, fn, schema, block_rows, query_extra, ref_extra, nr, reach)
     qb_n = max(1, math.ceil(nq / block_rows))
     rb_n = max(1, math.ceil(nr / block_rows))
     q = (query.select("_id", "_x", *(query_extra or []))
@@ -81,6 +85,65 @@ def blocked(query: DataFrame, ref: DataFrame, fn, schema: str, block_rows: int =
     return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(run, schema)
 
 
+MAX_PIVOTS = 1024     # the bound of what is sent to every task
+
+
+def _reaching(query: DataFrame, ref: DataFrame, fn, schema: str, block_rows: int, query_extra, ref_extra,
+              nr: int, reach: float) -> DataFrame:
+    """``blocked`` over pivot cells: cell pairs farther apart than their radii plus ``reach``
+    never meet; cells of more than ``block_rows`` rows are split by a hash of the id."""
+    spark = query.sparkSession
+    few = ref.select("_id", "_x").orderBy(F.xxhash64("_id"), "_id").limit(min(MAX_PIVOTS, -(-nr // block_rows) * 4))
+    pivots = _stack(pd.Series([r["_x"] for r in few.collect()]))
+
+    def celled(df):
+        def assign(batches):
+            for pdf in batches:
+                if len(pdf):
+                    X, best = _stack(pdf["_x"]), []
+                    for _, D in pair_distances(X, pivots):
+                        at = D.argmin(axis=1)
+                        best.append(np.stack([at, D[np.arange(len(D)), at]], axis=1))
+                    best = np.concatenate(best)
+                    yield pdf.assign(_cell=best[:, 0].astype(np.int32), _apart=best[:, 1])
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        out = df.mapInPandas(assign, f"{kinds}, _cell int, _apart double")
+        stats = {r["_cell"]: (r["n"], r["radius"]) for r in out.groupBy("_cell").agg(
+            F.count(F.lit(1)).alias("n"), F.max("_apart").alias("radius")).collect()}
+        first, total, split = {}, 0, {}
+        for cell, (n, _) in sorted(stats.items()):
+            first[cell], split[cell] = total, -(-n // block_rows)
+            total += split[cell]
+        table = spark.createDataFrame([(c, first[c], split[c]) for c in stats] or [(-1, 0, 1)],
+                                      "_cell int, _first int, _split int")
+        block = F.col("_first") + F.pmod(F.xxhash64("_id"), F.col("_split")).cast("int")
+        return out.join(F.broadcast(table), "_cell").withColumn("_block", block), stats, first, split
+
+    q, q_stats, q_first, q_split = celled(query.select("_id", "_x", *(query_extra or [])))
+    r, r_stats, r_first, r_split = celled(ref.select("_id", "_x", *(ref_extra or [])))
+    near = []
+    for i, (_, ri) in q_stats.items():
+        apart = np.sqrt(((pivots - pivots[i]) ** 2).sum(axis=1))
+        near += [(i, j) for j, (_, rj) in r_stats.items() if apart[j] <= (ri + rj + reach) * (1 + 1e-9) + 1e-9]
+    # cell pairs that can meet, with the other side's blocks: at most MAX_PIVOTS^2 rows, joined, not broadcast by hand
+    to_ref = spark.createDataFrame([(i, r_first[j], r_first[j] + r_split[j] - 1) for i, j in near] or [(-1, 0, 0)],
+                                   "_cell int, _a int, _z int")
+    to_query = spark.createDataFrame([(j, q_first[i], q_first[i] + q_split[i] - 1) for i, j in near] or [(-1, 0, 0)],
+                                     "_cell int, _a int, _z int")
+    q = (q.join(to_ref, "_cell").select("_id", "_x", *(query_extra or []), F.col("_block").alias("_qb"),
+                                        F.explode(F.sequence("_a", "_z")).alias("_rb")))
+    extras = list(ref_extra or [])
+    r = (r.join(to_query, "_cell").select(
+        F.col("_id").alias("_r_id"), F.col("_x").alias("_r_x"), *[F.col(c).alias(f"_r_{c}") for c in extras],
+        F.col("_block").alias("_rb"), F.explode(F.sequence("_a", "_z")).alias("_qb")))
+    back = {"_r_id": "_id", "_r_x": "_x", **{f"_r_{c}": c for c in extras}}
+
+    def run(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
+        return fn(qdf, rdf.rename(columns=back))
+
+    return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(run, schema)
+
+
 def _prepare_side(df: DataFrame, id_col: str, features: str, extra: list[str] | None = None):
     return df.select(F.col(id_col).alias("_id"), as_array(df, features).alias("_x"), *(extra or []))
 
@@ -150,7 +213,7 @@ def neighbour_counts(df: DataFrame, eps: float, id_col: str = "row_id",
         return pd.DataFrame({"_qid": qdf["_id"].to_numpy(), "n": n})
 
     side = _prepare_side(df, id_col, features)
-    part = blocked(side, side, cnt, f"_qid {id_type}, n long", block_rows)
+    part = blocked(side, side, cnt, f"_qid {id_type}, n long", block_rows, reach=eps)
     return part.groupBy(F.col("_qid").alias(id_col)).agg(F.sum("n").alias("n_within"))
 
 

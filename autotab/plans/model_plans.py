@@ -56,6 +56,11 @@ def _results(key, spark, d, run):
     return _RESULTS[key, d]
 
 
+def forget_results() -> None:
+    """Let the next query fit anew (used by the bench)."""
+    _RESULTS.clear()
+
+
 def _metrics_plan(name, run):
     def build(spark, d):
         return spark.createDataFrame(_results(name, spark, d, run), "metric string, value double")

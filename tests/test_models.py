@@ -93,3 +93,77 @@ def test_stream_scoring(spark, binary, tmp_path):
                      checkpoint=str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 500
+
+
+def test_svr_and_every_saved_model(spark, sf, binary, tmp_path):
+    from autotab.operators import prep as R
+    from autotab.operators.tune import CoTrainingModel
+    from autotab.plans import fixtures as X
+    train, test = binary
+    rtrain, rtest, _ = lineitem_regression(spark, sf)
+    svr = MD.fit_model(rtrain, "regression", "reg_svr")
+    assert M.metric_regression(MD.score(svr, rtest, ["row_id"])).first().r2 > 0.9
+    small = train.limit(300).persist()
+    logistic = MD.fit_model(small, "classification", "clf_logistic")
+    cases = [(svr, rtest), (MD.fit_model(small, "classification", "clf_svm", {"maxIter": 5}), test),
+             (MD.fit_model(small, "classification", "clf_knn", {"k": 3, "ids": ["row_id"]}), test.limit(50))]
+    for i, (m, rows) in enumerate(cases):
+        path = str(tmp_path / f"m{i}")
+        IO.save_model(m, path, spark)
+        a = MD.score(m, rows, ["row_id"]).select("row_id", F.col("prediction").alias("a"))
+        b = MD.score(IO.load_model(path, spark), rows, ["row_id"]).select("row_id", F.col("prediction").alias("b"))
+        assert a.join(b, "row_id").filter(F.abs(F.col("a") - F.col("b")) > 1e-9).count() == 0
+    raw = X.lineitem(spark, sf).select("row_id", "l_quantity", "l_discount", "l_tax", "l_returnflag",
+                                       "l_linestatus", "big_order")
+    prepared, _, rep = R.prepare(raw, "big_order", ids=["row_id"], task="classification")
+    m = MD.fit_model(prepared, "classification", "clf_logistic")
+    IO.save_model(m, str(tmp_path / "p"), spark, preparation=rep.scoring_model)
+    out = IO.load_model(str(tmp_path / "p"), spark).transform(raw.drop("big_order").limit(20))
+    assert out.filter("prediction IS NOT NULL").count() == 20
+    co = CoTrainingModel(logistic, logistic, 2, 4)
+    IO.save_model(co, str(tmp_path / "co"), spark)
+    assert IO.load_model(str(tmp_path / "co"), spark).split == 2
+
+
+def test_csv_quotes_newlines_and_suffixes(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('a,b,c\n1,"x ""y"" z",3d\n2,"two\nlines",4f\n')
+    df = IO.read_table(spark, str(p))
+    assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, 'x "y" z', "3d"), (2, "two\nlines", "4f")]
+    from autotab.functions.scalars import parse_estimate
+    got = spark.createDataFrame([("80d%",), ("0.3f",), ("85-90%",)], "s string").select(parse_estimate("s").alias("v"))
+    assert [r.v for r in got.collect()] == [0.5, 0.5, 0.875]
+
+
+def test_every_reply_gives_rows(spark):
+    from autotab.operators.recommend import parse_recommendations
+    rows = [(1, '{"other": 1}'), (2, '{"algorithm_recommendations": {"classification": "text"}}'), (3, None),
+            (4, '{"algorithm_recommendations": {"classification": [{"algorithm": "A"}]}}')]
+    got = parse_recommendations(spark.createDataFrame(rows, "reply_id int, reply string"))
+    assert {r.reply_id: r.fallback for r in got.collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_boolean_and_date_targets(spark):
+    import datetime
+
+    from autotab.operators import prep as R
+    df = spark.createDataFrame([(i, float(i % 7), i % 2 == 0, datetime.date(2020, 1, 1 + i % 2)) for i in range(40)],
+                               "row_id int, x double, t boolean, day date")
+    for target in ("t", "day"):
+        out = R.prepare(df.select("row_id", "x", target), target, ids=["row_id"])[0]
+        assert sorted(r["count"] for r in out.groupBy("label").count().collect()) == [20, 20]
+
+
+def test_grid_depth_is_unlimited_above_the_others():
+    from autotab.operators.tune import param_grid
+    depths = {p["maxDepth"] for p in param_grid("classification", "clf_random_forest")}
+    assert depths == {10, 20, 30}
+
+
+def test_splits_do_not_depend_on_partitions(spark, sf):
+    from autotab.operators import split as S
+    from autotab.plans import fixtures as X
+    li = X.lineitem(spark, sf).select("row_id", "big_order")
+    for fn in (lambda d: S.split_random(d, ["row_id"]), lambda d: S.split_stratified(d, "big_order", ["row_id"]),
+               lambda d: S.sample_n(d, ["row_id"], 100)):
+        assert sorted(fn(li).collect()) == sorted(fn(li.repartition(9)).collect())

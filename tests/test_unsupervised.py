@@ -148,19 +148,20 @@ def _outliers(spark):
                                  "row_id long, features array<double>")
 
 
-@pytest.mark.parametrize("detector", ["lof", "iforest", "elliptic"])
+@pytest.mark.parametrize("detector", ["lof", "iforest", "elliptic", "one_class"])
 def test_planted_outliers_top(spark, detector):
     df = _outliers(spark)
     fn = {"lof": lambda: A.anomaly_lof(df, "row_id", 10, 0.025),
           "iforest": lambda: A.anomaly_isolation_forest(df, "row_id", 0.025, n_trees=50),
-          "elliptic": lambda: A.anomaly_elliptic(df, "row_id", 0.025)}[detector]
+          "elliptic": lambda: A.anomaly_elliptic(df, "row_id", 0.025),
+          "one_class": lambda: A.anomaly_one_class(df, "row_id", 0.025)}[detector]
     out = fn().orderBy(F.col("anomaly_score").desc()).limit(5).collect()
     assert {r.row_id for r in out} == set(range(5))
 
 
 def test_spectral_separates_blobs(spark):
     df, X = _points(spark, 90)
-    lab = {r.row_id: r.cluster for r in C.cluster_spectral(df, "row_id", 3, n_neighbors=8).collect()}
+    lab = {r.row_id: r.cluster for r in C.cluster_spectral(df, "row_id", 3).collect()}
     groups = {}
     for i in range(90):
         groups.setdefault(i % 3, set()).add(lab[i])
@@ -179,3 +180,15 @@ def test_knn_tree_merge_many_blocks(spark, monkeypatch):
         order = np.lexsort((np.arange(len(X)), D[i]))[:3]
         for rk, j in enumerate(order, start=1):
             assert got[(i, rk)] == j
+
+
+def test_reaching_blocks_split_cells_and_skip_far_ones(spark):
+    """Counts stay exact when cells are small, split and mostly out of reach."""
+    rng = np.random.default_rng(9)
+    X = np.vstack([rng.normal(scale=0.3, size=(150, 2)), rng.normal(scale=0.3, size=(60, 2)) + 20,
+                   np.repeat([[5.0, 5.0]], 60, axis=0)])
+    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)],
+                               "row_id long, features array<double>")
+    got = {r.row_id: r.n_within for r in N.neighbour_counts(df, 0.25, block_rows=16).collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    assert got == {i: int((D[i] <= 0.25).sum()) for i in range(len(X))}
