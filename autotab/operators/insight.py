@@ -70,7 +70,7 @@ def mutual_information(df: DataFrame, target: str, cols: list[str] | None = None
     px = joint.groupBy("feature", "_b").agg(F.sum("nxy").alias("nx"))
     py = joint.groupBy("feature", "_y").agg(F.sum("nxy").alias("ny"))
     n = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
-    j = joint.join(px, ["feature", "_b"]).join(py, ["feature", "_y"]).join(F.broadcast(n), "feature")
+    j = joint.join(px, ["feature", "_b"]).join(py, ["feature", "_y"]).join(n, "feature")
     term = (F.col("nxy") / F.col("n")) * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
     return j.groupBy("feature").agg(F.sum(term).alias("mi"))
 
@@ -87,7 +87,8 @@ MSG_COMPACT = "Low Kurtosis: Data is relatively compact, but subtle local outlie
 
 
 def dataset_insights(df: DataFrame, cols: list[str] | None = None, target: str | None = None,
-                     task: str = "classification") -> DataFrame:
+                     task: str = "classification", least_supervised: int = 100,
+                     least_unsupervised: int = 50) -> DataFrame:
     """The four rules as rows (rule, fired, value, message). Every statistic
     is one Spark aggregate; the rule texts are formatted from its result."""
     cols = [c for c in numeric_columns(df, cols) if c != target]
@@ -96,7 +97,7 @@ def dataset_insights(df: DataFrame, cols: list[str] | None = None, target: str |
     nz = nonzero_share(df, cols).first()
     rows.append(("sparsity", bool(nz.sparse), float(nz.nonzero_share),
                  MSG_SPARSE.format(nz.nonzero_share) if nz.sparse else None))
-    if target is not None and n > 100:
+    if target is not None and n > least_supervised:
         mi_df = mutual_information(df, target, cols,
                                    target_bins=MI_BINS if task == "regression" else None)
         mi = mi_df.agg(F.avg("mi")).first()[0]
@@ -105,7 +106,7 @@ def dataset_insights(df: DataFrame, cols: list[str] | None = None, target: str |
     ma = max_abs_feature(df, cols).first()
     rows.append(("wide_ranges", bool(ma.wide_ranges), ma.max_abs,
                  MSG_WIDE if ma.wide_ranges else None))
-    if target is None and n > 50:
+    if target is None and n > least_unsupervised:
         k = mean_kurtosis(df, cols).first()
         fired = k.mean_kurtosis is not None and k.mean_kurtosis > KURTOSIS_ABOVE
         msg = MSG_KURT.format(k.mean_kurtosis) if fired else (
@@ -147,11 +148,11 @@ def calibration_factors(history: DataFrame, start: dict | None = None) -> DataFr
     start = start or DEFAULT_FACTORS
     h = calibration_history(history).withColumn(
         "_r", F.least(F.greatest(F.col("ratio"), F.lit(0.5)), F.lit(1.5)))
-    ranked = global_rank(h.select("task_type", "seq", "_r"), ["seq"], [], group_cols=["task_type"],
+    ranked = global_rank(h.select("task_type", "seq", "_r"), ["seq"], ["_r"], group_cols=["task_type"],
                          rank_col="_i")
     m = ranked.groupBy("task_type").agg(F.count(F.lit(1)).alias("_m"))
     f0 = F.create_map(*[x for k, v in start.items() for x in (F.lit(k), F.lit(v))])
-    return (ranked.join(F.broadcast(m), "task_type")
+    return (ranked.join(m, "task_type")
             .groupBy("task_type", "_m")
             .agg(F.sum(0.3 * F.pow(F.lit(0.7), F.col("_m") - F.col("_i")) * F.col("_r")).alias("_s"))
             .select("task_type", F.col("_m").alias("n_obs"),

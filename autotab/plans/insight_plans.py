@@ -59,12 +59,45 @@ def q_mutual_information(spark, d):
     return I.mutual_information(X.lineitem(spark, d), "big_order", INS_COLS)
 
 
-@plan("dataset_insights")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rules_sql(cols, source):
+    """The sparsity and range rules over ``cols`` as rows, and what they read."""
+    share = (f"(SELECT cast({' + '.join(f'count_if(coalesce({c} <> 0, true))' for c in cols)} as double) "
+             f"/ (count(*) * {len(cols)}.0) FROM {source})")
+    top = f"(SELECT greatest({', '.join(f'max(abs({c}))::DOUBLE' for c in cols)}) FROM {source})"
+    sparse = I.MSG_SPARSE.split("{:.1%}")
+    return f"""
+SELECT 'sparsity' AS rule, v < 0.2 AS fired, v AS value,
+  CASE WHEN v < 0.2 THEN {_quoted(sparse[0])} || printf('%.1f%%', v * 100) || {_quoted(sparse[1])} END AS message
+FROM (SELECT {share} AS v)
+UNION ALL SELECT 'wide_ranges', v > 1000, v, CASE WHEN v > 1000 THEN {_quoted(I.MSG_WIDE)} END FROM (SELECT {top} AS v)"""
+
+
+def _kurtosis_sql():
+    high = I.MSG_KURT.split("{:.1f}")
+    return f"""
+SELECT 'kurtosis', k > 3, k, CASE WHEN k > 3 THEN {_quoted(high[0])} || printf('%.1f', k) || {_quoted(high[1])}
+  ELSE {_quoted(I.MSG_COMPACT)} END
+FROM (SELECT avg(k) AS k FROM ({' UNION ALL '.join(f'SELECT kurtosis_pop({c}) AS k FROM {EV}' for c in KURT_COLS)}))"""
+
+
+def _nonlinear_sql():
+    return f"""
+SELECT 'nonlinearity', m > 0.15, m, CASE WHEN m > 0.15 THEN {_quoted(I.MSG_NONLINEAR)} ELSE {_quoted(I.MSG_LINEAR)} END
+FROM (SELECT avg(mi) AS m FROM ({_mi_sql(INS_COLS, "big_order", LI)}))"""
+
+
+@plan("dataset_insights", rnd=("value",), digits=4,
+      sql=_rules_sql(KURT_COLS, EV) + " UNION ALL " + _kurtosis_sql())
 def q_dataset_insights(spark, d):
     return I.dataset_insights(X.events(spark, d), KURT_COLS, None, "anomaly_detection")
 
 
-@plan("dataset_insights_supervised")
+@plan("dataset_insights_supervised", rnd=("value",), digits=4,
+      sql=_rules_sql(INS_COLS, LI) + " UNION ALL " + _nonlinear_sql())
 def q_dataset_insights_supervised(spark, d):
     return I.dataset_insights(X.lineitem(spark, d), INS_COLS, "big_order", "classification")
 

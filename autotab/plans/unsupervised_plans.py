@@ -77,7 +77,25 @@ def q_cluster_hierarchical(spark, d):
     return C.renumber_clusters(C.cluster_hierarchical(blobs(spark, d), ["p_partkey"], k=3), "p_partkey")
 
 
-@plan("cluster_dbscan")
+DBSCAN_SQL = f"""
+WITH RECURSIVE p AS (SELECT p_partkey AS id, x, y FROM {PS}),
+e AS (SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON abs(a.x - b.x) <= 0.1
+      AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.1),
+core AS (SELECT i FROM e GROUP BY i HAVING count(*) >= 5),
+ce AS (SELECT i, j FROM e WHERE i IN (FROM core) AND j IN (FROM core)),
+reach(root, i) AS (
+  SELECT i, i FROM core
+  UNION SELECT r.root, ce.j FROM reach r JOIN ce ON r.i = ce.i WHERE r.root <= ce.j),
+lab AS (SELECT i, min(root) AS c FROM reach GROUP BY i),
+mem AS (SELECT i AS id, c FROM lab UNION ALL
+  SELECT e.i, min(lab.c) FROM e JOIN lab ON e.j = lab.i WHERE e.i NOT IN (FROM core) GROUP BY e.i),
+num AS (SELECT c, dense_rank() OVER (ORDER BY first) - 1 AS cluster
+        FROM (SELECT c, min(id) AS first FROM mem GROUP BY c))
+SELECT p.id AS p_partkey, cast(coalesce(num.cluster, -1) as integer) AS cluster
+FROM p LEFT JOIN mem ON mem.id = p.id LEFT JOIN num ON num.c = mem.c"""
+
+
+@plan("cluster_dbscan", sql=DBSCAN_SQL)
 def q_cluster_dbscan(spark, d):
     return C.cluster_dbscan(blobs(spark, d), "p_partkey", eps=0.1, min_samples=5)
 
