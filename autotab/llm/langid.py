@@ -18,9 +18,7 @@ table gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +28,6 @@ from pyspark.sql import functions as F
 from autotab.llm.common import bounded_sample, chunks, segment_sum, strings, word_table
 
 FEATURES = 1 << 13
-LETTER = re.compile(r"[^\W\d_]")
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -192,7 +189,7 @@ def guess(model: Ecoc | None, texts: list[str], margin: float) -> tuple[list, li
             continue
         best, share, gap = model.decode(model.margins(*word_table([t.split() for t in part])))
         for t, i, s, g in zip(part, best, share, gap):
-            known = LETTER.search(t) is not None
+            known = any(map(str.isalpha, t))
             langs.append(model.languages[i] if known else "und")
             scores.append(float(s) if known else 0.0)
             unsure.append(bool(known and g < margin))

@@ -60,7 +60,7 @@ def test_real_documents(spark, sf):
 
 
 def test_null_empty_repeated_and_no_rows(spark):
-    rows = texts(80, 3) + [(900, None, "aa"), (901, "", None), (902, "12 -- 3!", "bb"), (None, "abc", None),
+    rows = texts(80, 3) + [(900, None, "aa"), (901, "", None), (902, "12 -- 3! ² ½", "bb"), (None, "abc", None),
                            (903, "a" * 50_000, "aa"), (1, "abc abc", "aa"), (1, "abc abc", "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     got = langid.identify(df, fold_of(F.col("doc_id"), 4) != 2).collect()
