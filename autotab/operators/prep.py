@@ -15,7 +15,7 @@ import decimal
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import (OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler,
+from pyspark.ml.feature import (OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler,
                                 VectorSlicer)
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from autotab.operators.profile import (categorical_columns, is_missing, numeric_columns,
                                        role_of)
-from autotab.operators.ranking import column_quantiles
+from autotab.operators.ranking import column_quantiles, column_quantiles_with
 
 MAX_CLASSES = 10_000          # label table is broadcast; bounded by this check
 HIGH_CARDINALITY = 50
@@ -65,17 +65,31 @@ def high_cardinality_columns(df: DataFrame, cols: list[str] | None = None,
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, high_cardinality boolean")
     est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first().asDict()
-    decided = {}
-    for c in cols:
-        if est[c] > limit * 1.25:
-            decided[c] = True
-        elif est[c] < limit * 0.75:
-            decided[c] = False
-        else:
-            exact = df.select(c).filter(F.col(c).isNotNull()).distinct().count()
-            decided[c] = exact > limit
     return df.sparkSession.createDataFrame(
-        [(c, decided[c]) for c in cols], "column_name string, high_cardinality boolean")
+        sorted(_settle_cardinality(df, est, limit).items()), "column_name string, high_cardinality boolean")
+
+
+def _settle_cardinality(df: DataFrame, estimates: dict, limit: int) -> dict:
+    """{column: more than ``limit`` distinct values} from HyperLogLog estimates, with an exact
+    distributed count for those near the limit."""
+    out = {}
+    for c, est in estimates.items():
+        if limit * 0.75 <= est <= limit * 1.25:
+            out[c] = df.select(c).filter(F.col(c).isNotNull()).distinct().count() > limit
+        else:
+            out[c] = est > limit
+    return out
+
+
+def _pruned(df: DataFrame, candidates: list[str], limit: int = HIGH_CARDINALITY) -> tuple[set, set]:
+    """(constant columns, string columns of high cardinality) from one scan of the table."""
+    plain = [c for c in candidates if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
+    cats = categorical_columns(df, candidates)
+    row = df.agg(*[((F.count(c) == 0) | (F.min(c) == F.max(c))).alias(f"k{i}") for i, c in enumerate(plain)],
+                 *[F.approx_count_distinct(c, 0.05).alias(f"d{i}") for i, c in enumerate(cats)]).first()
+    constant = {c for i, c in enumerate(plain) if row[f"k{i}"]}
+    wide = _settle_cardinality(df, {c: row[f"d{i}"] for i, c in enumerate(cats) if c not in constant}, limit)
+    return constant, {c for c, high in wide.items() if high}
 
 
 def drop_constant(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -141,6 +155,43 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict:
     return {r.column_name: r.mode for r in top.collect()}
 
 
+def category_counts(df: DataFrame, cols: list[str]) -> dict:
+    """{column: {value: rows}} of string columns of few values (pruned before)."""
+    if not cols:
+        return {}
+    counts = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+        for c in cols])).alias("kv")).select("kv.*").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    out: dict = {c: {} for c in cols}
+    for r in counts.collect():
+        out[r.column_name][r.value] = r.n
+    return out
+
+
+def _fitted_numbers(df: DataFrame, num: list[str]) -> tuple[dict, dict, int]:
+    """(medians, {column: (mean, population std) after filling in the median}, rows): the moments
+    ride along in the first scan of the quantile search; filling adds a group of equal values."""
+    extra = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(num):
+        x = F.when(~is_missing(df, c), F.col(c).cast("double"))
+        extra.append(F.struct(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")).alias(f"m{i}"))
+    if not num:
+        return {}, {}, df.count()
+    found, row = column_quantiles_with(df, num, [0.5], extra)
+    medians = {c: found[c].get(0.5) for c in num}
+    stats = {}
+    for i, c in enumerate(num):
+        n, mean, var = row[f"m{i}"]
+        if not n:
+            stats[c] = (None, None)
+            continue
+        gap, total = row["rows"] - n, row["rows"]
+        filled = (n * mean + gap * medians[c]) / total
+        second = (n * (var + (mean - filled) ** 2) + gap * (medians[c] - filled) ** 2) / total
+        stats[c] = (filled, second ** 0.5)
+    return medians, stats, row["rows"]
+
+
 def impute_median(df: DataFrame, cols: list[str], key: list[str] | None = None,
                   medians: dict | None = None) -> DataFrame:
     medians = medians if medians is not None else column_medians(df, cols, key)
@@ -227,26 +278,23 @@ def prepare(df: DataFrame, target: str | None = None, ids: list[str] | None = No
     if target:
         fit_df = drop_null_target(fit_df, target)
         df = drop_null_target(df, target)
-    # The fit reads the training rows about ten times (pruning, medians,
-    # modes, moments, indexers, variances): keep them in executor storage
-    # for the duration; lost blocks are recomputed from lineage.
-    fit_df = fit_df.persist()
+    # The fit reads the training rows about five times (pruning, quantile scans, category
+    # counts): keep them in executor storage for the duration; lost blocks are recomputed.
+    owned = not fit_df.is_cached
+    if owned:
+        fit_df = fit_df.persist()
     candidates = [c for c in df.columns if c not in keep and c != vector_col]
 
-    const = {r.column_name for r in constant_columns(fit_df, candidates).collect() if r.is_constant}
-    cand2 = [c for c in candidates if c not in const]
-    hi_card = {r.column_name for r in high_cardinality_columns(fit_df, cand2).collect()
-               if r.high_cardinality}
-    cand3 = [c for c in cand2 if c not in hi_card]
+    const, hi_card = _pruned(fit_df, candidates)
+    cand3 = [c for c in candidates if c not in const and c not in hi_card]
     num = numeric_columns(fit_df, cand3)
     cat = categorical_columns(fit_df, cand3)
     other = [c for c in cand3 if c not in num and c not in cat]
 
     task = task or infer_task_value(fit_df, target)
-    medians = column_medians(fit_df, num, ids or None)
-    modes = column_modes(fit_df, cat)
-    imputed = impute_median(fit_df, num, medians=medians)
-    stats = scale_stats(imputed, num)
+    medians, stats, n_rows = _fitted_numbers(fit_df, num)
+    counts = category_counts(fit_df, cat)
+    modes = {c: min(((-n, v) for v, n in counts[c].items() if v is not None), default=(0, None))[1] for c in cat}
 
     # One projection carries every fitted constant: impute, scale, mode-fill.
     exprs = []
@@ -274,15 +322,16 @@ def prepare(df: DataFrame, target: str | None = None, ids: list[str] | None = No
     assembled = [f"__n_{c}" for c in num]
     names = list(num)
     if cat:
-        idx = StringIndexer(inputCols=[f"__c_{c}" for c in cat], outputCols=[f"__i_{c}" for c in cat],
-                            stringOrderType="alphabetAsc", handleInvalid="keep")
-        idx_model = idx.fit(sql_stage.transform(fit_df))
+        labels_of = [sorted(v for v in counts[c] if v is not None) for c in cat]
+        indexers = [StringIndexerModel.from_labels(labels, inputCol=f"__c_{c}", outputCol=f"__i_{c}",
+                                                   handleInvalid="keep") for c, labels in zip(cat, labels_of)]
         ohe = OneHotEncoder(inputCols=[f"__i_{c}" for c in cat], outputCols=[f"__o_{c}" for c in cat],
                             dropLast=True)
-        ohe_model = ohe.fit(idx_model.transform(sql_stage.transform(fit_df)))
-        stages += [idx_model, ohe_model]
+        # reads the labels, no rows
+        ohe_model = ohe.fit(PipelineModel(stages=[sql_stage, *indexers]).transform(fit_df))
+        stages += [*indexers, ohe_model]
         assembled += [f"__o_{c}" for c in cat]
-        for c, labels in zip(cat, idx_model.labelsArray):
+        for c, labels in zip(cat, labels_of):
             names += [f"{c}_{v}" for v in labels]
     if vector_col:
         assembled.append(vector_col)
@@ -290,16 +339,19 @@ def prepare(df: DataFrame, target: str | None = None, ids: list[str] | None = No
         names += [f"{vector_col}_{i}" for i in range(dim)]
     stages.append(VectorAssembler(inputCols=assembled, outputCol="__raw_features",
                                   handleInvalid="keep"))
-    raw_model = PipelineModel(stages=stages)
 
     kept = list(range(len(names)))
     variances = []
     if select and len(names) > VARIANCE_MIN_FEATURES:
-        fitted = raw_model.transform(fit_df)
-        summ = fitted.select(Summarizer.metrics("variance", "count").summary(
-            F.col("__raw_features")).alias("s")).first()["s"]
-        n = summ["count"]
-        variances = [float(v) * (n - 1) / n if n > 1 else 0.0 for v in summ["variance"]]
+        # standardised columns vary by 1 (or not at all), a 0/1 column by p (1 - p)
+        variances = [1.0 if stats[c][1] else 0.0 for c in num]
+        for c, labels in zip(cat, labels_of if cat else []):
+            for v in labels:
+                hits = counts[c][v] + (counts[c].get(None, 0) if v == modes[c] else 0)
+                variances.append(hits / n_rows * (1 - hits / n_rows))
+        if vector_col:
+            summ = fit_df.select(Summarizer.metrics("variance", "count").summary(F.col(vector_col)).alias("s")).first()["s"]
+            variances += [float(v) * (summ["count"] - 1) / max(summ["count"], 1) for v in summ["variance"]]
         kept = [i for i, v in enumerate(variances) if v > VARIANCE_THRESHOLD]
     final = stages + [VectorSlicer(inputCol="__raw_features", outputCol="features", indices=kept),
                       SQLTransformer(statement="SELECT " + ", ".join(
@@ -309,7 +361,8 @@ def prepare(df: DataFrame, target: str | None = None, ids: list[str] | None = No
     no_label = SQLTransformer(statement=f"SELECT {select_cols} FROM __THIS__")
     scoring = PipelineModel(stages=[no_label] + final[1:-1] + [SQLTransformer(
         statement="SELECT " + ", ".join([_q(i) for i in ids] + ["features"]) + " FROM __THIS__")])
-    fit_df.unpersist()
+    if owned:
+        fit_df.unpersist()
     report = PrepReport(target, task, num, cat, sorted(const), sorted(hi_card), other, names, kept,
                         [names[i] for i in kept], variances, scoring)
     return model.transform(df), model, report
