@@ -71,7 +71,7 @@ def word_table(groups: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
     return words.tolist(), ids.astype(np.int64), offsets
 
 
-def chunks(texts: list[str], limit: int = 4_000_000):
+def chunks(texts: list[str], limit: int = 2_000_000):
     """Slices (start, end) of ``texts`` holding about ``limit`` characters each,
     at least one text, so working memory follows the slice, not the batch."""
     start, size = 0, 0

@@ -106,11 +106,11 @@ def profile(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(languages: list, labels: np.ndarray, x: np.ndarray, steps: int = 200) -> Ecoc:
-    """Fit the bit classifiers on rows ``x`` [n, FEATURES] with language indices."""
+    """Fit the bit classifiers on rows ``x`` [n, FEATURES] with language indices; scales ``x`` in place."""
     code = codewords(len(languages))
     want = code[labels]
     scale = (1 / np.sqrt(x.mean(axis=0) + 1e-4)).astype(np.float32)
-    x = x * scale
+    x *= scale
     share = np.bincount(labels, minlength=len(languages)).astype(np.float32)
     row_weight = (1 / share[labels] / len(languages))[:, None]
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)

@@ -150,16 +150,29 @@ def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mar
            owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """``df`` with every reported span of its texts replaced by ``mark`` (overlapping
     spans by one mark); columns, rows and null texts stay as they are."""
-    scanned = scan(df, id_col=id_col, text_col=text_col, owner=owner, repository=repository)
-    rated = classified(scanned).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    scanned = scan(df, id_col=id_col, text_col=text_col, owner=owner, repository=repository)
+    tokened = scanned.filter(F.size("token") > 0)
+    rated = classified(scanned).join(tokened.select("key").distinct(), "key", "left_semi").select(
+        F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+
+    def cleaned(out: DataFrame, spans: Column) -> DataFrame:
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        clean = F.aggregate(spans, start, lambda a, s: F.when(s.start < a.at, F.struct(
+            F.greatest(a.at, s.end).alias("at"), a.out.alias("out"))).otherwise(F.struct(
+                s.end.alias("at"), F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at),
+                                            F.lit(mark)).alias("out"))),
+            lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
+        return out.withColumn(text_col, F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, clean)
+                              .otherwise(F.col(text_col))).select(*df.columns)
+
+    # texts without a run that could be a bare token hold base spans only: no join, no shuffle of texts
+    maybe = text.rlike(TOKEN)
+    plain = df.filter(~maybe).withColumn("_spans", base_spans(text))
     key = F.md5(F.concat(F.col(id_col).isNull().cast("string"), id_text(F.col(id_col)), F.lit("\n"), text))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, lambda a, s: F.when(s.start < a.at, F.struct(
-        F.greatest(a.at, s.end).alias("at"), a.out.alias("out"))).otherwise(F.struct(
-            s.end.alias("at"), F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at),
-                                        F.lit(mark)).alias("out"))),
-        lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
-    out = df.withColumn("_key", key).join(rated, "_key", "left")
-    return out.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(clean)) \
-              .select(*df.columns)
+    joined_ = df.filter(maybe).withColumn("_key", key).join(rated, "_key", "left").withColumn(
+        "_spans", F.coalesce(F.transform("_spans", lambda s: F.struct(s.start.alias("start"), s.ord.alias("ord"),
+                                                                      s.end.alias("end"))),
+                             F.transform(base_spans(text), lambda s: F.struct(s.start.alias("start"), s.ord.alias("ord"),
+                                                                              s.end.alias("end")))))
+    return cleaned(plain, F.col("_spans")).unionByName(cleaned(joined_, F.col("_spans")))

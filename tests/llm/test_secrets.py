@@ -52,6 +52,10 @@ def test_owner_specific_tokens_are_added_and_copied_ones_not(spark):
 
 def test_redact(spark):
     df = rows_of(spark, [(1, "a password=abcdefgh1 b", "s", "en", "v", "k", 1), (2, None, "s", "en", "v", "k", 1),
-                         (3, "token=" + "ab" * 20, "s", "en", "v", "k", 1)])
+                         (3, "token=" + "ab" * 20, "s", "en", "v", "k", 1),
+                         (4, "é Zx9aQw3eRt5yUi7oPl2k and AKIA1234567890AB", "s", "en", "v", "k", 1),
+                         (5, "Example0Key1Copied2Around", "s", "en", "v", "k", 1),
+                         (6, "Example0Key1Copied2Around", "t", "en", "v", "k", 1), (7, "", "s", "en", "v", "k", 1)])
     got = {r.doc_id: r.text for r in sc.redact(df).select(*df.columns).collect()}
-    assert got == {1: "a [SECRET] b", 2: None, 3: "[SECRET]"}
+    assert got == {1: "a [SECRET] b", 2: None, 3: "[SECRET]", 4: "é [SECRET] and [SECRET]",
+                   5: "Example0Key1Copied2Around", 6: "Example0Key1Copied2Around", 7: ""}
