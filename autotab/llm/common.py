@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import chain
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from autotab.session import ensure_checkpoint_dir
+from autotab.session import cut_lineage
 
 MASK64 = (1 << 64) - 1
 
@@ -20,11 +19,9 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Used for small digests that several jobs reuse and to cut the lineage of
-    iterative jobs; the files outlive any executor.
+    iterative jobs; the files outlive any executor (``autotab.session.release`` deletes them).
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_lineage(df)
 
 
 def id_text(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autotab.llm.common import stored
+from autotab.session import release
 
 SALTS = 16
 
@@ -55,7 +56,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select("u", "v"))
     seen = state(now)
     while seen[0]:
-        now = stored(small_star(large_star(now)))
+        last, now = now, stored(small_star(large_star(now)))
+        release(last)
         after = state(now)
         if after == seen:
             break
