@@ -7,11 +7,13 @@ one job per column.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from autotab.operators.ranking import column_quantiles_with
+from autotab.operators.sums import array_sums, stacked
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -126,31 +128,37 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None,
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation, pairwise-complete rows, long form (f1, f2, i, j, corr).
 
-    Each row is unpivoted into its column pairs (i <= j) with both values
-    present, then one grouped aggregate (covar_pop, stddev_pop) per pair:
-    small expressions, map-side partial aggregation, one shuffle of one row
-    per pair and task. Constant columns give null (no division by a zero
-    deviation under ANSI mode).
+    Masked Gram sums: with missing values as zeros, the products of the value, square and presence
+    matrices give every pair's count, sums and cross product at once, added up per task and
+    then over tasks; one row per table row, whatever the number of columns. Values are
+    taken relative to the column means, so large means do not cancel. Constant columns give null.
     """
     cols = numeric_columns(df, cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    ex = (df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                 F.col(f"`{cols[i]}`").cast("double").alias("x"),
-                 F.col(f"`{cols[j]}`").cast("double").alias("y")) for i, j in pairs])).alias("p"))
-        .select("p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    stats = ex.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"),
-                                     F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    names = F.array(*[F.lit(c) for c in cols])
-    corr = F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("cov") / (F.col("sx") * F.col("sy")))
-    upper = stats.select(F.element_at(names, F.col("i") + 1).alias("f1"),
-                         F.element_at(names, F.col("j") + 1).alias("f2"),
-                         F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
-                         corr.alias("corr"))
-    lower = upper.filter(F.col("i") != F.col("j")).select(
-        F.col("f2").alias("f1"), F.col("f1").alias("f2"), F.col("j").alias("i"),
-        F.col("i").alias("j"), "corr")
-    return upper.unionByName(lower)
+    p = len(cols)
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    means = df.agg(*[F.avg(F.when(~F.isnan(v), v)).alias(f"m{i}") for i, v in enumerate(x)]).first()
+    shift = np.array([m if m is not None else 0.0 for m in means])
+    data = df.select(F.array(*[F.coalesce(v, F.lit(float("nan"))) for v in x]).alias("a"))
+
+    def sums(pdf):
+        v = stacked(pdf["a"]) - shift
+        there = np.isfinite(v)
+        v, m = np.where(there, v, 0.0), there.astype(float)
+        return {"n": m.T @ m, "s": v.T @ m, "q": (v * v).T @ m, "c": v.T @ v}
+
+    t = array_sums(data, ["a"], sums, {k: (p, p) for k in "nsqc"})
+    n = np.maximum(t["n"], 1)
+    mean = t["s"] / n                       # [i, j]: mean of i where j is there too
+    dev = np.sqrt(np.maximum(t["q"] / n - mean * mean, 0))
+    cov = t["c"] / n - mean * mean.T
+    rows = []
+    for i in range(p):
+        for j in range(p):
+            scale = dev[i, j] * dev[j, i]
+            flat = dev[i, j] <= 1e-12 * max(abs(shift[i]), 1e-300) or dev[j, i] <= 1e-12 * max(abs(shift[j]), 1e-300)
+            if t["n"][i, j]:
+                rows.append((cols[i], cols[j], i, j, None if flat or scale == 0 else float(cov[i, j] / scale)))
+    return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, i int, j int, corr double")
 
 
 def top_correlations(corr: DataFrame, k: int = 5) -> DataFrame:
