@@ -201,21 +201,24 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """(fp, rows, component_id): per distinct fingerprint its number of rows and the
-    smallest id reachable."""
+    """(fp, rows, component, component_id): per distinct fingerprint its number of rows, one
+    fingerprint that stands for its component, and the smallest id reachable."""
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     linked = components(links(nodes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     members = stored(linked.union(linked.select(F.col("root").alias("fp"), "root").distinct()).join(nodes, "fp"))
     lowest = (members.groupBy("root").agg(F.min("first").alias("component_id"))
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     joined = (members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-              .join(lowest, ["root", "salt"]).select("fp", "component_id"))
-    return nodes.join(joined, "fp", "left").select("fp", "rows", F.coalesce("component_id", "first").alias("component_id"))
+              .join(lowest, ["root", "salt"]).select("fp", "root", "component_id"))
+    return nodes.join(joined, "fp", "left").select(
+        "fp", "rows", F.coalesce("root", "fp").alias("component"),
+        F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, key, fp, component_id) per row of ``df``.
+    """(doc_id, key, fp, component, component_id) per row of ``df``; components without an id, or
+    with one id among them, still differ in ``component``.
 
     A fingerprint that holds more than 1/200 of the rows (at most 200 of them) is joined in 32 parts.
     """
@@ -226,18 +229,17 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     parts = F.when(F.col("fp").isin(hot), F.sequence(F.lit(0), F.lit(31))).otherwise(F.array(F.lit(0)))
     salt = F.when(F.col("fp").isin(hot), F.pmod(F.xxhash64("doc_id", "key"), F.lit(32)).cast("int")).otherwise(0)
     return prints.withColumn("salt", salt).join(
-        found.select("fp", "component_id", F.explode(parts).alias("salt")), ["fp", "salt"]).select(
-        "doc_id", "key", "fp", "component_id")
+        found.select("fp", "component", "component_id", F.explode(parts).alias("salt")), ["fp", "salt"]).select(
+        "doc_id", "key", "fp", "component", "component_id")
 
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                 radius: int = 2) -> DataFrame:
-    """The rows of ``df`` but one per component: the one with the component's id
-    (of repeated or null ids, the one with the smallest text hash)."""
+    """One row of ``df`` per component: the one with the component's id (of repeated
+    ids, or of null ids when there are no others, the one with the smallest text hash)."""
     found = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
     first = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("component_id", "doc_id").agg(F.min("key").alias("_key"))
-             .select(F.col("doc_id").alias("_first"), F.col("_key").alias("_first_key")))
+             .groupBy("component").agg(F.min("doc_id").alias("_first"), F.min("key").alias("_first_key")))
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     kept = df.withColumn("_id", F.col(id_col)).withColumn("_key", key).join(
         first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_first_key")), "left_semi")

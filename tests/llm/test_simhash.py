@@ -103,3 +103,14 @@ def test_null_empty_repeated_and_no_rows(frame):
         (False, 2), (False, 7), (False, 8), (False, 9), (True, 0)]
     assert simhash.near_duplicates(frame([])).count() == 0
     assert simhash.deduplicate(frame([])).count() == 0
+
+
+def test_unrelated_texts_without_or_with_one_id_all_stay(frame):
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(30)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:8]] + [(5, t) for t in texts[8:10]] + [(6, texts[10]), (7, texts[11])]
+    again = [(None, texts[0]), (None, texts[8]), (5, texts[9]), (8, texts[10]), (None, texts[11])]
+    kept = simhash.deduplicate(frame(rows + again))
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted(((i or 0), t) for i, t in rows)
+    found = simhash.near_duplicates(frame(rows + again)).collect()
+    assert len({r.component for r in found}) == len(texts)
