@@ -32,9 +32,9 @@ _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 
 
 def codewords(n: int) -> np.ndarray:
-    """[n, bits] of +-1.  Up to 6 languages: all splits of the languages in two;
-    beyond that 63 seeded random splits, no two equal or opposite."""
-    if n <= 6:
+    """[n, bits] of +-1.  Up to 7 languages: all splits of the languages in two (63 of 7);
+    beyond that 63 seeded random splits, no two equal or opposite (8 languages have 119 to draw from)."""
+    if n <= 7:
         rows = [[1 if i and side >> (i - 1) & 1 else -1 for i in range(n)]
                 for side in range(1, max(2, 1 << (n - 1)))]
         return np.array(rows, np.float32).T

@@ -1,4 +1,5 @@
 import random
+import signal
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +28,23 @@ def test_codewords_are_apart():
             assert (code[a] != code[b]).sum() >= (code.shape[1] + 1) // 4
 
 
+def test_codewords_of_every_small_number_of_languages():
+    def late(*_):
+        raise TimeoutError("codewords() does not end")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(20)
+    try:
+        for n in range(1, 13):
+            code = langid.codewords(n)
+            assert code.shape == (n, min(63, max(1, 2 ** (n - 1) - 1)))
+            for a, b in combinations(range(n), 2):
+                assert (code[a] != code[b]).sum() >= (code.shape[1] + 1) // 4
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_margins_against_plain_counting():
     rng = np.random.default_rng(1)
     model = langid.Ecoc(["x", "y"], langid.codewords(2), rng.normal(size=(langid.FEATURES, 1)).astype(np.float32),
