@@ -6,7 +6,8 @@ left (at most ``window`` ids) is packed best-fit decreasing: the open windows
 are indexed by remaining capacity in a segment tree, which finds the tightest
 window that still takes the piece.
 
-Ids come from a byte-level BPE.  ``tokenizers`` defines them; for texts without
+Ids come from a byte-level BPE.  ``tokenizers`` defines them: the content of an added
+token (``<|endoftext|>``) inside a text is that token.  For texts without one and without
 code points beyond Latin Extended-B the same merges are applied by ``tiktoken``,
 which gives the same ids several times faster (tests/llm compares the two).
 
@@ -17,6 +18,7 @@ other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -44,18 +46,30 @@ class ByteBpe:
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks,
                                       special_tokens={})
         self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
         self.full = None
 
-    def ids(self, text: str) -> array:
-        if _LATIN.fullmatch(text):
-            return array("I", self.fast.encode_ordinary(text))
+    def _full(self, text: str, ordinary: bool) -> array:
         if self.full is None:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
             self.full = Tokenizer.from_file(self.json_path)
-            self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = ordinary
         return array("I", self.full.encode(text, add_special_tokens=False).ids)
 
+    def ids(self, text: str) -> array:
+        """The ids of ``text`` with contents of added tokens taken as ordinary text."""
+        if _LATIN.fullmatch(text):
+            return array("I", self.fast.encode_ordinary(text))
+        return self._full(text, True)
+
+    def encode(self, text: str) -> array:
+        """The ids that the file's tokenizer gives as it is, added tokens included."""
+        if any(t in text for t in self.added):
+            return self._full(text, False)
+        return self.ids(text)
+
 
 def load_bpe(json_path: str, rank_path: str, pattern: str) -> ByteBpe:
     key = (json_path, rank_path)
@@ -113,7 +127,7 @@ def token_pieces(df: DataFrame, json_path: str, rank_path: str, pattern: str, *,
         for b in batches:
             which, start, length, crc, total, kept = [], [], [], [], [], []
             for row, text in enumerate(strings(b.column("text"))):
-                ids = bpe.ids(text)
+                ids = bpe.encode(text)
                 ids.append(end_id)
                 raw, n = memoryview(ids).cast("B"), len(ids)
                 for at in range(0, n, window):

@@ -24,6 +24,25 @@ def test_ids_are_those_of_tokenizers():
         assert list(bpe.ids(t)) == full.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_inside_texts_are_those_of_the_plain_tokenizer(frame):
+    plain = Tokenizer.from_file(PATHS[0])
+    assert plain.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    end = "<|endoftext|>"
+    texts = ["hello <|endoftext|> world", end, end * 3, f"a{end}b\n{end} ", f"日本 {end}語", "語", "<|endoftext|", "<|ENDOFTEXT|>",
+             f"word {end} " * 900]
+    bpe = packing.load_bpe(*PATHS)
+    for t in texts + texts[::-1]:
+        assert list(bpe.encode(t)) == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    by = {}
+    for r in packing.pack(frame(list(enumerate(texts))), *PATHS, keep_ids=True).collect():
+        by.setdefault(r.doc_id, []).append(r)
+        assert zlib.crc32(array("I", r.ids).tobytes()) == r.ids_crc32
+    for i, t in enumerate(texts):
+        want = plain.encode(t, add_special_tokens=False).ids + [0]
+        assert [x for r in sorted(by[i], key=lambda r: r.start) for x in r.ids] == want
+        assert {r.doc_tokens for r in by[i]} == {len(want)}
+
+
 def test_pieces_cover_and_windows_hold(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = packing.pack(docs, *PATHS, keep_ids=True).collect()
