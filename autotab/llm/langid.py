@@ -206,12 +206,17 @@ def identify(df: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col:
 def keep_known(df: DataFrame, model: Ecoc | None, *, text_col: str = "text", margin: float = 0.5,
                least: float = 0.4) -> DataFrame:
     """The rows of ``df``, all columns, but those that are ``und`` and those flagged
-    ambiguous whose score is below ``least``."""
+    ambiguous whose score is below ``least``.  Without a model no language is judged:
+    only null texts and those without a letter go."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            lang, score, unsure = guess(held.value, strings(b.column(text_col)), margin)
+            texts = strings(b.column(text_col))
+            if held.value is None:
+                yield b.filter(pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_()))
+                continue
+            lang, score, unsure = guess(held.value, texts, margin)
             yield b.filter(pa.array([x != "und" and not (u and s < least)
                                      for x, s, u in zip(lang, score, unsure)], pa.bool_()))
 

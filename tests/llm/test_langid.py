@@ -90,3 +90,13 @@ def test_null_empty_repeated_and_no_rows(spark):
     none = langid.identify(df.limit(0), F.lit(True))
     assert none.count() == 0
     assert {r.lang_pred for r in langid.identify(df, F.lit(False)).collect()} == {"und"}
+
+
+def test_without_a_model_only_letterless_texts_go(spark):
+    rows = [(1, "abc def", None), (2, None, None), (3, "", None), (4, "12 -- 3! ² ½", None), (None, "é 1", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(True))
+    assert model is None
+    kept = langid.keep_known(df, model)
+    assert kept.columns == df.columns
+    assert sorted(r.text for r in kept.collect()) == ["abc def", "é 1"]
