@@ -67,6 +67,30 @@ def test_co_training_keeps_every_row(spark, sf):
     assert m.n_labelled > n_lab
 
 
+def test_co_training_queries_share_one_fit_that_ends_by_itself(spark, sf, monkeypatch):
+    from autotab.operators import tune
+    from autotab.plans import model_plans, tune_plans
+
+    class Flat:
+        def transform(self, df):
+            return df.selectExpr("*", "array(0.25D, 0.75D) AS probability", "1.0D AS prediction")
+
+    fits, semi = [], tune_plans._semi(spark, sf).orderBy("row_id").limit(60).persist()
+    monkeypatch.setattr(tune_plans, "_semi", lambda *_: semi)
+    monkeypatch.setattr(tune, "fit_model", lambda *a, **k: fits.append(a[2]) or Flat())
+    model_plans.forget_results()
+    n, n_labelled = semi.count(), semi.filter("label IS NOT NULL").count()
+    rounds = 0
+    while rounds < 100 and (add := min(100, (n - n_labelled) // 10)):
+        n_labelled, rounds = n_labelled + add, rounds + 1      # both views pick the same rows
+    assert rounds > 5
+    got = tune_plans.q_co_training(spark, sf).first()
+    assert (got.rounds, got.n_labelled) == (rounds, n_labelled)
+    assert {r.metric for r in tune_plans.q_co_training_predict(spark, sf).collect()} >= {"accuracy"}
+    assert len(fits) == 2 * (rounds + 1)
+    model_plans.forget_results()
+
+
 def test_read_csv_types(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text("a,b,c,d\n1,1.5,True,x\n2,NA,false,\n,3,TRUE,y\n")
