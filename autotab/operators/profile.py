@@ -68,6 +68,19 @@ def column_types(df: DataFrame) -> DataFrame:
         rows, "position int, column_name string, data_type string, role string")
 
 
+def column_figures(df: DataFrame) -> DataFrame:
+    """``column_types`` and, from one aggregate over the table, per column the number of rows
+    with a value and the approximate number of distinct values (HyperLogLog, 5 % deviation)."""
+    held = [F.when(~is_missing(df, c), F.col(c)) for c in df.columns]
+    wide = df.agg(*[F.count(h).alias(f"n{i}") for i, h in enumerate(held)],
+                  *[F.approx_count_distinct(h).alias(f"d{i}") for i, h in enumerate(held)])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
+                 F.lit(f.dataType.simpleString()).alias("data_type"), F.lit(role_of(f.dataType)).alias("role"),
+                 F.col(f"n{i}").alias("n_values"), F.col(f"d{i}").alias("approx_distinct"))
+        for i, f in enumerate(df.schema.fields)])))
+
+
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
     wide = df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in cols])

@@ -30,7 +30,7 @@ def q_table_shape(spark, d):
 
 @plan("column_types")
 def q_column_types(spark, d):
-    return P.column_types(X.lineitem(spark, d))
+    return P.column_figures(X.lineitem(spark, d))
 
 
 @plan("null_counts", sql=" UNION ALL ".join(

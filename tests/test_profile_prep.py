@@ -124,3 +124,14 @@ def test_prepare_never_drops_target_and_reports(spark, sf):
     assert "constant" in rep.dropped_constant
     assert out.count() == li.count()
     assert set(out.columns) == {"row_id", "features", "label"}
+
+
+def test_column_types_query_reads_the_table(spark, sf):
+    from autotab.plans.profile_plans import q_column_types
+    df = spark.createDataFrame([(1, 1.5, "a"), (2, float("nan"), None), (2, None, "b")], "i int, x double, s string")
+    assert [tuple(r) for r in P.column_figures(df).collect()] == [
+        (0, "i", "int", "numeric", 3, 2), (1, "x", "double", "numeric", 1, 1), (2, "s", "string", "categorical", 2, 2)]
+    assert [tuple(r) for r in P.column_figures(df.limit(0)).select("n_values", "approx_distinct").collect()] == [(0, 0)] * 3
+    got = {r.column_name: r for r in q_column_types(spark, sf).collect()}
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert got["row_id"].n_values == n and got["qty_null"].n_values < n and got["constant"].approx_distinct == 1
