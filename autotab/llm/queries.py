@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autotab.llm import langid, mtree, order_minhash, packing, secret_scan, shards, simhash, sp_sample, token_counts, toxicity
+from autotab.llm import (langid, mtree, order_minhash, packing, phrases, pii, prefix_trie, secret_scan, shards, simhash,
+                          sp_sample, token_counts, toxicity)
 from autotab.llm.common import fold_of
 
 
@@ -150,6 +151,86 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), *_byte_bpe(), window=1024)
 
 
+def op11_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: fixed shapes and what learned contexts add."""
+    return pii.find_personal(_table(spark, sf_dir, "documents"))
+
+
+def op12_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language of all documents."""
+    return phrases.mine(_table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k)),
+counted AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(a) AS n FROM counted WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM counted WHERE a >= 30),
+cuts AS (
+  SELECT o.lang, o.phrase, c.cut, x.a AS l, y.a AS r, CAST((2000000::HUGEINT * o.a) // (x.a + y.a) AS BIGINT) AS score
+  FROM often o JOIN (VALUES (1), (2), (3)) AS c(cut) ON c.cut < o.k
+  JOIN often x ON x.lang = o.lang AND x.phrase = array_to_string(o.w[1:c.cut], ' ')
+  JOIN often y ON y.lang = o.lang AND y.phrase = array_to_string(o.w[c.cut + 1:o.k], ' ')),
+low AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM cuts) AS t WHERE nth = 1),
+inside AS (
+  SELECT o.lang, array_to_string(o.w[i:j], ' ') AS phrase, max(o.a) AS longer
+  FROM often o, (VALUES (1, 2), (2, 3), (3, 4), (1, 3), (2, 4)) AS p(i, j) WHERE p.j <= o.k AND p.j - p.i + 1 < o.k GROUP BY ALL),
+kept AS (
+  SELECT o.lang, o.phrase, o.a FROM often o LEFT JOIN inside s ON s.lang = o.lang AND s.phrase = o.phrase
+  WHERE o.k >= 2 AND (s.longer IS NULL OR 100 * s.longer::HUGEINT < 80 * o.a::HUGEINT)),
+ranked AS (
+  SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY l.score DESC, k.a DESC, k.phrase) AS rank, k.phrase, k.a, l.l, l.r, l.score
+  FROM kept k JOIN low l ON l.lang = k.lang AND l.phrase = k.phrase)
+SELECT ranked.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), group=5, heads=9)
+
+
+#: CRC-32 bit by bit over the digits of an id.
+_CRC = ("list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+        "lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), "
+        "lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))")
+
+OP13_SQL = f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''),
+    md5(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+headed AS (SELECT *, conv_id - conv_id % 5 AS base, xor({_CRC}, 4294967295) % 9 AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(CASE WHEN b.turns IS NULL THEN [] ELSE b.turns[1:c.h] END, c.turns[c.h + 1:len(c.turns)]) AS t
+  FROM headed c LEFT JOIN own b ON b.conv_id = c.base),
+member AS (SELECT conv_id, d AS depth, t[1:d] AS p, len(t) = d AS ended FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+    FILTER (ended), '')) AS ends_sha256 FROM member GROUP BY depth, p),
+child AS (SELECT depth - 1 AS depth, p[1:depth - 1] AS p, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1, 2),
+full_node AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(n.p[n.depth].text)) END AS saved
+  FROM node n LEFT JOIN child c ON c.depth = n.depth AND c.p = n.p),
+subtree AS (
+  SELECT u AS depth, p[1:u] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS u FROM full_node) GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens,
+  n.ends_sha256
+FROM full_node n JOIN subtree s ON s.depth = n.depth AND s.p = n.p
+LEFT JOIN node q ON q.depth = n.depth - 1 AND q.p = n.p[1:n.depth - 1]
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece_topk,
     op2_simhash_dedup,
@@ -161,9 +242,14 @@ QUERIES = {f.__name__: f for f in (
     op8_hypergeometric_shards,
     op9_secret_scan,
     op10_bestfit_packing,
+    op11_pii_bootstrap,
+    op12_toivonen_phrases,
+    op13_prefix_trie,
 )}
 
 ORACLES: dict[str, str] = {
     "op6_mtree_topk": OP6_SQL,
     "op9_secret_scan": OP9_SQL,
+    "op12_toivonen_phrases": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

@@ -8,7 +8,7 @@ from autotab.llm import secret_scan
 def test_registered():
     q = __spark_entry__.queries()
     assert q["pipeline"] is corpus_pipeline.run
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in q) == 1
 
 
