@@ -47,6 +47,7 @@ _THREE = re.compile("[0-9]{3}")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 _BLANK = re.compile(r"\s+")
+FILE_ROWS = 250_000                 # entities per file of the graph
 BEFORE, AFTER, GAP = 64, 32, 6      # characters looked at around an entity, and between it and a word
 
 
@@ -177,7 +178,7 @@ def graph(scanned: DataFrame, least_values: int) -> DataFrame:
     edges = each.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     enough = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.max("seed").alias("known")).filter(
         F.col("values") >= least_values).select("pattern")
-    return stored(edges.join(enough, "pattern"))
+    return edges.join(enough, "pattern")
 
 
 def score_patterns(edges: DataFrame, trusted: DataFrame, least_values: int, pattern_score: int) -> DataFrame:
@@ -205,19 +206,22 @@ def learn(scanned: DataFrame, *, least_values: int = 3, pattern_score: int = 600
           rounds: int = 4) -> DataFrame:
     """(pattern, values, known, score) of the patterns accepted after at most ``rounds`` rounds; rounds
     end early when no further value is trusted."""
-    edges = graph(scanned, least_values)
-    trusted = stored(trust_values(edges, edges.select("pattern", F.lit(0).alias("score")).limit(0), value_trust))
+    found = scanned.agg(F.sum(F.size("found"))).first()[0] or 0
+    parts = max(8, found // FILE_ROWS)      # few files for few entities
+    edges = stored(graph(scanned, least_values).coalesce(parts))
+    none = edges.select("pattern", F.lit(0).alias("score")).limit(0)
+    trusted = stored(trust_values(edges, none, value_trust).coalesce(parts))
     count = trusted.count()
     for _ in range(rounds):
-        accepted = stored(score_patterns(edges, trusted, least_values, pattern_score))
-        release(trusted)
-        trusted = stored(trust_values(edges, accepted, value_trust))
-        last, count = count, trusted.count()
-        if count == last:
+        accepted = score_patterns(edges, trusted, least_values, pattern_score)
+        now = stored(trust_values(edges, accepted, value_trust).coalesce(parts))
+        last, count = count, now.count()
+        if count == last:      # what was trusted already makes the same patterns
+            release(now)
             break
-        release(accepted)
-    else:
-        accepted = stored(score_patterns(edges, trusted, least_values, pattern_score))
+        release(trusted)
+        trusted = now
+    accepted = stored(score_patterns(edges, trusted, least_values, pattern_score).coalesce(parts))
     release(edges, trusted)
     return accepted
 
