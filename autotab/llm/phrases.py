@@ -35,6 +35,7 @@ from autotab.session import release
 
 LONGEST = 4
 SLICE = 4_000_000        # characters counted together in a task
+BATCH = 65_536           # rows a task hands over at once
 MAX_BITS = 28            # a bitmap has at most 2^28 bits (32 MB)
 
 #: Fixed values of the contract: what ends a piece, and the blanks between words.
@@ -245,10 +246,12 @@ def _pass(src: DataFrame, proposed=None, frequent=None, words: bool = False) ->
 
     def out(groups):
         for a, b, n, langs, names in count(groups):
-            cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)] + [pa.array(n.astype(np.int64))]
-            if words:
-                cols += [pa.array(langs, pa.string()), pa.array(names, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "n", "lang", "phrase"][:len(cols)])
+            for at in range(0, len(a), BATCH):
+                own = slice(at, at + BATCH)
+                cols = [pa.array(np.ascontiguousarray(x[own]).view(np.int64)) for x in (a, b)] + [pa.array(n[own].astype(np.int64))]
+                if words:
+                    cols += [pa.array(langs[own], pa.string()), pa.array(names[own], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "n", "lang", "phrase"][:len(cols)])
 
     return src.mapInArrow(run, "a long, b long, n long" + (", lang string, phrase string" if words else ""))
 
@@ -263,13 +266,15 @@ def frequent_phrases(df: DataFrame, *, text_col: str = "text", lang_col: str = "
     """
     src = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    def summed(rows: DataFrame):      # the keys of a slice are distinct already: they are shuffled as they are
+        return rows.repartition("a", "b").groupBy("a", "b")
+
     few = src.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(sample)) == 0)
-    proposed = stored(_pass(few).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= sample_count))
+    proposed = stored(summed(_pass(few)).agg(F.sum("n").alias("n")).filter(F.col("n") >= sample_count))
     first_map = bitmap(proposed.select("a", "b"))
     release(proposed)
-    first = stored(_pass(src, first_map).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-    second = stored(_pass(src, first_map, bitmap(first.select("a", "b")), words=True)
-                    .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max(F.struct("lang", "phrase")).alias("p")))
+    first = stored(summed(_pass(src, first_map)).agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    second = stored(summed(_pass(src, first_map, bitmap(first.select("a", "b")), words=True)).agg(F.sum("n").alias("n"), F.max(F.struct("lang", "phrase")).alias("p")))
     opened = second.filter(F.col("n") >= least)
     told = second.filter("n = 0").join(first.withColumnRenamed("n", "f"), ["a", "b"]).select("a", "b", F.col("f").alias("n"), "p")
     named = told.unionByName(opened).select("a", "b", "n", "p.lang", "p.phrase")
