@@ -29,6 +29,17 @@ def id_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each made longer until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold_of(c: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.pmod(F.crc32(id_text(c).cast("binary")), F.lit(folds))

@@ -5,10 +5,11 @@ every stored vector to the same length turns the largest inner products into the
 smallest Euclidean distances, so metric bounds apply.  Rows are dealt to cells
 around a bounded set of pivots, large cells are split by hash into tiles, and
 every tile becomes one M-tree: paged nodes with a routing vector, a covering
-radius and the distances of their entries to the routing vector.  Queries go, in
-blocks, to the tiles whose cell could hold a result; there a best-first
-search skips entries by |d(q, router) - d(entry, router)| before any distance to them
-is computed.  Scores are exact integers; bounds are applied with a margin
+radius and the distances of their entries to the routing vector.  A query first
+visits a tile of its nearest cell, whose k-th score is its floor, then, in blocks, the other
+tiles whose cell could hold a result; a block is searched best page first, and each of its queries
+skips entries by |d(q, router) - d(entry, router)| before its distance to them
+counts.  Scores are exact integers; bounds are applied with a margin
 for rounding, so pruning never changes a result.
 
 Defined cases: null ids, null vectors and vectors holding null or non-finite
@@ -16,7 +17,7 @@ components take no part; shorter vectors count as padded with zeros; a query nev
 finds rows of its own id; of several rows with a query's id the smallest vector asks;
 repeated rows are candidates each; ties go to the smaller id; an empty table
 gives no rows; other columns of the input are not read.  Components of 2^31 or
-more after scaling raise an error.
+more after scaling, and vectors of a squared length of 2^52 or more, raise an error.
 """
 
 from __future__ import annotations
@@ -111,53 +112,71 @@ class Tree:
         between = distances(np.stack([c.router for c in children]), router[None])[:, 0]
         return Node(router, radius, between, children, rows[:0])
 
-    def search(self, own: int, q: np.ndarray, k: int, floor: float) -> tuple[list, int]:
-        """([(score, id)] of the k best rows but ``own``, best first, number of distances and products
-        computed).  ``floor`` is a score that k rows are known to reach."""
-        wide, square = np.append(q, 0.0), float(q @ q)
-        slack = 1e-9 * (square + self.top) + 1e-6
-        best: list = []          # heap of (score, -id), the worst first
-        kth = floor
-
-        def reach():
-            """Largest distance that could still matter."""
-            return np.sqrt(max(square + self.top - 2 * (kth - slack), 0.0)) if kth > -np.inf else np.inf
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(scores, ids) [queries, k] of the k best rows but each query's ``own``, best first and
+        with -inf where there are fewer, and the number of distances and products that bounds left to do.
 
-        d = float(distances(wide[None], self.root.router[None])[0, 0])
-        queue, tie, work = [(max(0.0, d - self.root.radius), 0, d, self.root)], 0, 1
+        Queries are searched together: the page with the smallest bound of any of them comes first, its products with
+        all queries it can still matter to are one matrix product, and each query leaves by its
+        own bounds.  ``floor`` holds scores that k rows are known to reach.
+        """
+        m = len(q)
+        wide, square = np.concatenate([q, np.zeros((m, 1))], axis=1), (q * q).sum(axis=1)
+        slack = 1e-9 * (square + self.top) + 1e-6
+        best, names = np.full((m, k), -np.inf), np.full((m, k), np.iinfo(np.int64).max)
+        kth = np.asarray(floor, float).copy()
+
+        def reach(at):
+            """Largest distance that could still matter to a query."""
+            with np.errstate(invalid="ignore"):
+                return np.where(np.isneginf(kth[at]), np.inf, np.sqrt(np.maximum(
+                    square[at] + self.top - 2 * (kth[at] - slack[at]), 0))) + 1e-6
+
+        at = np.arange(m)
+        d = distances(wide, self.root.router[None])[:, 0]
+        queue, tie, work = [(0.0, 0, self.root, at, d)], 0, m
         while queue:
-            low, _, d, node = heapq.heappop(queue)
-            limit = reach()
-            if low > limit:
-                break
+            _, _, node, at, d = heapq.heappop(queue)
+            limit = reach(at)
+            alive = d - node.radius <= limit
+            at, d, limit = at[alive], d[alive], limit[alive]
+            if not len(at):
+                continue
             if node.children:
                 radius = np.array([c.radius for c in node.children])
-                kept = np.flatnonzero(np.abs(d - node.apart) - radius <= limit + 1e-6)
-                if len(kept):
-                    far = distances(wide[None], np.stack([node.children[i].router for i in kept]))[0]
-                    work += len(kept)
-                    for i, f in zip(kept, far):
-                        bound = max(0.0, f - radius[i])
-                        if bound <= limit + 1e-6:
-                            tie += 1
-                            heapq.heappush(queue, (bound, tie, float(f), node.children[i]))
+                near = np.abs(d[:, None] - node.apart) - radius <= limit[:, None]
+                far = distances(wide[at], np.stack([c.router for c in node.children]))
+                work += int(near.sum())
+                bound = np.maximum(far - radius, 0)
+                near &= bound <= limit[:, None]
+                for j, child in enumerate(node.children):
+                    own_at = np.flatnonzero(near[:, j])
+                    if len(own_at):
+                        tie += 1
+                        heapq.heappush(queue, (float(bound[own_at, j].min()), tie, child, at[own_at], far[own_at, j]))
                 continue
-            rows = node.rows[np.abs(d - node.apart) <= limit + 1e-6]
+            near = np.abs(d[:, None] - node.apart) <= limit[:, None]
+            some = near.any(axis=0)
+            rows, near = node.rows[some], near[:, some]
             if not len(rows):
                 continue
-            work += len(rows)
-            score = self.x[rows] @ q
-            for j in np.flatnonzero(score >= kth):
-                item = (int(score[j]), -int(self.ids[rows[j]]))
-                if -item[1] == own:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-            if len(best) == k:
-                kth = max(kth, best[0][0])
-        return [(s, -i) for s, i in sorted(best, reverse=True)], work
+            work += int(near.sum())
+            near &= self.ids[rows] != own[at][:, None]
+            score = np.where(near, q[at] @ self.x[rows].T, -np.inf)
+            least = np.partition(score, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(at), -np.inf)
+            i, j = np.nonzero((score >= np.maximum(kth[at], least)[:, None]) & near)
+            if not len(i):
+                continue
+            hit = np.unique(i)      # queries that may change: their lists and the new rows are sorted together
+            who = np.concatenate([np.repeat(hit, k), i])
+            scores = np.concatenate([best[at[hit]].ravel(), score[i, j]])
+            ids = np.concatenate([names[at[hit]].ravel(), self.ids[rows[j]]])
+            order = np.lexsort((ids, -scores, who))
+            start = np.flatnonzero(np.diff(who[order], prepend=-1))
+            take = order[start[:, None] + np.arange(k)]
+            best[at[hit]], names[at[hit]] = scores[take], ids[take]
+            kth[at[hit]] = np.maximum(kth[at[hit]], best[at[hit], -1])
+        return best, names, work
 
 
 def top_k(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -205,43 +224,71 @@ def top_k(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: s
     order = sorted(cells, key=lambda r: r.cell)
     radii, counts = np.array([r.radius for r in order]), [tiles[r.cell] for r in order]
     numbers = np.array([r.cell for r in order])
-
-    def route(batches):
-        ids, plain, wide = held.value
+    none = F.lit(float("-inf"))
+
+    def bounds(b, floor):
+        """[queries, cells] whether a cell may hold a row that reaches the floor, and the distances to the cells."""
+        x = matrix(b.column("v").to_pylist(), width)
+        square = (x * x).sum(axis=1)
+        far = distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), held.value[2][numbers])
+        low = np.maximum(far - radii, 0)
+        upper = (square[:, None] + top - low * low) / 2
+        return upper + 1e-9 * (square[:, None] + top) + 1e-6 >= floor[:, None], far
+
+    def sent(b, cell, tile, which, floor):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cell, pa.int32()), pa.array(tile, pa.int32()),
+             *[b.column(c).take(pa.array(which, pa.int64())) for c in ("vec_id", "v")], pa.array(floor, pa.float64())],
+            names=["cell", "tile", "vec_id", "v", "floor"])
+
+    def home(own, nearest):
+        """The one tile of its nearest cell that a query visits first."""
+        return np.abs(own) % np.array(counts)[nearest]
+
+    def first(batches):
         for b in batches:
+            nearest = bounds(b, np.full(b.num_rows, -np.inf))[1].argmin(axis=1)
             own = b.column("vec_id").to_numpy(zero_copy_only=False)
-            x = matrix(b.column("v").to_pylist(), width)
-            score = np.where(own[:, None] == ids[None, :], -np.inf, x @ plain.T)
-            floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(x), -np.inf)
-            square = (x * x).sum(axis=1)
-            low = np.maximum(distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), wide[numbers]) - radii, 0)
-            upper = (square[:, None] + top - low * low) / 2
-            which, cell, tile = [], [], []
-            for i, c in zip(*np.nonzero(upper + 1e-9 * (square[:, None] + top) + 1e-6 >= floor[:, None])):
-                for t in range(counts[c]):
-                    which.append(i)
-                    cell.append(numbers[c])
-                    tile.append(t)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(tile, pa.int32()),
-                 *[b.column(c).take(pa.array(which, pa.int64())) for c in ("vec_id", "v")],
-                 pa.array(floor[which], pa.float64())], names=["cell", "tile", "vec_id", "v", "floor"])
+            yield sent(b, numbers[nearest], home(own, nearest), np.arange(b.num_rows), np.full(b.num_rows, -np.inf))
 
-    routed = queries.mapInArrow(route, "cell int, tile int, vec_id long, v array<int>, floor double").withColumn(
-        "block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    spread = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    def rest(batches):
+        for b in batches:
+            own, floor = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("floor").to_numpy(zero_copy_only=False)
+            near, far = bounds(b, floor)
+            nearest = far.argmin(axis=1)
+            i, c = np.nonzero(near)
+            copies = np.array(counts)[c]
+            which, cell = np.repeat(i, copies), np.repeat(c, copies)
+            tile = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
+            new = ~((cell == nearest[which]) & (tile == home(own, nearest)[which]))
+            which, cell, tile = which[new], cell[new], tile[new]
+            yield sent(b, numbers[cell], tile, which, floor[which])
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            tree = pickle.loads(left["tree"].iloc[0])
-            for own, v, floor in zip(right["vec_id"], matrix(list(right["v"]), width), right["floor"]):
-                out += [(own, i, s) for s, i in tree.search(int(own), v, k, float(floor))[0]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    keys = ["cell", "tile", "block"]
-    found = spread.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(
-        find, "query_id long, vec_id long, score long")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        tree, own = pickle.loads(left["tree"].iloc[0]), right["vec_id"].to_numpy()
+        best, names, _ = tree.search(own, matrix(list(right["v"]), width), k, right["floor"].to_numpy())
+        full = np.isfinite(best)
+        return pd.DataFrame({"query_id": np.repeat(own, full.sum(axis=1)), "vec_id": names[full], "score": best[full].astype(np.int64)})
+
+    keys, kind = ["cell", "tile", "block"], "query_id long, vec_id long, score long"
+    parts_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(cells))
+
+    def visited(routed: DataFrame) -> DataFrame:
+        """What the routed queries find; a tree goes only to blocks with a query for it."""
+        routed = stored(routed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")))
+        needed = trees.join(routed.select(*[F.col(c).alias(c) for c in keys]).distinct(), ["cell", "tile"])
+        return stored(needed.repartition(parts_, *keys).groupBy(*keys)
+                      .cogroup(routed.repartition(parts_, *keys).groupBy(*keys)).applyInPandas(find, kind))
+
+    shape = "cell int, tile int, vec_id long, v array<int>, floor double"
+    queries = stored(queries)
+    near = visited(queries.mapInArrow(first, shape))
+    floors = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).select(
+        F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("s").cast("double")).otherwise(none).alias("floor"))
+    asked = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+    found = near.union(visited(asked.mapInArrow(rest, shape)))
     ranked = found.withColumn("rank", F.row_number().over(
         Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

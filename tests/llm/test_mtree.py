@@ -26,15 +26,22 @@ def test_tree_against_brute_force(kind):
     ids = rng.permutation(n)
     tree = mtree.Tree(ids, x, float((x * x).sum(axis=1).max()))
     queries = ids[:40]
-    want, work = brute(ids, x, queries, 5), 0
-    for q in queries:
-        got, w = tree.search(int(q), x[list(ids).index(q)], 5, -np.inf)
-        assert [(i, s) for s, i in got] == want[q]
-        work += w
-        floor = want[q][4][1]    # the exact bound changes nothing
-        assert tree.search(int(q), x[list(ids).index(q)], 5, floor)[0] == got
+    want = brute(ids, x, queries, 5)
+    at = np.array([list(ids).index(q) for q in queries])
+
+    def found(tree, rows, floor):
+        best, names, work = tree.search(ids[rows], x[rows], 5, floor)
+        return {int(ids[r]): [(int(i), int(s)) for i, s in zip(n, b)] for r, n, b in zip(rows, names, best)}, work
+
+    got, work = found(tree, at, np.full(40, -np.inf))
+    assert got == want
+    exact = np.array([want[q][4][1] for q in queries], float)      # the exact bound changes nothing
+    again, less = found(tree, at, exact)
+    assert again == want and less <= work
+    for r in at[:5]:      # alone or together
+        assert found(tree, np.array([r]), np.array([-np.inf]))[0] == {int(ids[r]): want[ids[r]]}
     if kind == "clustered":
-        assert work < 0.5 * n * len(queries)
+        assert work < 0.6 * n * len(queries) and less < 0.3 * n * len(queries)
 
 
 def frame(spark, rows):
