@@ -8,19 +8,11 @@ from pyspark.sql import functions as F
 from autotab.llm.common import stored
 from autotab.session import release
 
-SALTS = 16
-
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    """(u, m, salt): the smallest of u and its neighbours, once per salt, so a hub's
-    edges are joined in ``SALTS`` parts."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return low.select("u", F.least("u", "m").alias("m"),
-                      F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-
-
-def _salted(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    """(u, m): the smallest of u and its neighbours.  It is joined to the edges of u as it is: a hub's
+    side of that join is what Spark splits as skewed."""
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -30,7 +22,7 @@ def _both(edges: DataFrame) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = _both(edges)
-    return (_salted(both).join(_smallest(both), ["u", "salt"]).filter("v > u AND v <> m")
+    return (both.join(_smallest(both), "u").filter("v > u AND v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
@@ -38,8 +30,8 @@ def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _smallest(down)
-    moved = _salted(down).join(low, ["u", "salt"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = low.filter("salt = 0").select("u", F.col("m").alias("v"))
+    moved = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    own = low.select("u", F.col("m").alias("v"))
     return moved.union(own).distinct()
 
 

@@ -9,8 +9,8 @@ bucket holds at most 2^(8 radius) distinct fingerprints, whatever the input.
 Comparison is bit-sliced: the bits of a block of fingerprints are stored as 64
 planes, 64 lanes to a word; for a query the planes that differ are added into
 carry-save counters that overflow when a lane exceeds the radius, and words
-whose lanes have all overflowed are abandoned.  A block reports its connected
-parts as stars, never its pairs; alternating stars join them.
+whose lanes have all overflowed are abandoned.  A bucket reports its connected
+parts as one star each, never its pairs; alternating stars join them.
 
 Defined cases: a null text is the empty text, whose fingerprint is zero and
 links like any other; a null id takes part but is never a component id unless
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autotab.llm.common import stored, strings
-from autotab.llm.graph import SALTS, components
+from autotab.llm.common import id_text, stored, strings, unused
+from autotab.llm.graph import components
 
 LANES = 64
 BLOCK = 1024
@@ -129,35 +129,45 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (smallest index reachable so far) after the links (a, b)."""
+    x, y = label[a], label[b]
+    apart = x != y
+    if not apart.any():
+        return label
+    ids, at = np.unique(np.concatenate([x[apart], y[apart]]), return_inverse=True)
+    half = len(at) // 2
+    new = np.arange(len(label))
+    new[ids] = ids[stars(len(ids), at[:half], at[half:])]
+    return new[label]
+
+
 def _links(fps: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links among sorted buckets (``ends``: end offset of each) of a run of rows."""
+    """Star links among sorted buckets (``ends``: end offset of each) of a run of rows: one star
+    for each connected part of a bucket, so fewer links than fingerprints."""
     us, vs = [], []
 
-    def emit(members, a, b):
-        root = stars(len(members), a, b)
-        moved = np.flatnonzero(root != np.arange(len(members)))
+    def emit(members, label):
+        moved = np.flatnonzero(label != np.arange(len(members)))
         us.append(members[moved])
-        vs.append(members[root[moved]])
+        vs.append(members[label[moved]])
 
     begins = np.concatenate([[0], ends[:-1]])
     at = 0
     while at < len(ends):
         size = ends[at] - begins[at]
         if size > BLOCK:    # a large bucket: block against block
-            own = fps[begins[at]:ends[at]]
+            own, label = fps[begins[at]:ends[at]], np.arange(size)
             for i in range(0, size, BLOCK):
                 for j in range(i, size, BLOCK):
                     a, b = near_pairs(own[i:i + BLOCK], own[j:j + BLOCK], radius, upper=i == j)
-                    first = own[i:i + BLOCK]
-                    if i == j:
-                        emit(first, a, b)
-                    else:
-                        emit(np.concatenate([first, own[j:j + BLOCK]]), a, b + len(first))
+                    label = joined(label, a + i, b + j)
+            emit(own, label)
             at += 1
             continue
         last = int(np.searchsorted(ends, begins[at] + BLOCK, side="right"))
         own = fps[begins[at]:ends[last - 1]]
-        emit(own, *near_pairs(own, own, radius, upper=True))
+        emit(own, stars(len(own), *near_pairs(own, own, radius, upper=True)))
         at = last
     return (np.concatenate(us), np.concatenate(vs)) if us else (fps[:0], fps[:0])
 
@@ -206,11 +216,9 @@ def classes(prints: DataFrame, radius: int = 2) -> DataFrame:
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     linked = components(links(nodes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     members = stored(linked.union(linked.select(F.col("root").alias("fp"), "root").distinct()).join(nodes, "fp"))
-    lowest = (members.groupBy("root").agg(F.min("first").alias("component_id"))
-              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    joined = (members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-              .join(lowest, ["root", "salt"]).select("fp", "root", "component_id"))
-    return nodes.join(joined, "fp", "left").select(
+    lowest = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = members.join(lowest, "root").select("fp", "root", "component_id")
+    return nodes.join(named, "fp", "left").select(
         "fp", "rows", F.coalesce("root", "fp").alias("component"),
         F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -236,11 +244,28 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                 radius: int = 2) -> DataFrame:
     """One row of ``df`` per component: the one with the component's id (of repeated
-    ids, or of null ids when there are no others, the one with the smallest text hash)."""
+    ids, or of null ids when there are no others, the one with the smallest text hash).
+
+    Which rows go is settled on (id, text hash); the texts pass one anti-join.  Only rows that repeat both
+    id and text are sent on, so that one of them stays.
+    """
     found = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    first = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("component").agg(F.min("doc_id").alias("_first"), F.min("key").alias("_first_key")))
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    kept = df.withColumn("_id", F.col(id_col)).withColumn("_key", key).join(
-        first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_first_key")), "left_semi")
-    return kept.dropDuplicates(["_id", "_key"]).select(*df.columns)
+    each = stored(found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("rows")))
+    best = each.groupBy("component").agg(
+        F.count("*").alias("members"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "rows")).alias("w"))
+    many = best.filter("members > 1").select("component", F.col("w.doc_id").alias("first"), F.col("w.key").alias("first_key"))
+    gone = each.join(many, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("first_key"))))
+    none, name, key = unused(df, "_none", "_name", "_key")
+
+    def keyed(rows: DataFrame, c, k) -> DataFrame:
+        return rows.withColumns({none: c.isNull(), name: id_text(c), key: k})
+
+    docs = keyed(df, F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    keys = [none, name, key]
+    gone = keyed(gone.select("doc_id", F.col("key").alias("_k")), F.col("doc_id"), F.col("_k")).select(*keys)
+    again = stored(best.filter("w.rows > 1").select("w.doc_id", F.col("w.key").alias("_k")))
+    if not again.first():
+        return docs.join(gone, keys, "left_anti").select(*df.columns)
+    again = keyed(again, F.col("doc_id"), F.col("_k")).select(*keys)
+    once = docs.join(gone.union(again), keys, "left_anti").select(*df.columns)
+    return once.unionByName(docs.join(again, keys, "left_semi").dropDuplicates(keys).select(*df.columns))

@@ -114,3 +114,24 @@ def test_unrelated_texts_without_or_with_one_id_all_stay(frame):
     assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted(((i or 0), t) for i, t in rows)
     found = simhash.near_duplicates(frame(rows + again)).collect()
     assert len({r.component for r in found}) == len(texts)
+
+
+def test_a_dense_bucket_gives_fewer_links_than_fingerprints():
+    rnd = random.Random(8)
+    fps = np.array(sorted({0x0123456789AB0000 | rnd.getrandbits(16) for _ in range(18000)})[:16384 // 2], np.uint64)
+    u, v = simhash._links(fps, np.array([len(fps)]), 2)
+    assert 0 < len(u) < len(fps) and len(set(u.tolist())) == len(u)
+    want = plain_components([int(x) for x in fps[:1500]], 2)
+    u, v = simhash._links(fps[:1500].copy(), np.array([1500]), 2)
+    got = dict(zip(u.tolist(), v.tolist()))
+    assert {int(f): got.get(int(f), int(f)) for f in fps[:1500]} == want
+
+
+def test_columns_named_like_inner_ones_stay(spark):
+    rows = [(1, "a b c d", "keep", 7), (2, "a b c d", "drop", 8), (2, "a b c d", "drop", 8), (3, "x y z", "also", 9),
+            (3, "x y z", "also", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _key long").selectExpr(
+        "*", "'n' AS _name", "true AS _none", "'r' AS root", "5 AS u", "6 AS v", "'c' AS component")
+    got = simhash.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r._id, r._key, r._name) for r in got.collect()) == [(1, "keep", 7, "n"), (3, "also", 9, "n")]
