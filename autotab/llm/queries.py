@@ -129,19 +129,22 @@ wanted AS (
     AND regexp_matches(value, '[A-Z]') AND len(list_distinct(string_split(value, ''))) >= 10
     AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.rid = t.rid AND b.ord < 3 AND b.s < t.e AND t.s < b.e)),
 held AS (
-  SELECT value, count(DISTINCT owner) AS owners FROM wanted JOIN src USING (rid) GROUP BY value),
+  SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT {'o': owner, 'r': repository}) AS repositories
+  FROM wanted JOIN src USING (rid) GROUP BY value),
 rated AS (
-  SELECT w.*, owners, ['assign', 'access', 'hex', 'token'][ord + 1] || ':' || s || ':' || e AS name
-  FROM wanted w JOIN held USING (value) WHERE ord < 3 OR owners = 1),
+  SELECT w.*, owners, repositories, ['assign', 'access', 'hex', 'token'][ord + 1] || ':' || s || ':' || e AS name
+  FROM wanted w JOIN held USING (value) WHERE ord < 3 OR (owners = 1 AND repositories < 4)),
 rows AS (
   SELECT rid, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access,
     count(*) FILTER (ord = 2) AS n_hex, string_agg(name, ',' ORDER BY s, ord) FILTER (ord < 3) AS base,
     string_agg(name, ',' ORDER BY s, ord) AS spans, count(*) FILTER (ord = 3) AS n_token,
-    count(*) FILTER (owners = 1) AS n_owner_specific, count(*) FILTER (owners >= 3) AS n_copied
+    count(*) FILTER (owners = 1 AND repositories < 4) AS n_owner_specific,
+    count(*) FILTER (owners >= 3 OR repositories >= 4) AS n_copied, max(repositories) AS max_repositories
   FROM rated GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_token, 0) AS n_token,
-  coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_copied, 0) AS n_copied
+  coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_copied, 0) AS n_copied,
+  coalesce(max_repositories, 0) AS max_repositories
 FROM src LEFT JOIN rows USING (rid)
 """
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from autotab.llm import secret_scan as sc
 
@@ -59,3 +61,41 @@ def test_redact(spark):
     got = {r.doc_id: r.text for r in sc.redact(df).select(*df.columns).collect()}
     assert got == {1: "a [SECRET] b", 2: None, 3: "[SECRET]", 4: "é [SECRET] and [SECRET]",
                    5: "Example0Key1Copied2Around", 6: "Example0Key1Copied2Around", 7: ""}
+
+
+def test_one_owner_with_a_value_in_many_repositories_is_no_single_find(spark):
+    spread, own = "Zx9aQw3eRt5yUi7oPl2k", "Qw8bNm4vCx6zLk1jHg3f"
+    rows = [(i, f"see {spread} here", "s", lang, "v", "k", 1) for i, lang in enumerate(["en", "de", "fr", "es"])]
+    rows += [(8, f"see {own} here", "s", "en", "v", "k", 1), (9, f"see {own} here", "s", "de", "v", "k", 1)]
+    got = {r.doc_id: r for r in sc.find_secrets(rows_of(spark, rows)).collect()}
+    assert [got[i].n_token for i in (0, 1, 2, 3, 8, 9)] == [0, 0, 0, 0, 1, 1]
+    assert got[8].max_repositories == 2 and got[8].n_owner_specific == 1
+    again = {r.doc_id: r for r in sc.find_secrets(rows_of(spark, rows), copied_repositories=2).collect()}
+    assert [again[i].n_token for i in (8, 9)] == [0, 0]
+
+
+def test_many_hits_in_one_text(spark):
+    rnd = random.Random(4)
+    text = "".join(f"é{rnd.randrange(9)} {rnd.getrandbits(160):040x}{rnd.choice([' ', ' tail '])}" for _ in range(16000))
+    text += "token=" + "ab" * 20
+    df = rows_of(spark, [(1, text, "s", "en", "v", "k", 1)])
+    sc.find_secrets(rows_of(spark, [(1, "x", "s", "en", "v", "k", 1)])).collect()
+    began = time.time()
+    r = sc.find_secrets(df).first()
+    took = time.time() - began
+    assert r.base_sha256 == hashlib.sha256(base(text).encode()).hexdigest() and r.n_hex == 16001
+    assert took < 6      # 27 s when lists grew hit by hit
+    spans = [tuple(map(int, x.split(":")[1:])) for x in base(text).split(",")]
+    out, at = [], 0
+    for s, e in spans:
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    assert sc.redact(df).first().text == "".join(out) + text[at:]
+
+
+def test_columns_named_like_inner_ones_and_no_rows(spark):
+    df = rows_of(spark, [(1, "a password=abcdefgh1 b", "s", "en", "v", "k", 1)]).selectExpr("*", "'q' AS _spans", "2 AS _key", "3 AS salt")
+    r = sc.redact(df).first()
+    assert (r.text, r._spans, r._key, r.salt) == ("a [SECRET] b", "q", 2, 3)
+    assert sc.redact(rows_of(spark, [])).count() == 0
