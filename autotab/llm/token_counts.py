@@ -59,10 +59,10 @@ def count_texts(vocabulary: Vocabulary, texts: list[str], memory: Memory | None
         fresh = memory.missing(words)
         for i, j in slices(fresh):
             score, count = best_counts(lattice(vocabulary, fresh[i:j]))
-            memory.young.update(zip(fresh[i:j], (score << 32 | count).tolist()))
-        both = np.fromiter(map(memory.young.__getitem__, words), np.int64, len(words))
-        tokens.append(segment_sum((both & 0xFFFFFFFF)[ids], offsets))
-        scores.append(segment_sum((both >> 32)[ids], offsets))
+            memory.young.update(zip(fresh[i:j], (score + 1j * count).tolist()))     # both exact below 2^53
+        both = np.fromiter(map(memory.young.__getitem__, words), np.complex128, len(words))
+        tokens.append(segment_sum(both.imag.astype(np.int64)[ids], offsets))
+        scores.append(segment_sum(both.real.astype(np.int64)[ids], offsets))
         memory.rest()
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -76,3 +77,10 @@ def test_word_table_keeps_words_apart():
     groups = [["x", "y", "x"], ["nan", "None", ""]]
     words, ids, offsets = word_table(groups)
     assert [[words[i] for i in ids[a:b]] for a, b in zip(offsets, offsets[1:])] == groups
+
+
+def test_scores_beyond_31_bits_stay_whole(vocabulary, monkeypatch):
+    score, count = -3_221_225_550, 1_600_000
+    monkeypatch.setattr(token_counts, "best_counts", lambda _: (np.array([score]), np.array([count])))
+    got = token_counts.count_texts(vocabulary, ["xyz"])
+    assert (got[0].tolist(), got[1].tolist()) == ([count], [score])
