@@ -101,11 +101,14 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def bounded_sample(df: DataFrame, group: str, key: Column, per_group: int) -> DataFrame:
-    """About ``per_group`` rows of every group, chosen by a hash of ``key``: all rows
-    of a smaller group.  Reads one count per group."""
+def bounded_sample(df: DataFrame, group: str, key: Column, per_group: int, total: int | None = None) -> DataFrame:
+    """About ``per_group`` rows of every group (fewer if all groups would pass ``total``), chosen by a
+    hash of ``key``: all rows of a smaller group.  Reads one count per group."""
     share = F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) / F.lit(float(1 << 20))
     wanted = F.lit(False)
-    for row in df.groupBy(group).count().collect():
+    counts = df.groupBy(group).count().collect()
+    if total is not None and counts:
+        per_group = max(1, min(per_group, total // len(counts)))
+    for row in counts:
         wanted = wanted | ((F.col(group) == F.lit(row[0])) & (share < per_group / row["count"]))
     return df.filter(wanted)

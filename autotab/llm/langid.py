@@ -151,13 +151,13 @@ def fit_profiles(rows: list) -> Ecoc | None:
 
 
 def train(df: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang", per_language: int = 600) -> Ecoc | None:
-    """Fit on about ``per_language`` of the rows of ``df`` for which ``usable`` holds and
-    whose language is not null and text has a letter; None when there are none."""
+          lang_col: str = "lang", per_language: int = 600, total: int = 6000) -> Ecoc | None:
+    """Fit on about ``per_language`` (``total`` over all languages, 200 MB on the driver) of the rows of ``df``
+    for which ``usable`` holds and whose language is not null and text has a letter; None when there are none."""
     rows = df.filter(usable).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"),
                                     F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
-    return fit_profiles(sample_profiles(bounded_sample(rows, "lang", F.col("id"), per_language)))
+    return fit_profiles(sample_profiles(bounded_sample(rows, "lang", F.col("id"), per_language, total)))
 
 
 def predict(df: DataFrame, model: Ecoc | None, *, id_col: str = "doc_id", text_col: str = "text",

@@ -3,6 +3,11 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read again as the next
 stage's documents.  All but the last return the columns of ``documents``.
+
+Defined cases: a null or letterless text has no language and goes in the first
+stage; rows with a null id stay and are told apart by their text; of rows that repeat id
+and text one stays; an empty table passes all stages and gives no pieces; further columns,
+whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -37,8 +42,10 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: every reported span is replaced by a mark; n_chars follows."""
+    """Operator 9: every reported span is replaced by a mark; n_chars follows where it is a column."""
     clean = secret_scan.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
