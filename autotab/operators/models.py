@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from autotab.operators import boosting
+
 SEED = 42
 MAX_TREE_DEPTH = 30   # what unlimited depth becomes: Spark's own limit
 
-# Each boosting library choice mapped to GBT settings
-# (library defaults: rounds, depth, learning rate).
+# Each boosting library's defaults (rounds, depth, learning rate, penalty, least
+# Hessian or rows of a leaf); the leaf-wise library's 31 leaves become a depth of 5.
 BOOSTED_CHOICES = {
-    "xgboost": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3},
-    "lightgbm": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1},
-    "catboost": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.03},
+    "xgboost": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "lam": 1.0, "least_hessian": 1.0},
+    "lightgbm": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "lam": 0.0, "least_hessian": 1e-3, "least_rows": 20},
+    "catboost": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.03, "lam": 3.0, "least_hessian": 0.0},
 }
 
 CLASSIFIERS = ["clf_logistic", "clf_decision_tree", "clf_random_forest", "clf_gbt", "clf_boosted",
@@ -65,31 +67,6 @@ class ScoredModel:
         return out.drop("rawPrediction")
 
 
-class OneVsRestBoosted:
-    """k binary GBT models; probability = per-class sigmoid normalised to 1,
-    prediction = argmax. All members score in one pass (distinct columns)."""
-
-    def __init__(self, models: list):
-        self.models = models
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        cols = []
-        for i, m in enumerate(self.models):
-            m = m.copy()
-            m.setPredictionCol(f"_p{i}").setProbabilityCol(f"_pr{i}").setRawPredictionCol(f"_r{i}")
-            out = m.transform(out)
-            cols.append(vector_to_array(f"_pr{i}")[1])
-        arr = F.array(*cols)
-        tot = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-        out = out.withColumn("probability", F.transform(arr, lambda x: x / tot))
-        out = out.withColumn("prediction", (F.array_position("probability",
-                                                             F.array_max("probability")) - 1)
-                             .cast("double"))
-        drop = [c for i in range(len(self.models)) for c in (f"_p{i}", f"_pr{i}", f"_r{i}")]
-        return out.drop(*drop)
-
-
 class FourierFeatures:
     """Random Fourier features z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2*gamma)
     (Rahimi & Recht 2007): an RBF kernel approximated by a linear one. Calling it adds the
@@ -231,20 +208,15 @@ def _fit(df: DataFrame, task: str, name: str, params: dict | None, weights: bool
             est.setWeightCol(wcol)
         return ScoredModel(est.fit(df))
     if name in ("clf_gbt", "clf_boosted"):
-        if name == "clf_boosted":
-            base = dict(BOOSTED_CHOICES[params.pop("choice", "xgboost")])
-        else:
-            base = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
-        base.update(params)
         k = _n_classes(df, label)
+        if name == "clf_boosted":
+            base = BOOSTED_CHOICES[params.pop("choice", "xgboost")] | params
+            return boosting.fit(df, "logistic" if k <= 2 else "softmax", label, features, **base)
+        base = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1} | params
         if k <= 2:
             return ScoredModel(GBTClassifier(seed=SEED, **kw, **base).fit(df))
-        members = []
-        for c in range(k):
-            binary = df.withColumn("_bin", (F.col(label) == float(c)).cast("double"))
-            members.append(GBTClassifier(seed=SEED, featuresCol=features, labelCol="_bin",
-                                         **base).fit(binary))
-        return OneVsRestBoosted(members)
+        # multinomial deviance: one tree per class and round, Newton leaves with Hessian k/(k-1) p(1-p)
+        return boosting.fit(df, "softmax", label, features, lam=0.0, least_hessian=0.0, hessian=k / (k - 1), **base)
     if name == "clf_svm":
         kernel = params.pop("kernel", "rbf")
         C = params.pop("C", 1.0)
@@ -299,12 +271,10 @@ def _fit(df: DataFrame, task: str, name: str, params: dict | None, weights: bool
                                     maxDepth=params.pop("maxDepth", MAX_TREE_DEPTH), seed=SEED,
                                     **kw, **params)
         return ScoredModel(est.fit(df), prob=False)
-    if name in ("reg_gbt", "reg_boosted"):
-        if name == "reg_boosted":
-            base = dict(BOOSTED_CHOICES[params.pop("choice", "xgboost")])
-        else:
-            base = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
-        base.update(params)
+    if name == "reg_boosted":
+        return boosting.fit(df, "squared", label, features, **(BOOSTED_CHOICES[params.pop("choice", "xgboost")] | params))
+    if name == "reg_gbt":
+        base = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1} | params
         return ScoredModel(GBTRegressor(seed=SEED, **kw, **base).fit(df), prob=False)
     if name == "reg_svr":
         from autotab.operators.margin import fit_svr

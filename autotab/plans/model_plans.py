@@ -46,27 +46,6 @@ def lineitem_regression(spark, d):
     return prepared, model.transform(test), rep
 
 
-_RESULTS: dict = {}
-
-
-def _results(key, spark, d, run):
-    """Metric rows of one fit, shared in a process by its two queries (the metrics, the quality row)."""
-    if (key, d) not in _RESULTS:
-        _RESULTS[key, d] = [tuple(r) for r in run(spark, d).collect()]
-    return _RESULTS[key, d]
-
-
-def forget_results() -> None:
-    """Let the next query fit anew (used by the bench)."""
-    _RESULTS.clear()
-
-
-def _metrics_plan(name, run):
-    def build(spark, d):
-        return spark.createDataFrame(_results(name, spark, d, run), "metric string, value double")
-    return build
-
-
 def _clf_plan(name, data=lineitem_binary, params=None, weights=False):
     def run(spark, d):
         train, test, _ = data(spark, d)
@@ -84,18 +63,18 @@ def _reg_plan(name, params=None):
 
 
 def _register(name, run, table, target):
-    """The metrics query, and a row that holds its accuracy against the majority share (or its R2
-    against a bound), whose share SQL computes on its own."""
-    plan(name)(_metrics_plan(name, run))
+    """The metrics query, and a query that fits on its own and holds its accuracy against the majority
+    share (or its R2 against a bound), whose share SQL computes."""
+    plan(name)(run)
     if target is None:
         def quality(spark, d):
-            r2 = dict(_results(name, spark, d, run))["r2"]
+            r2 = dict(tuple(r) for r in run(spark, d).collect())["r2"]
             return X.lineitem(spark, d).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("r2_above_0_9", F.lit(r2 > 0.9))
         plan(f"{name}_quality", sql="SELECT count(*) AS n_rows, true AS r2_above_0_9 FROM lineitem")(quality)
         return
 
     def quality(spark, d):
-        accuracy = dict(_results(name, spark, d, run))["accuracy"]
+        accuracy = dict(tuple(r) for r in run(spark, d).collect())["accuracy"]
         counts = getattr(X, table)(spark, d).groupBy(target).count()
         return counts.agg((F.max("count") / F.sum("count")).alias("majority_share")).withColumn(
             "beats_majority", F.lit(accuracy) > F.col("majority_share") + 0.05)
@@ -112,6 +91,8 @@ _register("clf_boosted", _clf_plan("clf_boosted", params={"choice": "lightgbm"})
 _register("clf_svm", _clf_plan("clf_svm", params={"kernel": "rbf"}), "lineitem", "big_order")
 _register("clf_svm_linear", _clf_plan("clf_svm", params={"kernel": "linear"}), "lineitem", "big_order")
 _register("clf_gbt_multiclass", _clf_plan("clf_gbt", data=part_band), "part", "band")
+_register("clf_boosted_multiclass", _clf_plan("clf_boosted", data=part_band, params={"choice": "xgboost", "maxIter": 20}),
+          "part", "band")
 _register("clf_knn", _clf_plan("clf_knn", params={"k": 5, "ids": ["row_id"]}), "lineitem", "big_order")
 _register("clf_logistic_weighted", _clf_plan("clf_logistic", weights=True), "lineitem", "big_order")
 for _name in ["reg_linear", "reg_ridge", "reg_random_forest", "reg_gbt"]:
@@ -218,3 +199,38 @@ def q_clf_knn_votes(spark, d):
     test = sp.filter(F.col("split") == "test").drop("split")
     m = MD.fit_model(train, "classification", "clf_knn", {"k": 5, "ids": ["vec_id"]})
     return MD.score(m, test, ["vec_id"]).select("vec_id", "prediction")
+
+
+# ------------------------------------------------- the first boosted tree
+def _level_sql(rows: str, stats: str, nodes: str, parents: str) -> str:
+    """CTEs that cut every node of ``parents`` (node, g, h): sums per (node, feature, value) of ``rows`` (node, x0, x1, g),
+    running sums up to each value, the largest gain (ties: first feature, lowest cut)."""
+    return f"""
+{stats} AS (
+  SELECT node, f, x, sum(sum(g)) OVER w AS gl, sum(count(*)) OVER w AS hl
+  FROM (SELECT node, 0 AS f, x0 AS x, g FROM {rows} UNION ALL SELECT node, 1, x1, g FROM {rows})
+  GROUP BY node, f, x WINDOW w AS (PARTITION BY node, f ORDER BY x)),
+{nodes} AS (
+  SELECT * FROM (
+    SELECT s.*, p.g - gl AS gr, p.h - hl AS hr, (gl * gl / (hl + 1) + (p.g - gl) * (p.g - gl) / (p.h - hl + 1) - p.g * p.g / (p.h + 1)) / 2 AS gain,
+      row_number() OVER (PARTITION BY s.node ORDER BY round((gl * gl / (hl + 1) + (p.g - gl) * (p.g - gl) / (p.h - hl + 1)) / 2, 6) DESC, f, x) AS nth
+    FROM {stats} s JOIN {parents} p USING (node) WHERE p.h > hl) AS t WHERE nth = 1 AND gain > 1e-12)"""
+
+
+@plan("boosting_first_tree", rnd=("gain", "value"), digits=4, sql=f"""
+WITH li AS (SELECT l_quantity AS x0, l_discount AS x1, y_lin AS y FROM ({X.LINEITEM_SQL})),
+r0 AS (SELECT 0 AS node, x0, x1, (SELECT avg(y) FROM li) - y AS g FROM li),
+p0 AS (SELECT 0 AS node, sum(g) AS g, count(*) AS h FROM r0),{_level_sql("r0", "s0", "n0", "p0")},
+r1 AS (SELECT CASE WHEN CASE n0.f WHEN 0 THEN x0 ELSE x1 END <= n0.x THEN 1 ELSE 2 END AS node, x0, x1, g FROM r0, n0),
+p1 AS (SELECT node, sum(g) AS g, count(*) AS h FROM r1 GROUP BY node),{_level_sql("r1", "s1", "n1", "p1")},
+leaves AS (
+  SELECT 2 * node + 1 AS node, gl AS g, hl AS h FROM n1 UNION ALL SELECT 2 * node + 2, gr, hr FROM n1)
+SELECT t.node, coalesce(n.f, -1) AS feature, n.x AS cut, coalesce(n.gain, 0) AS gain, -t.g / (t.h + 1) AS value, CAST(t.h AS BIGINT) AS n_rows
+FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM leaves) t
+LEFT JOIN (SELECT node, f, x, gain FROM n0 UNION ALL SELECT node, f, x, gain FROM n1) n ON n.node = t.node""")
+def q_boosting_first_tree(spark, d):
+    """Splits, gains and leaf values of the first tree (two levels, lambda 1, learning rate 1)."""
+    from autotab.operators import boosting
+    li = X.lineitem(spark, d).select(F.array("l_quantity", "l_discount").alias("features"), F.col("y_lin").alias("label"))
+    m = boosting.fit(li, "squared", maxIter=1, maxDepth=2, stepSize=1.0, lam=1.0, least_hessian=0.0)
+    return spark.createDataFrame(m.table(), "node int, feature int, cut double, gain double, value double, n_rows long")

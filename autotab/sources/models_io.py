@@ -1,7 +1,7 @@
 """Model persistence with Spark ML writers (works on any Hadoop path).
 
 Built-in models and ``PipelineModel`` use their own ``save``; the composites
-here (one model plus probability handling, one-vs-rest members, ensembles, margin
+here (one model plus probability handling, boosted trees, ensembles, margin
 models on Fourier features, co-training views, k-NN with its training table)
 store each member in a sub-folder plus a one-row manifest table. A model may be
 saved with the preparation it was fitted on, so the loaded pair scores raw rows.
@@ -48,7 +48,8 @@ def save_model(model, path: str, spark: SparkSession | None = None, preparation=
     """Write ``model``; with ``preparation`` (a ``PipelineModel``, usually the report's
     ``scoring_model``) the loaded object takes raw rows."""
     from autotab.operators.margin import LinearScore
-    from autotab.operators.models import OneVsRestBoosted, PlattSVM, ScoredModel
+    from autotab.operators.boosting import BoostedTrees
+    from autotab.operators.models import PlattSVM, ScoredModel
     from autotab.operators.neighbours import KNNClassifierModel
     from autotab.operators.tune import CoTrainingModel, MeanEnsemble, VoteEnsemble
     spark = spark or SparkSession.getActiveSession()
@@ -66,11 +67,8 @@ def save_model(model, path: str, spark: SparkSession | None = None, preparation=
         model.model.write().overwrite().save(f"{path}/model")
         _manifest(spark, path, {"kind": "scored", "class": _cls_name(model.model),
                                 "prob": model.has_prob})
-    elif isinstance(model, OneVsRestBoosted):
-        for i, m in enumerate(model.models):
-            m.write().overwrite().save(f"{path}/member{i}")
-        _manifest(spark, path, {"kind": "ovr", "class": _cls_name(model.models[0]),
-                                "n": len(model.models)})
+    elif isinstance(model, BoostedTrees):
+        _manifest(spark, path, {"kind": "boosted", "model": model.state()})
     elif isinstance(model, (VoteEnsemble, MeanEnsemble)):
         for i, m in enumerate(model.members):
             save_model(m, f"{path}/member{i}", spark)
@@ -102,7 +100,8 @@ def save_model(model, path: str, spark: SparkSession | None = None, preparation=
 
 def load_model(path: str, spark: SparkSession | None = None):
     from autotab.operators.margin import LinearScore
-    from autotab.operators.models import FourierFeatures, OneVsRestBoosted, PlattSVM, ScoredModel
+    from autotab.operators.boosting import BoostedTrees
+    from autotab.operators.models import FourierFeatures, PlattSVM, ScoredModel
     from autotab.operators.neighbours import KNNClassifierModel
     from autotab.operators.tune import CoTrainingModel, MeanEnsemble, VoteEnsemble
     spark = spark or SparkSession.getActiveSession()
@@ -115,9 +114,8 @@ def load_model(path: str, spark: SparkSession | None = None):
         return _load_cls(info["class"]).load(f"{path}/model")
     if kind == "scored":
         return ScoredModel(_load_cls(info["class"]).load(f"{path}/model"), info["prob"])
-    if kind == "ovr":
-        cls = _load_cls(info["class"])
-        return OneVsRestBoosted([cls.load(f"{path}/member{i}") for i in range(info["n"])])
+    if kind == "boosted":
+        return BoostedTrees.of_state(json.loads(info["model"]) if isinstance(info["model"], str) else info["model"])
     if kind == "svm":
         svm, platt = map(_load_cls, info["classes"])
         return PlattSVM([svm.load(f"{path}/member{i}") for i in range(info["n"])],
