@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from autotab.operators import cells
+
 BLOCK_ROWS = 4096
 MERGE_FANOUT = 64
 _CHUNK_CELLS = 4_000_000  # query-chunk x block x dim doubles per numpy step
@@ -59,12 +61,12 @@ def blocked(query: DataFrame, ref: DataFrame, fn, schema: str, block_rows: int =
     ``query``/``ref`` carry ``_id`` and ``_x`` (array<double>) plus extras.
     Each query row is copied to every reference block and vice versa, so a
     group holds about ``block_rows`` rows of each side. With ``reach`` only pairs within that
-    distance matter to ``fn``: blocks are then cells around pivots and a row goes only to cells
-    that the triangle inequality cannot rule out.
+    distance matter to ``fn``: blocks are then metric cells (:mod:`autotab.operators.cells`) and a
+    query row goes only to cells that the triangle inequality cannot rule out.
     """
     nq, nr = counts or (query.count(), ref.count())
     if reach is not None and nr > block_rows:
-        return _reaching(query, ref, fn, schema, block_rows, query_extra, ref_extra, nr, reach)
+        return _reaching(query, ref, fn, schema, block_rows, query_extra, ref_extra, reach)
     qb_n = max(1, math.ceil(nq / block_rows))
     rb_n = max(1, math.ceil(nr / block_rows))
     q = (query.select("_id", "_x", *(query_extra or []))
@@ -85,63 +87,11 @@ def blocked(query: DataFrame, ref: DataFrame, fn, schema: str, block_rows: int =
     return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(run, schema)
 
 
-MAX_PIVOTS = 1024     # the bound of what is sent to every task
-
-
 def _reaching(query: DataFrame, ref: DataFrame, fn, schema: str, block_rows: int, query_extra, ref_extra,
-              nr: int, reach: float) -> DataFrame:
-    """``blocked`` over pivot cells: cell pairs farther apart than their radii plus ``reach``
-    never meet; cells of more than ``block_rows`` rows are split by a hash of the id."""
-    spark = query.sparkSession
-    few = ref.select("_id", "_x").orderBy(F.xxhash64("_id"), "_id").limit(min(MAX_PIVOTS, -(-nr // block_rows) * 4))
-    pivots = _stack(pd.Series([r["_x"] for r in few.collect()]))
-
-    def celled(df):
-        def assign(batches):
-            for pdf in batches:
-                if len(pdf):
-                    X, best = _stack(pdf["_x"]), []
-                    for _, D in pair_distances(X, pivots):
-                        at = D.argmin(axis=1)
-                        best.append(np.stack([at, D[np.arange(len(D)), at]], axis=1))
-                    best = np.concatenate(best)
-                    yield pdf.assign(_cell=best[:, 0].astype(np.int32), _apart=best[:, 1])
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        out = df.mapInPandas(assign, f"{kinds}, _cell int, _apart double")
-        stats = {r["_cell"]: (r["n"], r["radius"]) for r in out.groupBy("_cell").agg(
-            F.count(F.lit(1)).alias("n"), F.max("_apart").alias("radius")).collect()}
-        first, total, split = {}, 0, {}
-        for cell, (n, _) in sorted(stats.items()):
-            first[cell], split[cell] = total, -(-n // block_rows)
-            total += split[cell]
-        table = spark.createDataFrame([(c, first[c], split[c]) for c in stats] or [(-1, 0, 1)],
-                                      "_cell int, _first int, _split int")
-        block = F.col("_first") + F.pmod(F.xxhash64("_id"), F.col("_split")).cast("int")
-        return out.join(F.broadcast(table), "_cell").withColumn("_block", block), stats, first, split
-
-    q, q_stats, q_first, q_split = celled(query.select("_id", "_x", *(query_extra or [])))
-    r, r_stats, r_first, r_split = celled(ref.select("_id", "_x", *(ref_extra or [])))
-    near = []
-    for i, (_, ri) in q_stats.items():
-        apart = np.sqrt(((pivots - pivots[i]) ** 2).sum(axis=1))
-        near += [(i, j) for j, (_, rj) in r_stats.items() if apart[j] <= (ri + rj + reach) * (1 + 1e-9) + 1e-9]
-    # cell pairs that can meet, with the other side's blocks: at most MAX_PIVOTS^2 rows, joined, not broadcast by hand
-    to_ref = spark.createDataFrame([(i, r_first[j], r_first[j] + r_split[j] - 1) for i, j in near] or [(-1, 0, 0)],
-                                   "_cell int, _a int, _z int")
-    to_query = spark.createDataFrame([(j, q_first[i], q_first[i] + q_split[i] - 1) for i, j in near] or [(-1, 0, 0)],
-                                     "_cell int, _a int, _z int")
-    q = (q.join(to_ref, "_cell").select("_id", "_x", *(query_extra or []), F.col("_block").alias("_qb"),
-                                        F.explode(F.sequence("_a", "_z")).alias("_rb")))
-    extras = list(ref_extra or [])
-    r = (r.join(to_query, "_cell").select(
-        F.col("_id").alias("_r_id"), F.col("_x").alias("_r_x"), *[F.col(c).alias(f"_r_{c}") for c in extras],
-        F.col("_block").alias("_rb"), F.explode(F.sequence("_a", "_z")).alias("_qb")))
-    back = {"_r_id": "_id", "_r_x": "_x", **{f"_r_{c}": c for c in extras}}
-
-    def run(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(qdf, rdf.rename(columns=back))
-
-    return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(run, schema)
+              reach: float) -> DataFrame:
+    """``blocked`` over metric cells: a query row meets only cells within ``reach``."""
+    found, dealt = cells.build(ref, block_rows)
+    return cells.meet(found, dealt, query, cells.within(reach), fn, schema, block_rows, list(query_extra or []), list(ref_extra or []))
 
 
 def _prepare_side(df: DataFrame, id_col: str, features: str, extra: list[str] | None = None):
@@ -155,44 +105,64 @@ def knn_join(query: DataFrame, ref: DataFrame, k: int, id_col: str = "row_id",
 
     Returns (row_id, neighbor, rank, dist); ties broken by neighbour id.
     ``exclude_self`` drops the pair with equal ids (self-join use).
+
+    Reference rows are dealt to metric cells.  A query first visits one cell near it, whose k-th distance is
+    its reach, and then only the cells that the triangle inequality cannot rule out, so on clustered rows its
+    copies do not grow with the table.  Without any cell of k rows it visits them all.
     """
     id_type = query.schema[id_col].dataType.simpleString()
-    schema = f"_qid {id_type}, _nid {id_type}, dist double, _blk int"
+    schema = f"_qid {id_type}, _nid {id_type}, dist double, _blk long"
+    q, r = _prepare_side(query, id_col, features), _prepare_side(ref, id_col, features)
+    found, dealt = cells.build(r, block_rows)
+    if found is None:
+        return query.sparkSession.createDataFrame([], f"{id_col} {id_type}, neighbor {id_type}, rank int, dist double")
+    least = k + 1 if exclude_self else k
+
+    def first(pdf, c):
+        """One hash part of a near cell of enough rows."""
+        at = c.home(_stack(pdf["_x"]), least)
+        row = np.flatnonzero(at >= 0)
+        return row, at[row], np.arange(len(row)) % c.split[at[row]]
+
+    def nearest(qdf, rdf):
+        """(distances, order) of the k nearest rows of ``rdf``, a chunk of queries at a time."""
+        rid, qid = rdf["_id"].to_numpy(), qdf["_id"].to_numpy()
+        rid_order = np.argsort(np.argsort(rid, kind="stable"), kind="stable").astype(np.float64)
+        for sl, D in pair_distances(_stack(qdf["_x"]), _stack(rdf["_x"])):
+            if exclude_self:
+                D = np.where(qid[sl, None] == rid[None, :], np.inf, D)
+            order = np.lexsort((np.broadcast_to(rid_order, D.shape), D), axis=-1)[:, :min(k, D.shape[1])]
+            yield sl, np.take_along_axis(D, order, axis=1), order
+
+    def kth(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
+        reach = np.full(len(qdf), np.inf)
+        if len(qdf) and len(rdf) >= k:
+            for sl, d, _ in nearest(qdf, rdf):
+                reach[sl] = d[:, k - 1]
+        return pd.DataFrame({"_qid": qdf["_id"].to_numpy(), "_reach": reach})
 
     def top(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(rdf) == 0:
             return pd.DataFrame({"_qid": [], "_nid": [], "dist": [], "_blk": []})
-        blk = int(qdf["_rb"].iloc[0])
-        X, Y = _stack(qdf["_x"]), _stack(rdf["_x"])
-        rid = rdf["_id"].to_numpy()
-        rid_order = np.argsort(np.argsort(rid, kind="stable"), kind="stable").astype(np.float64)
-        qid = qdf["_id"].to_numpy()
-        out_q, out_n, out_d = [], [], []
-        for sl, D in pair_distances(X, Y):
-            if exclude_self:
-                D = np.where(qid[sl, None] == rid[None, :], np.inf, D)
-            kk = min(k, D.shape[1])
-            order = np.lexsort((np.broadcast_to(rid_order, D.shape), D), axis=-1)[:, :kk]
-            dsel = np.take_along_axis(D, order, axis=1)
-            for i in range(D.shape[0]):
-                ok = np.isfinite(dsel[i])
-                out_q.extend([qid[sl][i]] * int(ok.sum()))
-                out_n.extend(rid[order[i][ok]])
-                out_d.extend(dsel[i][ok])
-        return pd.DataFrame({"_qid": out_q, "_nid": out_n, "dist": out_d,
-                             "_blk": np.full(len(out_q), blk, dtype=np.int32)})
-
-    cand = blocked(_prepare_side(query, id_col, features), _prepare_side(ref, id_col, features),
-                   top, schema, block_rows)
-    # Merge the per-block candidates in a tree: each window sees at most
-    # k x MERGE_FANOUT rows, however many reference blocks there are.
-    n_blocks = max(1, math.ceil(ref.count() / block_rows))
-    while n_blocks > MERGE_FANOUT:
-        w = Window.partitionBy("_qid", (F.col("_blk") / MERGE_FANOUT).cast("int")).orderBy("dist", "_nid")
+        blk = int(qdf["_cell"].iloc[0]) * 64 + int(qdf["_part"].iloc[0]) % 64
+        rid, qid, out = rdf["_id"].to_numpy(), qdf["_id"].to_numpy(), []
+        for sl, d, order in nearest(qdf, rdf):
+            ok = np.isfinite(d)
+            out.append(pd.DataFrame({"_qid": np.repeat(qid[sl], ok.sum(axis=1)), "_nid": rid[order][ok], "dist": d[ok]}))
+        return pd.concat(out).assign(_blk=blk)
+
+    near = cells.meet(found, dealt, q, first, kth, f"_qid {id_type}, _reach double", block_rows, [], [])
+    asked = q.join(near.withColumnRenamed("_qid", "_id"), "_id", "left").withColumn(
+        "_reach", F.coalesce("_reach", F.lit(float("inf"))))
+    cand = cells.meet(found, dealt, asked, cells.within("_reach"), top, schema, block_rows, ["_reach"], [])
+    # Merge the candidates of many cells in a tree: each window sees at most k x MERGE_FANOUT rows of a cell group.
+    n_blocks = int(found.first[-1]) * 64
+    while n_blocks > MERGE_FANOUT * MERGE_FANOUT:
+        w = Window.partitionBy("_qid", F.expr(f"_blk div {MERGE_FANOUT}")).orderBy("dist", "_nid")
         cand = (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-                .withColumn("_blk", (F.col("_blk") / MERGE_FANOUT).cast("int")).drop("_r"))
+                .withColumn("_blk", F.expr(f"_blk div {MERGE_FANOUT}")).drop("_r"))
         n_blocks = math.ceil(n_blocks / MERGE_FANOUT)
-    w = Window.partitionBy("_qid").orderBy("dist", "_nid")   # <= k x MERGE_FANOUT rows per key
+    w = Window.partitionBy("_qid").orderBy("dist", "_nid")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("_qid").alias(id_col), F.col("_nid").alias("neighbor"),
                     F.col("rank").cast("int").alias("rank"), "dist"))

@@ -192,3 +192,39 @@ def test_reaching_blocks_split_cells_and_skip_far_ones(spark):
     got = {r.row_id: r.n_within for r in N.neighbour_counts(df, 0.25, block_rows=16).collect()}
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     assert got == {i: int((D[i] <= 0.25).sum()) for i in range(len(X))}
+
+
+def _spread(spark, n, groups, seed, d=3):
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-100, 100, (groups, d))[rng.integers(0, groups, n)] + rng.normal(0, 0.5, (n, d))
+    x[: n // 10] = x[0]      # many equal rows
+    return x, spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "row_id long, features array<double>")
+
+
+def test_cells_of_two_levels_give_exact_neighbours(spark, monkeypatch):
+    from autotab.operators import cells
+    monkeypatch.setattr(cells, "MAX_PIVOTS", 6)
+    x, df = _spread(spark, 700, 12, 3)
+    got = {(r.row_id, r.rank): r.neighbor for r in N.knn_join(df, df, 3, "row_id", exclude_self=True, block_rows=20).collect()}
+    D = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(D, np.inf)
+    for i in range(len(x)):
+        want = sorted(range(len(x)), key=lambda j: (D[i, j], j))[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == want
+    counts = {r.row_id: r.n_within for r in N.neighbour_counts(df, 0.8, "row_id", block_rows=20).collect()}
+    np.fill_diagonal(D, 0)
+    assert counts == {i: int((D[i] <= 0.8).sum()) for i in range(len(x))}
+
+
+def test_copies_of_a_query_do_not_grow_on_clustered_rows(spark):
+    from autotab.operators import cells
+    visits = []
+    for n in (400, 1600):
+        rng = np.random.default_rng(1)
+        centres = np.array([[i, j] for i in range(10) for j in range(n // 100)]) * 50.0      # clusters grow with the rows
+        x = np.repeat(centres, 10, axis=0) + rng.normal(0, 0.5, (n, 2))
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "_id long, _x array<double>")
+        found, _ = cells.build(df, 20)
+        row, _ = found.reached(x, np.full(n, 1.0))
+        visits.append(len(row) / n)
+    assert visits[1] < 1.3 * visits[0] < 8
