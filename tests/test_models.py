@@ -190,3 +190,15 @@ def test_splits_do_not_depend_on_partitions(spark, sf):
     for fn in (lambda d: S.split_random(d, ["row_id"]), lambda d: S.split_stratified(d, "big_order", ["row_id"]),
                lambda d: S.sample_n(d, ["row_id"], 100)):
         assert sorted(fn(li).collect()) == sorted(fn(li.repartition(9)).collect())
+
+
+def test_margin_models_close_their_duality_gap(spark, sf, recwarn):
+    from autotab.operators import margin
+    train, test, _ = lineitem_regression(spark, sf)
+    m = MD.fit_model(train, "regression", "reg_svr")
+    assert 0 <= m.gap <= 1e-3 and M.metric_regression(MD.score(m, test, ["row_id"])).first().r2 > 0.99
+    one = margin.fit_one_class(train, nu=0.3)
+    assert 0 <= one.gap <= 1e-3
+    outside = one.transform(train).filter("anomaly_score > 0").count() / train.count()
+    assert abs(outside - 0.3) < 0.05      # nu bounds the share outside
+    assert not [w for w in recwarn if "linear_margin" in str(w.message)]
