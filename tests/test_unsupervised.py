@@ -228,3 +228,27 @@ def test_copies_of_a_query_do_not_grow_on_clustered_rows(spark):
         row, _ = found.reached(x, np.full(n, 1.0))
         visits.append(len(row) / n)
     assert visits[1] < 1.3 * visits[0] < 8
+
+
+def test_ward_on_rows_is_the_exact_tree(spark):
+    """Unequal blobs, outliers that pair up early at a high cost, equal rows: as merging one pair at a time."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (400, 2)), rng.normal([9, 0], 0.2, (40, 2)), rng.normal([0, 14], 3, (200, 2)),
+                   [[60, 60], [70, 60], [-80, 5]], np.repeat([[5.0, 5.0]], 30, axis=0)])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "row_id long, features array<double>")
+    keep, inv, n = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    tree = C.ward_tree(keep, n)
+    for k in (2, 5, 9):
+        root = np.arange(len(keep))
+        for i, j, _ in tree[:len(tree) - (k - 1)]:
+            root[root == j] = i
+        want = root[inv.ravel()]
+        got = {r.row_id: r.cluster for r in C.cluster_hierarchical(df, ["row_id"], k, last=30, block_rows=150).collect()}
+        pairs = {(got[i], want[i]) for i in range(len(x))}
+        assert len(pairs) == k == len(set(got.values())) and got[0] == 0
+
+
+def test_ward_on_no_and_one_row(spark):
+    df = spark.createDataFrame([(3, [1.0, 2.0])], "row_id long, features array<double>")
+    assert [tuple(r) for r in C.cluster_hierarchical(df, ["row_id"], 3).collect()] == [(3, 0)]
+    assert C.cluster_hierarchical(df.limit(0), ["row_id"], 3).count() == 0
