@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from autotab.functions.scalars import DEFAULT_FACTORS, parse_estimate, task_factor
 from autotab.operators.profile import numeric_columns
-from autotab.operators.ranking import global_rank
+from autotab.operators.ranking import column_quantiles, global_rank
 
 # Thresholds of the four insight rules.
 SPARSE_BELOW = 0.2
@@ -48,23 +48,24 @@ def mean_kurtosis(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def mutual_information(df: DataFrame, target: str, cols: list[str] | None = None,
                        bins: int = MI_BINS, target_bins: int | None = None) -> DataFrame:
-    """(feature, mi): plug-in MI in nats between each equal-width-binned
-    feature and the target (binned too when ``target_bins`` is set, for
-    regression). Contingency counts are a distributed groupBy with map-side
-    combine; nothing is sampled."""
+    """(feature, mi): plug-in MI in nats between each feature cut at its quantiles into ``bins`` bins and
+    the target (cut too into ``target_bins`` when set, for regression). Exact quantiles, so one outlier
+    moves one row; a value lies above the distinct cuts below it. Contingency counts are a distributed
+    groupBy with map-side combine; nothing is sampled."""
     cols = [c for c in numeric_columns(df, cols) if c != target]
-    rng = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"))
-                   .alias(c) for c in cols + ([target] if target_bins else [])]).first()
+    shares = {b: [i / b for i in range(1, b)] for b in {bins, target_bins or bins}}
+    cuts = {bins: column_quantiles(df, cols, shares[bins])}
+    if target_bins:
+        cuts[target, target_bins] = column_quantiles(df, [target], shares[target_bins])
 
-    def binned(c, b):
-        lo, hi = rng[c]["lo"], rng[c]["hi"]
-        if lo is None or hi is None or hi <= lo:
-            return F.lit(0)
-        return F.least(F.floor((F.col(c).cast("double") - lo) / (hi - lo) * b), F.lit(b - 1)).cast("int")
+    def binned(c, at):
+        x = F.col(c).cast("double")
+        above = [F.when(x > e, 1).otherwise(0) for e in sorted(set(at.get(c, {}).values()))]
+        return F.when(x.isNotNull(), sum(above, F.lit(0)))
 
-    y = binned(target, target_bins) if target_bins else F.col(target).cast("string")
+    y = binned(target, cuts[target, target_bins]) if target_bins else F.col(target).cast("string")
     long_df = df.select(y.alias("_y"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), binned(c, bins).alias("_b")) for c in cols])).alias("kv")
+        F.struct(F.lit(c).alias("feature"), binned(c, cuts[bins]).alias("_b")) for c in cols])).alias("kv")
     ).select("kv.*", "_y").filter(F.col("_b").isNotNull() & F.col("_y").isNotNull())
     joint = long_df.groupBy("feature", "_b", "_y").agg(F.count(F.lit(1)).cast("double").alias("nxy"))
     px = joint.groupBy("feature", "_b").agg(F.sum("nxy").alias("nx"))

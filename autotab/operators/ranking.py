@@ -4,8 +4,9 @@ A window with ``orderBy`` and no partition key moves every row to one task.
 Here the rows are range-partitioned on the ordering (plus a unique tiebreak,
 so even a value held by a third of all rows is spread over many tasks),
 sorted inside each partition and written once to the reliable checkpoint
-directory. Per-partition counts (one row per partition) then give each
-partition's offset, so ``rank = offset[partition] + position``.
+directory. Per-partition counts then give each partition's offset by prefix sums in two
+levels (:func:`partition_offsets`), a table joined by partition number, so the plan is the same for
+any number of partitions and ``rank = offset + position``.
 
 With ``group_cols`` the rank restarts per group: groups are the leading sort
 keys, and the group's start offset (one row per group) is subtracted.
@@ -22,11 +23,8 @@ from autotab.session import cut_lineage
 
 _POS_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
-# Upper bound on groups whose offsets are shipped to every task.
-MAX_BROADCAST_GROUPS = 1_000_000
-
-
 ROWS_PER_RANGE = 500_000
+SPAN = 1024      # partitions whose sums are added up together
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -55,28 +53,34 @@ def global_rank(df: DataFrame, order: list[str | Column], tiebreak: list[str],
               .withColumn("_rk_pos", F.monotonically_increasing_id() - F.shiftleft(pid, _POS_BITS)))
     ranged = cut_lineage(ranged)
 
-    # One row per partition: bounded by the partition count, collected.
-    counts = dict(ranged.groupBy("_rk_pid").count().collect())
-    offsets, running = [], 0
-    for p in range(max(counts) + 1 if counts else 1):
-        offsets.append(running)
-        running += counts.get(p, 0)
-    offset_arr = F.array(*[F.lit(o).cast("long") for o in offsets])
-    ranked = ranged.withColumn(
-        rank_col, F.element_at(offset_arr, (F.col("_rk_pid") + 1).cast("int")) + F.col("_rk_pos") + 1)
+    offsets = partition_offsets(ranged.groupBy("_rk_pid").agg(F.count(F.lit(1)).alias("_rk_off")), ["_rk_off"])
+    ranked = ranged.join(offsets, "_rk_pid").withColumn(rank_col, F.col("_rk_off") + F.col("_rk_pos") + 1).drop("_rk_off")
 
     if group_cols:
         # Groups lead the sort, so each group is one contiguous run of global
         # ranks: its start is its smallest rank minus one.
         starts = ranked.groupBy(*group_cols).agg((F.min(rank_col) - 1).alias("_rk_start"))
-        if starts.count() <= MAX_BROADCAST_GROUPS:
-            starts = F.broadcast(starts)
         ranked = (ranked.join(starts, group_cols, "inner")
                   .withColumn(rank_col, F.col(rank_col) - F.col("_rk_start"))
                   .drop("_rk_start"))
     return ranked.drop("_rk_pid", "_rk_pos")
 
 
+def partition_offsets(totals: DataFrame, cols: list[str]) -> DataFrame:
+    """(_rk_pid, cols): sums of ``cols`` over all partitions before each one, from one row per partition.
+
+    Partitions are added up in spans of ``SPAN``, and the spans' sums above them, so no window holds more
+    than ``SPAN`` rows or one row per span.
+    """
+    spanned = totals.withColumn("_span", F.expr(f"_rk_pid div {SPAN}"))
+    inside = Window.partitionBy("_span").orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spanned.groupBy("_span").agg(*[F.sum(c).alias(f"_all_{c}") for c in cols]).select(
+        "_span", *[F.coalesce(F.sum(f"_all_{c}").over(above), F.lit(0)).alias(f"_all_{c}") for c in cols])
+    local = spanned.select("_rk_pid", "_span", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in cols])
+    return local.join(spans, "_span").select("_rk_pid", *[(F.col(c) + F.col(f"_all_{c}")).alias(c) for c in cols])
+
+
 BUCKETS = 2048
 
 
@@ -197,22 +201,14 @@ def global_cumsum(df: DataFrame, order: list[str | Column], weights: list[str],
             yield pdf
 
     local = cut_lineage(ranged.mapInPandas(running, out_schema))
-    totals = {r["_rk_pid"]: r for r in local.groupBy("_rk_pid").agg(
-        *[F.sum(w).cast("double").alias(w) for w in weights]).collect()}
-    out = local
-    for w in weights:
-        offs, run = [], 0.0
-        for p in range(max(totals) + 1 if totals else 1):
-            offs.append(run)
-            run += float(totals[p][w]) if p in totals and totals[p][w] is not None else 0.0
-        arr = F.array(*[F.lit(o) for o in offs])
-        out = out.withColumn(w + suffix, F.col(w + suffix) +
-                             F.element_at(arr, (F.col("_rk_pid") + 1).cast("int")))
+    before = [f"_rk_before_{i}" for i in range(len(weights))]
+    offsets = partition_offsets(local.groupBy("_rk_pid").agg(
+        *[F.sum(w).cast("double").alias(b) for w, b in zip(weights, before)]), before)
+    out = local.join(offsets, "_rk_pid").withColumns(
+        {w + suffix: F.col(w + suffix) + F.col(b) for w, b in zip(weights, before)}).drop(*before)
     if group_cols:
         starts = out.groupBy(*group_cols).agg(*[
             F.min(F.col(w + suffix) - F.col(w)).alias("_st_" + w) for w in weights])
-        if starts.count() <= MAX_BROADCAST_GROUPS:
-            starts = F.broadcast(starts)
         out = out.join(starts, group_cols)
         out = out.withColumns({w + suffix: F.col(w + suffix) - F.col("_st_" + w) for w in weights}
                               ).drop(*["_st_" + w for w in weights])

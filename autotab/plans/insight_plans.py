@@ -43,8 +43,8 @@ def q_mean_kurtosis(spark, d):
 def _mi_sql(cols, target, source):
     parts = []
     for c in cols:
-        b = (f"least(floor((cast({c} as double) - (SELECT min({c}) FROM {source})) / "
-             f"((SELECT max({c}) FROM {source}) - (SELECT min({c}) FROM {source})) * 10), 9)")
+        q = f"(SELECT list_distinct(quantile_cont(cast({c} as double), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) FROM {source})"
+        b = f"len(list_filter({q}, lambda e: e < {c}))"
         parts.append(f"""
 SELECT '{c}' AS feature, sum(nxy / n * ln(nxy * n / (nx * ny))) AS mi FROM (
   SELECT nxy, sum(nxy) OVER (PARTITION BY b) AS nx, sum(nxy) OVER (PARTITION BY y) AS ny,
@@ -59,6 +59,16 @@ def q_mutual_information(spark, d):
     return I.mutual_information(X.lineitem(spark, d), "big_order", INS_COLS)
 
 
+#: The texts that the rules must give, written out here apart from the code under test.
+SPARSE_TEXT = "High Sparsity (", "): Linear models or Sparse-friendly ensembles recommended."
+WIDE_TEXT = "Wide feature ranges detected: Scaling is critical (StandardScaler applied)."
+COMPACT_TEXT = "Low Kurtosis: Data is relatively compact, but subtle local outliers may still exist."
+NONLINEAR_TEXT = "Strong Non-linear patterns detected: Tree-based models (XGBoost, RF) will likely outperform linear models."
+HIGH_TEXT = ("High Kurtosis (", ") detected: Significant outlier potential identified. Robust "
+             "models like Isolation Forest recommended.")
+LINEAR_TEXT = "Data exhibits potential linear trends: Regularized Linear models may generalize better."
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -68,25 +78,25 @@ def _rules_sql(cols, source):
     share = (f"(SELECT cast({' + '.join(f'count_if(coalesce({c} <> 0, true))' for c in cols)} as double) "
              f"/ (count(*) * {len(cols)}.0) FROM {source})")
     top = f"(SELECT greatest({', '.join(f'max(abs({c}))::DOUBLE' for c in cols)}) FROM {source})"
-    sparse = I.MSG_SPARSE.split("{:.1%}")
+    sparse = SPARSE_TEXT
     return f"""
 SELECT 'sparsity' AS rule, v < 0.2 AS fired, v AS value,
   CASE WHEN v < 0.2 THEN {_quoted(sparse[0])} || printf('%.1f%%', v * 100) || {_quoted(sparse[1])} END AS message
 FROM (SELECT {share} AS v)
-UNION ALL SELECT 'wide_ranges', v > 1000, v, CASE WHEN v > 1000 THEN {_quoted(I.MSG_WIDE)} END FROM (SELECT {top} AS v)"""
+UNION ALL SELECT 'wide_ranges', v > 1000, v, CASE WHEN v > 1000 THEN {_quoted(WIDE_TEXT)} END FROM (SELECT {top} AS v)"""
 
 
 def _kurtosis_sql():
-    high = I.MSG_KURT.split("{:.1f}")
+    high = HIGH_TEXT
     return f"""
 SELECT 'kurtosis', k > 3, k, CASE WHEN k > 3 THEN {_quoted(high[0])} || printf('%.1f', k) || {_quoted(high[1])}
-  ELSE {_quoted(I.MSG_COMPACT)} END
+  ELSE {_quoted(COMPACT_TEXT)} END
 FROM (SELECT avg(k) AS k FROM ({' UNION ALL '.join(f'SELECT kurtosis_pop({c}) AS k FROM {EV}' for c in KURT_COLS)}))"""
 
 
 def _nonlinear_sql():
     return f"""
-SELECT 'nonlinearity', m > 0.15, m, CASE WHEN m > 0.15 THEN {_quoted(I.MSG_NONLINEAR)} ELSE {_quoted(I.MSG_LINEAR)} END
+SELECT 'nonlinearity', m > 0.15, m, CASE WHEN m > 0.15 THEN {_quoted(NONLINEAR_TEXT)} ELSE {_quoted(LINEAR_TEXT)} END
 FROM (SELECT avg(mi) AS m FROM ({_mi_sql(INS_COLS, "big_order", LI)}))"""
 
 

@@ -25,8 +25,20 @@ CASE WHEN {col} IS NULL THEN 0.5
      ELSE coalesce(TRY_CAST({col} AS DOUBLE), 0.5) END"""
 
 
-FB_VALUES = ", ".join(
-    "('{}', {}, '{}', '{}', '{}')".format(t, p, a, e, r.replace("'", "''")) for t, p, a, e, r in RC.FALLBACK)
+#: The fallback rows, written out for the oracle apart from the code under test.
+FB_VALUES = """
+('classification', 0, 'Random Forest', '65-75%', 'Good for most classification tasks'),
+('classification', 1, 'XGBoost', '70-80%', 'Excellent for complex patterns'),
+('classification', 2, 'Logistic Regression', '60-70%', 'Good baseline model'),
+('regression', 0, 'Random Forest', '0.60-0.75', 'Robust for regression problems'),
+('regression', 1, 'XGBoost', '0.65-0.80', 'High accuracy with complex data'),
+('regression', 2, 'Linear Regression', '0.50-0.65', 'Simple baseline model'),
+('clustering', 0, 'K-Means', '0.3-0.5', 'Good for spherical clusters'),
+('clustering', 1, 'DBSCAN', '0.2-0.4', 'Finds arbitrary shaped clusters'),
+('dimensionality_reduction', 0, 'PCA', '60-75%', 'Standard linear reduction'),
+('dimensionality_reduction', 1, 'UMAP', '65-80%', 'Good for visualization'),
+('anomaly_detection', 0, 'Isolation Forest', '75-85%', 'Effective for high dimensions'),
+('anomaly_detection', 1, 'Local Outlier Factor', '70-80%', 'Good for varying densities')"""
 
 PARSE_SQL = f"""
 WITH r AS {RP},

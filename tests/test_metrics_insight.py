@@ -74,3 +74,10 @@ def test_mutual_information_independent_is_small(spark):
                                      (F.floor(F.col("id") / 10) % 2).alias("y"))
     mi = I.mutual_information(df, "y", ["x"]).first().mi
     assert mi < 0.01
+
+
+def test_mutual_information_is_not_moved_by_one_outlier(spark):
+    rows = [(float(i), int(i >= 1000)) for i in range(2000)]
+    plain = I.mutual_information(spark.createDataFrame(rows, "x double, y int"), "y", ["x"]).first().mi
+    odd = I.mutual_information(spark.createDataFrame(rows + [(1e9, 1)], "x double, y int"), "y", ["x"]).first().mi
+    assert plain > 0.65 and abs(plain - odd) < 0.01
