@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from autotab.operators import anomaly as A
 from autotab.operators import cluster as C
+from autotab.operators import layout as L
 from autotab.operators import neighbours as N
 from autotab.operators import reduce as RD
 from autotab.plans import fixtures as X
@@ -310,7 +311,14 @@ SELECT count_if(truth = 1) AS n_planted, true AS found, true AS precise FROM ({X
 
 @plan("neighbour_embedding")
 def q_neighbour_embedding(spark, d):
-    return RD.neighbour_embedding(blobs(spark, d), "p_partkey", 2, 10)
+    return L.neighbour_embedding(blobs(spark, d), "p_partkey")
+
+
+@plan("neighbour_embedding_trust", sql=f"SELECT count(*) AS n_rows, true AS trusted FROM {PS}")
+def q_neighbour_embedding_trust(spark, d):
+    rows = blobs(spark, d)
+    placed = L.neighbour_embedding(rows, "p_partkey")
+    return L.trustworthiness(rows, placed, 10, "p_partkey").select("n_rows", (F.col("trustworthiness") > 0.9).alias("trusted"))
 
 
 @plan("cluster_spectral", sql=BLOB_SQL)
