@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from autotab.functions.scalars import DEFAULT_FACTORS, parse_estimate, task_factor
 from autotab.operators.profile import numeric_columns
-from autotab.operators.ranking import column_quantiles, global_rank
+from autotab.operators.ranking import column_quantiles, global_cumsum, global_rank
+from autotab.session import cut_lineage
 
 # Thresholds of the four insight rules.
 SPARSE_BELOW = 0.2
@@ -15,6 +16,8 @@ NONLINEAR_MI_ABOVE = 0.15
 WIDE_RANGE_ABOVE = 1000
 KURTOSIS_ABOVE = 3
 MI_BINS = 10
+MI_NEIGHBOURS = 3
+RUN = 4096            # values of one class that a window holds
 
 
 def nonzero_share(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -76,6 +79,71 @@ def mutual_information(df: DataFrame, target: str, cols: list[str] | None = None
     return j.groupBy("feature").agg(F.sum(term).alias("mi"))
 
 
+def digamma(n: Column) -> Column:
+    """psi(n) of a count n >= 1: the asymptotic series at n + 6, stepped down by six reciprocals."""
+    n = n.cast("double")
+    at = n + 6
+    inv = 1 / (at * at)
+    series = F.log(at) - 0.5 / at - inv * (1 / 12 - inv * (1 / 120 - inv * (1 / 252 - inv * (1 / 240 - inv / 132))))
+    return series - sum(1 / (n + j) for j in range(6))
+
+
+def neighbour_information(df: DataFrame, target: str, cols: list[str] | None = None, k: int = MI_NEIGHBOURS,
+                          target_bins: int | None = None) -> DataFrame:
+    """(feature, mi): mutual information in nats by nearest neighbours (Ross 2014), at least 0.
+
+    A row's radius is the distance to its ``k``-th nearest row of its class in one feature; mi compares the
+    rows of its class with all rows inside that radius:
+    psi(N) + mean(psi(inside, class) - psi(class size) - psi(inside, all)).  Without ties ``inside, class`` is ``k``
+    (the row itself counted, the ``k``-th not); a value held by more than ``k`` rows of a class has radius 0 and
+    compares the copies, which is the plug-in form.  Inside means within (1 - 1e-6) of the radius, so rounding
+    of sums cannot bring the ``k``-th row in.  Classes of one row, nulls and NaN take no part; a numeric target is cut
+    at its quantiles into ``target_bins`` classes when set.  A feature without rows has no row here.
+
+    All rows count, as distinct values with weights (partial sums before the shuffle).  Neighbours come from windows
+    of ``RUN`` ranked values that overlap by ``k``, the counts of all rows from running sums over one sort of the
+    values and of both ends of every radius.
+    """
+    cols = [c for c in numeric_columns(df, cols) if c != target]
+    if target_bins:
+        cuts = sorted(set(column_quantiles(df, [target], [i / target_bins for i in range(1, target_bins)])[target].values()))
+        t = F.col(target).cast("double")
+        y = F.when(t.isNotNull() & ~F.isnan(t), sum([F.when(t > e, 1).otherwise(0) for e in cuts], F.lit(0)))
+    else:
+        y = F.col(target)
+    values = (df.select(y.cast("string").alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])).alias("kv"))
+        .select("kv.feature", "y", "kv.x").filter("x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL")
+        .groupBy("feature", "y", "x").agg(F.count(F.lit(1)).alias("w")))
+    ranked = cut_lineage(global_rank(values, ["x"], [], ["feature", "y"], "r"))
+    sizes = ranked.groupBy("feature", "y").agg(F.sum("w").alias("size")).filter("size > 1")
+    ranked = ranked.join(sizes, ["feature", "y"])
+    at = F.expr(f"(r - 1) div {RUN}")
+    runs = F.array_distinct(F.array(at, F.greatest(F.expr(f"(r - 1 - {k}) div {RUN}"), F.lit(0)), F.expr(f"(r - 1 + {k}) div {RUN}")))
+    order = Window.partitionBy("feature", "y", "run").orderBy("r")
+    beside = [f(F.struct("x", "w"), o).over(order) for f in (F.lag, F.lead) for o in range(1, k + 1)]
+    near = (ranked.withColumn("own", at).withColumn("run", F.explode(runs))
+            .withColumn("near", F.array_compact(F.array(*beside))).filter("run = own"))
+    far = F.array_sort(F.concat(F.array(F.struct(F.lit(0.0).alias("d"), (F.col("w") - 1).alias("n"))), F.transform(
+        "near", lambda v: F.struct(F.abs(v["x"] - F.col("x")).alias("d"), v["w"].alias("n")))))
+    want = F.least(F.lit(k).cast("long"), F.col("size") - 1)
+    reach = F.aggregate(far, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("d")),
+                        lambda s, v: F.when(s["n"] >= want, s).otherwise(F.struct((s["n"] + v["n"]).alias("n"), v["d"].alias("d"))))["d"]
+    inside = 1 + F.aggregate(F.filter("far", lambda v: v["d"] <= F.col("q")), F.lit(0).cast("long"), lambda s, v: s + v["n"])
+    rows = (near.withColumn("far", far).withColumn("q", reach * (1 - 1e-6)).withColumn("inside", inside)
+            .select("feature", "y", "x", "w", "size", "q", "inside"))
+    # before all values equal to it (0), the values themselves (1), behind them (2)
+    marks = rows.select("*", F.inline(F.array(
+        F.struct((F.col("x") - F.col("q")).alias("pos"), F.lit(0).alias("kind"), F.lit(0.0).alias("add")),
+        F.struct(F.col("x").alias("pos"), F.lit(1).alias("kind"), F.col("w").cast("double").alias("add")),
+        F.struct((F.col("x") + F.col("q")).alias("pos"), F.lit(2).alias("kind"), F.lit(0.0).alias("add")))))
+    upto = global_cumsum(marks, ["pos", "kind"], ["add"], ["feature"], ["y", "x"])
+    ends = upto.filter("kind <> 1").groupBy("feature", "y", "x", "w", "size", "inside").agg(
+        F.sum(F.when(F.col("kind") == 2, F.col("add_cum")).otherwise(-F.col("add_cum"))).alias("all"))
+    term = F.col("w") * (digamma(F.col("inside")) - digamma(F.col("size")) - digamma(F.col("all")))
+    return ends.groupBy("feature").agg(F.greatest(F.lit(0.0), digamma(F.sum("w")) + F.sum(term) / F.sum("w")).alias("mi"))
+
+
 # Insight messages.
 MSG_SPARSE = "High Sparsity ({:.1%}): Linear models or Sparse-friendly ensembles recommended."
 MSG_NONLINEAR = ("Strong Non-linear patterns detected: Tree-based models (XGBoost, RF) will likely "
@@ -99,8 +167,7 @@ def dataset_insights(df: DataFrame, cols: list[str] | None = None, target: str |
     rows.append(("sparsity", bool(nz.sparse), float(nz.nonzero_share),
                  MSG_SPARSE.format(nz.nonzero_share) if nz.sparse else None))
     if target is not None and n > least_supervised:
-        mi_df = mutual_information(df, target, cols,
-                                   target_bins=MI_BINS if task == "regression" else None)
+        mi_df = neighbour_information(df, target, cols, target_bins=MI_BINS if task == "regression" else None)
         mi = mi_df.agg(F.avg("mi")).first()[0]
         fired = mi is not None and mi > NONLINEAR_MI_ABOVE
         rows.append(("nonlinearity", fired, mi, MSG_NONLINEAR if fired else MSG_LINEAR))

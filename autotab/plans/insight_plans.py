@@ -59,6 +59,30 @@ def q_mutual_information(spark, d):
     return I.mutual_information(X.lineitem(spark, d), "big_order", INS_COLS)
 
 
+def _near_sql(cols, target, source, k=3):
+    """Nearest-neighbour information by row-wise windows; psi(n) as a harmonic number less Euler's constant
+    (the constant cancels: two psi are added and two taken)."""
+    beside = ", ".join(f"abs(x - {f}(x, {o}) OVER c)" for f in ("lag", "lead") for o in range(1, k + 1))
+    one = [f"""
+SELECT '{c}' AS feature, greatest(0, any_value(hn.h) + avg(ha.h - hs.h - hb.h)) AS mi FROM (
+  SELECT size, n, count(*) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN q PRECEDING AND q FOLLOWING) AS inside,
+         count(*) OVER (ORDER BY x RANGE BETWEEN q PRECEDING AND q FOLLOWING) AS everyone FROM (
+    SELECT *, list_sort(list_filter(d, lambda v: v IS NOT NULL))[least({k}, size - 1)] * (1 - 1e-6) AS q, count(*) OVER () AS n FROM (
+      SELECT x, y, count(*) OVER (PARTITION BY y) AS size, [{beside}] AS d
+      FROM (SELECT cast({c} as double) AS x, cast({target} as varchar) AS y FROM {source} WHERE {c} IS NOT NULL AND {target} IS NOT NULL)
+      WINDOW c AS (PARTITION BY y ORDER BY x)) WHERE size > 1))
+JOIN h hn ON hn.i = n JOIN h ha ON ha.i = inside JOIN h hs ON hs.i = size JOIN h hb ON hb.i = everyone""" for c in cols]
+    return f"""
+WITH h AS (SELECT i, coalesce(sum(1.0::DOUBLE / (i - 1)) FILTER (i > 1) OVER (ORDER BY i), 0) AS h
+           FROM (SELECT unnest(range(1, (SELECT count(*) + 2 FROM {source}))) AS i))
+""" + " UNION ALL ".join(one)
+
+
+@plan("neighbour_information", rnd=("mi",), sql=_near_sql(INS_COLS, "big_order", LI))
+def q_neighbour_information(spark, d):
+    return I.neighbour_information(X.lineitem(spark, d), "big_order", INS_COLS)
+
+
 #: The texts that the rules must give, written out here apart from the code under test.
 SPARSE_TEXT = "High Sparsity (", "): Linear models or Sparse-friendly ensembles recommended."
 WIDE_TEXT = "Wide feature ranges detected: Scaling is critical (StandardScaler applied)."
@@ -97,7 +121,7 @@ FROM (SELECT avg(k) AS k FROM ({' UNION ALL '.join(f'SELECT kurtosis_pop({c}) AS
 def _nonlinear_sql():
     return f"""
 SELECT 'nonlinearity', m > 0.15, m, CASE WHEN m > 0.15 THEN {_quoted(NONLINEAR_TEXT)} ELSE {_quoted(LINEAR_TEXT)} END
-FROM (SELECT avg(mi) AS m FROM ({_mi_sql(INS_COLS, "big_order", LI)}))"""
+FROM (SELECT avg(mi) AS m FROM ({_near_sql(INS_COLS, "big_order", LI)}))"""
 
 
 @plan("dataset_insights", rnd=("value",), digits=4,
