@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from autotab.operators import metrics as M
 from autotab.operators.models import MAX_TREE_DEPTH, fit_model, score
 from autotab.operators.split import cv_plain, kfold, kfold_stratified, sample_n
+from autotab.operators.starts import CentresModel, fit_starts, silhouettes
 from autotab.session import cut_lineage, release
 
 FIT_THREADS = 4
@@ -320,18 +321,22 @@ def fit_auto_k(df: DataFrame, ids: list[str], k_min: int = 2, k_max: int = 10, f
                starts: int = 10, seed: int = 42):
     """(best fitted model, its labels, table (k, silhouette) best first) over k_min..k_max, with the
     silhouette of all rows."""
-    from autotab.operators.cluster import _vec, best_kmeans, silhouette
-    data = cut_lineage(_vec(df, features).select(*ids, features))
-    rows, best = [], None
-    for k in range(k_min, k_max + 1):
-        model = best_kmeans(data, k, starts, features, seed)
-        lab = model.transform(data).select(*ids, features, F.col("prediction").cast("int").alias("cluster"))
-        s = float(silhouette(lab, ids[0], "cluster", features).first()[0])
-        rows.append((k, s))
-        if best is None or s > best[0]:
-            best = (s, model)
+    data = cut_lineage(df.select(*ids, F.col(features).alias("_points")))
+    found = fit_starts(data, list(range(k_min, k_max + 1)), starts, "_points", seed)
+    labelled = data
+    for k, (_, model) in found.items():
+        labelled = model.transform(labelled, f"_k{k}")
+    names = {f"_k{k}": k for k in found}
+    points = cut_lineage(labelled.filter(F.col("_points").isNotNull()))
+    score = silhouettes(points, ids[0], list(names), "_points") if found else {}
+    release(points)
+    rows = [(k, score[c]) for c, k in names.items()]
     table = df.sparkSession.createDataFrame(rows, "k int, silhouette double").orderBy(F.col("silhouette").desc(), "k")
-    return best[1], best[1].transform(data).select(*ids, F.col("prediction").cast("int").alias("cluster")), table
+    best = max(names, key=lambda c: score[c], default=None)        # the smallest k on ties
+    if best is None:
+        return None, data.select(*ids, F.lit(None).cast("int").alias("cluster")), table
+    return (CentresModel(found[names[best]][1].centres, features),
+            labelled.select(*ids, F.col(best).alias("cluster")), table)
 
 
 def kmeans_auto_k(df: DataFrame, ids: list[str], k_min: int = 2, k_max: int = 10,

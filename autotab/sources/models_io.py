@@ -51,6 +51,7 @@ def save_model(model, path: str, spark: SparkSession | None = None, preparation=
     from autotab.operators.boosting import BoostedTrees
     from autotab.operators.models import PlattSVM, ScoredModel
     from autotab.operators.neighbours import KNNClassifierModel
+    from autotab.operators.starts import CentresModel
     from autotab.operators.tune import CoTrainingModel, MeanEnsemble, VoteEnsemble
     spark = spark or SparkSession.getActiveSession()
 
@@ -80,6 +81,8 @@ def save_model(model, path: str, spark: SparkSession | None = None, preparation=
             p.write().overwrite().save(f"{path}/platt{i}")
         _manifest(spark, path, {"kind": "svm", "n": len(model.members), "classes": [
             _cls_name(model.members[0]), _cls_name(model.platt[0])], "projector": projector(model.projector)})
+    elif isinstance(model, CentresModel):
+        _manifest(spark, path, {"kind": "centres", "centres": model.centres.tolist(), "features": model.features})
     elif isinstance(model, LinearScore):
         _manifest(spark, path, {"kind": "linear", "w": [float(v) for v in model.w], "b": float(model.b),
                                 "out": model.out, "projector": projector(model.projector)})
@@ -103,6 +106,7 @@ def load_model(path: str, spark: SparkSession | None = None):
     from autotab.operators.boosting import BoostedTrees
     from autotab.operators.models import FourierFeatures, PlattSVM, ScoredModel
     from autotab.operators.neighbours import KNNClassifierModel
+    from autotab.operators.starts import CentresModel
     from autotab.operators.tune import CoTrainingModel, MeanEnsemble, VoteEnsemble
     spark = spark or SparkSession.getActiveSession()
     info = _read_manifest(spark, path)
@@ -120,6 +124,8 @@ def load_model(path: str, spark: SparkSession | None = None):
         svm, platt = map(_load_cls, info["classes"])
         return PlattSVM([svm.load(f"{path}/member{i}") for i in range(info["n"])],
                         [platt.load(f"{path}/platt{i}") for i in range(info["n"])], projector)
+    if kind == "centres":
+        return CentresModel(info["centres"], info["features"])
     if kind == "linear":
         return LinearScore(projector, info["w"], info["b"], info["out"])
     if kind == "co_training":
