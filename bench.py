@@ -23,8 +23,8 @@ HEADLINE = [
     "reduce_pca", "flag_anomalies", "clf_logistic",
 ]
 #: Heavier fits and pair work, run once.
-HEAVY = ["reg_svr", "cluster_kmeans", "cluster_spectral", "anomaly_isolation_forest", "anomaly_one_class", "range_join",
-         "reg_boosted"]
+HEAVY = ["reg_svr", "cluster_kmeans", "cluster_spectral", "anomaly_isolation_forest", "anomaly_one_class", "range_join"]
+#: ``reg_boosted`` is run by name only: at sf0.1 it did not finish in 160 s (README).
 
 
 def main():
