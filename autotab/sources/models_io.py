@@ -77,10 +77,12 @@ def save_model(model, path: str, spark: SparkSession | None = None, preparation=
                                 "n": len(model.members)})
     elif isinstance(model, PlattSVM):
         for i, (m, p) in enumerate(zip(model.members, model.platt)):
-            m.write().overwrite().save(f"{path}/member{i}")
+            if not model.projector:
+                m.write().overwrite().save(f"{path}/member{i}")
             p.write().overwrite().save(f"{path}/platt{i}")
         _manifest(spark, path, {"kind": "svm", "n": len(model.members), "classes": [
-            _cls_name(model.members[0]), _cls_name(model.platt[0])], "projector": projector(model.projector)})
+            _cls_name(model.members[0]), _cls_name(model.platt[0])], "projector": projector(model.projector), "members": [
+                [[float(v) for v in w], float(b)] for w, b in model.members] if model.projector else None})
     elif isinstance(model, CentresModel):
         _manifest(spark, path, {"kind": "centres", "centres": model.centres.tolist(), "features": model.features})
     elif isinstance(model, LinearScore):
@@ -122,7 +124,7 @@ def load_model(path: str, spark: SparkSession | None = None):
         return BoostedTrees.of_state(json.loads(info["model"]) if isinstance(info["model"], str) else info["model"])
     if kind == "svm":
         svm, platt = map(_load_cls, info["classes"])
-        return PlattSVM([svm.load(f"{path}/member{i}") for i in range(info["n"])],
+        return PlattSVM(info.get("members") or [svm.load(f"{path}/member{i}") for i in range(info["n"])],
                         [platt.load(f"{path}/platt{i}") for i in range(info["n"])], projector)
     if kind == "centres":
         return CentresModel(info["centres"], info["features"])
