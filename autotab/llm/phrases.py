@@ -13,9 +13,10 @@ say yes wrongly, which only counts a phrase too many; it never says no wrongly.
 pass takes a phrase whose parts are frequent or themselves not yet counted, so
 phrases grown from new ones are counted in the same pass and one pass closes.
 
-A phrase's key is 128 bits of hash over its language and words; slices of a task
-are counted on their own first, so only keys and counts are shuffled.  The
-words of a phrase are carried by the last passes, for frequent phrases only.
+A phrase's key is 128 bits of hash over its language and words, of which 96 are shuffled;
+slices of a task are counted on their own first and merged in a pool of bounded size that
+keeps the keys met most often, so only keys and counts are shuffled.  The words of a frequent
+phrase come from the sample where it occurs there; the last pass carries those of the others.
 
 Defined cases: a null text is the empty text, a null language is ``und``; repeated rows
 count each; texts without words and an empty table give nothing; very long texts are
@@ -34,7 +35,8 @@ from autotab.llm.common import mix, stored, strings
 from autotab.session import release
 
 LONGEST = 4
-SLICE = 4_000_000        # characters counted together in a task
+SLICE = 2_500_000        # characters counted together in a task
+POOL = 1_000_000         # keys whose counts a task holds from slice to slice
 BATCH = 65_536           # rows a task hands over at once
 MAX_BITS = 28            # a bitmap has at most 2^28 bits (32 MB)
 
@@ -116,6 +118,11 @@ class Slice:
         return out
 
 
+def _low(x: np.ndarray) -> np.ndarray:
+    """The lower 32 bits of a key's second half, as they are shuffled and joined."""
+    return np.ascontiguousarray(x).view(np.uint64).astype(np.uint32).view(np.int32)
+
+
 def _before(x: np.ndarray) -> np.ndarray:
     """The value one position earlier, False at the start."""
     return np.concatenate([np.zeros(1, bool), x[:-1]])
@@ -180,11 +187,37 @@ def _summed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[starts], np.diff(np.concatenate([starts, [len(a)]]))
 
 
-def _wanted(s: Slice, proposed: Bitmap | None, frequent: Bitmap | None):
+class Pool:
+    """Counts of the keys of a task's slices, sorted by the first half."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.held = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+    def add(self, parts: list[tuple]):
+        """Add (a, b, n) arrays; beyond the limit, the keys with the lowest counts are given back until half of it is left.
+        Keys that share their first half may stay apart, which only hands them over twice."""
+        a, b, n = (np.concatenate([own, *more]) for own, more in zip(self.held, zip(*parts)))
+        order = np.argsort(a, kind="stable")      # few sorted runs
+        a, b, n = a[order], b[order], n[order]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        a, b, n = a[new], b[new], np.add.reduceat(n, new, dtype=np.int32) if len(new) else n
+        self.held = (a, b, n)
+        if len(a) <= self.limit:
+            return None
+        hot = n > np.partition(n, -(self.limit // 2))[-(self.limit // 2)]
+        self.held = (a[hot], b[hot], n[hot])
+        return a[~hot], b[~hot], n[~hot]
+
+
+def _wanted(s: Slice, proposed: Bitmap | None, frequent: Bitmap | None, untold: Bitmap | None = None):
     """(length, positions to count, positions whose words are wanted) of one pass."""
-    if proposed is None:      # the sample: every phrase
+    if proposed is None:      # the sample: every phrase, or the words of the frequent ones
         for k in range(LONGEST):
-            yield k + 1, s.ok[k], None
+            if frequent is None:
+                yield k + 1, s.ok[k], None
+            elif k:
+                yield k + 1, np.zeros(len(s.ids), bool), frequent.has(s.keys[k]) & s.ok[k]
         return
     known = [proposed.has(s.keys[k]) & s.ok[k] for k in range(LONGEST - 1)]
     first = [s.ok[0]] + [s.ok[k] & _before(known[k - 1]) & known[k - 1] for k in range(1, LONGEST)]
@@ -199,21 +232,23 @@ def _wanted(s: Slice, proposed: Bitmap | None, frequent: Bitmap | None):
             maybe = found
             continue
         open_ = s.ok[k] & ~first[k] & _before(maybe) & maybe
-        yield k + 1, open_, found
+        told = np.zeros(len(found), bool)
+        at = np.flatnonzero(found)
+        told[at] = untold.has(tuple(half[at] for half in s.keys[k]))
+        yield k + 1, open_, told
         maybe = found | open_
 
 
-def _pass(src: DataFrame, proposed=None, frequent=None, words: bool = False) -> DataFrame:
+def _pass(src: DataFrame, proposed=None, frequent=None, untold=None, words: bool = False) -> DataFrame:
     """(a, b, n) or, with ``words``, (a, b, n, lang, phrase): counts of a task's slices."""
     spark = src.sparkSession
-    held = spark.sparkContext.broadcast((proposed, frequent))      # two bitmaps of bounded size
+    held = spark.sparkContext.broadcast((proposed, frequent, untold))      # three bitmaps of bounded size
 
-    def count(groups):
-        s = Slice(groups)
+    def count(s):
         if held.value[0] is not None and held.value[1] is None:
             for lang, n in s.totals().items():
                 key = lang_key(lang)
-                yield key[:1], key[1:], np.array([n]), None, None
+                yield key[:1], _low(key[1:]), np.array([n], np.int32), None, None
         for k, take, told in _wanted(s, *held.value):
             at = np.flatnonzero(take & s.fresh)
             named = np.flatnonzero(told & s.fresh) if told is not None else at[:0]
@@ -222,16 +257,16 @@ def _pass(src: DataFrame, proposed=None, frequent=None, words: bool = False) ->
                 continue
             a, b = (half[both] for half in s.keys[k - 1])
             first, n = _summed(a, b)
-            n = np.where(first < len(at), n, 0)      # a key is in one of the two parts
+            n = np.where(first < len(at), n, 0).astype(np.int32)      # a key is in one of the two parts
             names = ends = None
             if words:
                 spot = both[first]
                 names = [s.phrase(i, k) for i in spot]
                 ends = np.searchsorted(np.cumsum(s.sizes), spot, side="right")
                 ends = [s.langs[i] for i in ends]
-            yield a[first], b[first], n, ends, names
+            yield a[first], _low(b[first]), n, ends, names
 
-    def run(batches):
+    def slices(batches):
         for batch in batches:
             groups, size = [], 0
             for lang, text in zip(strings(batch.column("lang")), strings(batch.column("text"))):
@@ -239,21 +274,33 @@ def _pass(src: DataFrame, proposed=None, frequent=None, words: bool = False) ->
                     groups.append((lang, part, skip))
                     size += 6 * len(part) + 1
                     if size >= SLICE:
-                        yield from out(groups)
+                        yield Slice(groups)
                         groups, size = [], 0
             if groups:
-                yield from out(groups)
+                yield Slice(groups)
 
-    def out(groups):
-        for a, b, n, langs, names in count(groups):
-            for at in range(0, len(a), BATCH):
-                own = slice(at, at + BATCH)
-                cols = [pa.array(np.ascontiguousarray(x[own]).view(np.int64)) for x in (a, b)] + [pa.array(n[own].astype(np.int64))]
-                if words:
-                    cols += [pa.array(langs[own], pa.string()), pa.array(names[own], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "n", "lang", "phrase"][:len(cols)])
+    def run(batches):
+        pool = Pool(POOL)
+        for s in slices(batches):
+            if words:
+                for found in count(s):
+                    yield from out(*found)
+                continue
+            parts = [found[:3] for found in count(s)]
+            over = pool.add(parts) if parts else None
+            if over is not None:
+                yield from out(*over)
+        yield from out(*pool.held)
+
+    def out(a, b, n, langs=None, names=None):
+        for at in range(0, len(a), BATCH):
+            own = slice(at, at + BATCH)
+            cols = [pa.array(np.ascontiguousarray(a[own]).view(np.int64)), pa.array(b[own]), pa.array(n[own])]
+            if words:
+                cols += [pa.array(langs[own], pa.string()), pa.array(names[own], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "n", "lang", "phrase"][:len(cols)])
 
-    return src.mapInArrow(run, "a long, b long, n long" + (", lang string, phrase string" if words else ""))
+    return src.mapInArrow(run, "a long, b int, n int" + (", lang string, phrase string" if words else ""))
 
 
 def frequent_phrases(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 30,
@@ -274,10 +321,20 @@ def frequent_phrases(df: DataFrame, *, text_col: str = "text", lang_col: str = "
     first_map = bitmap(proposed.select("a", "b"))
     release(proposed)
     first = stored(summed(_pass(src, first_map)).agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-    second = stored(summed(_pass(src, first_map, bitmap(first.select("a", "b")), words=True)).agg(F.sum("n").alias("n"), F.max(F.struct("lang", "phrase")).alias("p")))
+    frequent = bitmap(first.select("a", "b"))
+
+    def worded(rows: DataFrame):
+        return summed(rows).agg(F.sum("n").alias("n"), F.max(F.struct("lang", "phrase")).alias("p"))
+
+    def named_by(rows: DataFrame, of: DataFrame):
+        return rows.select("a", "b", "p").join(of, ["a", "b"]).select("a", "b", "n", "p")
+
+    seen = stored(named_by(worded(_pass(few, None, frequent, words=True)), first))
+    unseen = stored(first.join(seen.select("a", "b"), ["a", "b"], "left_anti"))      # exactly: a bitmap's wrong yes names nothing twice
+    second = stored(worded(_pass(src, first_map, frequent, bitmap(unseen.select("a", "b")), words=True)))
     opened = second.filter(F.col("n") >= least)
-    told = second.filter("n = 0").join(first.withColumnRenamed("n", "f"), ["a", "b"]).select("a", "b", F.col("f").alias("n"), "p")
-    named = told.unionByName(opened).select("a", "b", "n", "p.lang", "p.phrase")
+    told = named_by(second.filter("n = 0"), unseen)
+    named = seen.unionByName(told).unionByName(opened).select("a", "b", "n", "p.lang", "p.phrase")
     return first.unionByName(opened.select("a", "b", "n")), named
 
 
@@ -288,14 +345,15 @@ def _parts(batches):
         for lang, phrase in zip(strings(batch.column("lang")), strings(batch.column("phrase"))):
             w = phrase.encode("utf-8", "surrogatepass").split(b" ")
             keys, k = phrase_keys(lang, w).view(np.int64), len(w)
-            cuts.append([{"k": i, "la": int(keys[0, i - 1, 0]), "lb": int(keys[0, i - 1, 1]), "ra": int(keys[i, k - 1, 0]),
-                          "rb": int(keys[i, k - 1, 1])} for i in range(1, k)])
-            inner.append([{"a": int(keys[i, j, 0]), "b": int(keys[i, j, 1])} for i in range(k) for j in range(i + 1, k)
+            low = _low(keys[:, :, 1])
+            cuts.append([{"k": i, "la": int(keys[0, i - 1, 0]), "lb": int(low[0, i - 1]), "ra": int(keys[i, k - 1, 0]),
+                          "rb": int(low[i, k - 1])} for i in range(1, k)])
+            inner.append([{"a": int(keys[i, j, 0]), "b": int(low[i, j])} for i in range(k) for j in range(i + 1, k)
                           if j - i + 1 < k])
-        kind = pa.struct([(c, pa.int64()) for c in ("k", "la", "lb", "ra", "rb")])
+        kind = pa.struct([(c, pa.int32() if c in ("lb", "rb") else pa.int64()) for c in ("k", "la", "lb", "ra", "rb")])
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in ("a", "b", "n", "lang", "phrase")]
-            + [pa.array(cuts, pa.list_(kind)), pa.array(inner, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))],
+            + [pa.array(cuts, pa.list_(kind)), pa.array(inner, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int32())])))],
             names=["a", "b", "n", "lang", "phrase", "cuts", "inner"])
 
 
@@ -314,8 +372,8 @@ def mine(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least
     """
     counts, named = frequent_phrases(df, text_col=text_col, lang_col=lang_col, least=least, sample=sample,
                                      sample_count=sample_count)
-    shape = ("a long, b long, n long, lang string, phrase string, cuts array<struct<k:long,la:long,lb:long,ra:long,rb:long>>, "
-             "inner array<struct<a:long,b:long>>")
+    shape = ("a long, b int, n long, lang string, phrase string, cuts array<struct<k:long,la:long,lb:int,ra:long,rb:int>>, "
+             "inner array<struct<a:long,b:int>>")
     phrases = stored(named.mapInArrow(_parts, shape))
     cuts = phrases.select("a", "b", F.col("n").alias("f"), F.explode("cuts").alias("c")).select("a", "b", "f", "c.*")
     left = counts.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("n").alias("l"))
@@ -343,8 +401,8 @@ def totals_of(df: DataFrame, lang_col: str, counts: DataFrame) -> DataFrame:
 
     def keyed(batches):
         for batch in batches:
-            keys = [lang_key(x).view(np.int64) for x in strings(batch.column("lang"))]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([int(k[0]) for k in keys], pa.int64()),
-                                              pa.array([int(k[1]) for k in keys], pa.int64())], names=["lang", "a", "b"])
+            keys = [lang_key(x) for x in strings(batch.column("lang"))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([int(k.view(np.int64)[0]) for k in keys], pa.int64()),
+                                              pa.array([int(_low(k[1:])[0]) for k in keys], pa.int32())], names=["lang", "a", "b"])
 
-    return langs.mapInArrow(keyed, "lang string, a long, b long").join(counts, ["a", "b"]).select("lang", "n")
+    return langs.mapInArrow(keyed, "lang string, a long, b int").join(counts, ["a", "b"]).select("lang", "n")

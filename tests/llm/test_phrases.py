@@ -91,3 +91,28 @@ def test_keys_that_share_half_are_told_apart():
 def test_no_rows(spark):
     assert phrases.mine(frame(spark, [])).count() == 0
     assert phrases.mine(frame(spark, [("en", None), (None, "")])).count() == 0
+
+
+def test_a_task_hands_over_each_key_once(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SLICE", 50)
+    src = frame(spark, [("en", "one two three four five")] * 300).select("lang", "text").coalesce(1)
+    rows = phrases._pass(src).collect()
+    assert sorted(r.n for r in rows) == [300] * (5 + 4 + 3 + 2)
+    assert len({(r.a, r.b) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("sample", [2, 64])
+def test_a_full_pool_loses_no_count(spark, monkeypatch, sample):
+    monkeypatch.setattr(phrases, "SLICE", 50)
+    monkeypatch.setattr(phrases, "POOL", 8)
+    rows = made(4)
+    assert found(phrases.mine(frame(spark, rows), least=8, top=25, sample=sample)) == brute(rows, 8, 25)
+
+
+def test_the_pool_gives_back_its_coldest_keys():
+    pool = phrases.Pool(4)
+    keys = lambda *x: (np.array(x, np.uint64), np.zeros(len(x), np.int32), np.ones(len(x), np.int32))
+    assert pool.add([keys(1, 2, 3, 4)]) is None
+    a, _, n = pool.add([keys(1, 9), keys(5)])
+    given = Counter(dict(zip(a.tolist(), n.tolist()))) + Counter(dict(zip(pool.held[0].tolist(), pool.held[2].tolist())))
+    assert given == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 9: 1} and pool.held[0].tolist() == [1]
