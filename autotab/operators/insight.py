@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from autotab.functions.scalars import DEFAULT_FACTORS, parse_estimate, task_factor
 from autotab.operators.profile import numeric_columns
-from autotab.operators.ranking import column_quantiles, global_cumsum, global_rank
+from autotab.operators.ranking import ROWS_PER_RANGE, column_quantiles, global_cumsum, global_rank
 from autotab.session import cut_lineage
 
 # Thresholds of the four insight rules.
@@ -116,8 +116,10 @@ def neighbour_information(df: DataFrame, target: str, cols: list[str] | None = N
         .select("kv.feature", "y", "kv.x").filter("x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL")
         .groupBy("feature", "y", "x").agg(F.count(F.lit(1)).alias("w")))
     ranked = cut_lineage(global_rank(values, ["x"], [], ["feature", "y"], "r"))
-    sizes = ranked.groupBy("feature", "y").agg(F.sum("w").alias("size")).filter("size > 1")
-    ranked = ranked.join(sizes, ["feature", "y"])
+    # once per span of ranks: joined by class alone, all rows of a class would meet in one task and stay there
+    sizes = ranked.groupBy("feature", "y").agg(F.sum("w").alias("size"), F.max("r").alias("last")).filter("size > 1").select(
+        "feature", "y", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(last - 1) div {ROWS_PER_RANGE}"))).alias("span"))
+    ranked = ranked.withColumn("span", F.expr(f"(r - 1) div {ROWS_PER_RANGE}")).join(sizes, ["feature", "y", "span"]).drop("span")
     at = F.expr(f"(r - 1) div {RUN}")
     runs = F.array_distinct(F.array(at, F.greatest(F.expr(f"(r - 1 - {k}) div {RUN}"), F.lit(0)), F.expr(f"(r - 1 + {k}) div {RUN}")))
     order = Window.partitionBy("feature", "y", "run").orderBy("r")

@@ -32,3 +32,21 @@ def test_plan_does_not_grow_with_the_ranges(spark):
             assert [r[2] for r in rows if r[0] == g] == list(range(1, 1001))
         assert sorted((r.g, r.w_cum) for r in summed.collect()) == [(g, 2.0 * i) for g in range(3) for i in range(1, 1001)]
     assert len(sizes) == 1
+
+
+def test_rows_of_one_group_stay_in_many_partitions(spark):
+    """Group starts are joined per partition: a large group is not gathered in one task."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(4000).selectExpr("id", "'g' AS g", "1.0D AS w")
+        ranked = R.global_rank(df, ["id"], [], ["g"], "r", num_partitions=8)
+        summed = R.global_cumsum(df, ["id"], ["w"], ["g"], num_partitions=8)
+        for out in (ranked, summed):
+            assert out.groupBy(F.spark_partition_id()).count().count() > 2
+        assert [r.r for r in ranked.orderBy("id").collect()] == list(range(1, 4001))
+        assert [r.w_cum for r in summed.orderBy("id").collect()] == [float(i) for i in range(1, 4001)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
