@@ -1,10 +1,12 @@
 """Rows of a fit lie in many partitions, whatever the file or the classes."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from autotab.operators import models as MD
 from autotab.operators import split as S
-from autotab.session import spread
+from autotab.plans import model_plans as P
+from autotab.session import evened, spread
 
 
 def sizes(df):
@@ -42,3 +44,26 @@ def test_spread_leaves_even_rows_and_small_tables(spark):
         out = spread(two_classes(spark, n, parts))
         assert len(sizes(out)) == parts
         out.unpersist()
+
+
+def test_evened_moves_rows_of_one_partition_only(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert len(sizes(evened(two_classes(spark, 20_000, 1)))) == 2 * cores
+    for n, parts in ((20_000, cores), (100, 1)):
+        assert len(sizes(evened(two_classes(spark, n, parts)))) == parts
+
+
+@pytest.mark.parametrize("data", [P.lineitem_binary, P.lineitem_regression])
+def test_training_rows_of_one_row_group_use_all_cores(spark, tmp_path, data):
+    """A file of one row group is one task; the prepared rows of a fit are not, and their split is already stored."""
+    n, k = 20_000, F.col("id")
+    li = spark.range(0, n, 1, 1).select(
+        k.alias("l_orderkey"), F.lit(1).alias("l_linenumber"), k.alias("l_partkey"), k.alias("l_suppkey"),
+        (k % 50 + 1).cast("double").alias("l_quantity"), (k % 11 / 100).alias("l_discount"), (k % 9 / 100).alias("l_tax"),
+        F.when(k % 3 == 0, "A").otherwise("R").alias("l_returnflag"), F.when(k % 2 == 0, "O").otherwise("F").alias("l_linestatus"))
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    train, test, _ = data(spark, str(tmp_path))
+    even = n / spark.sparkContext.defaultParallelism
+    assert max(sizes(train)) <= 2 * even and len(train.select("row_id").distinct().collect()) == 0.8 * n
+    assert test.count() == 0.2 * n
+    assert not any(f.startswith(str(tmp_path.as_uri())) for f in train.inputFiles())
