@@ -139,15 +139,25 @@ def sample_profiles(rows: DataFrame) -> list:
     return rows.select("lang", "text").mapInArrow(run, "lang string, at binary, n binary").collect()
 
 
-def fit_profiles(rows: list) -> Ecoc | None:
+def fit_profiles(rows: list, languages: list | None = None, steps: int = 200) -> Ecoc | None:
+    """Fit on (lang, buckets, counts) rows; ``languages``: sorted, those of the rows among them."""
     rows = sorted(rows)
-    languages = sorted({r[0] for r in rows})
+    languages = sorted({r[0] for r in rows}) if languages is None else languages
     if not languages:
         return None
     x = np.zeros((len(rows), FEATURES), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r[1], np.uint16)] = np.frombuffer(r[2], np.float32)
-    return fit(languages, np.array([languages.index(r[0]) for r in rows]), x)
+    return fit(languages, np.array([languages.index(r[0]) for r in rows]), x, steps)
+
+
+def from_sums(languages: list, sums: np.ndarray) -> Ecoc:
+    """The mean of models over the same languages, from the sum of their (1, weights, bias, trust)
+    times the texts of each."""
+    code = codewords(len(languages))
+    bits = code.shape[1]
+    mean = (sums[1:] / sums[0]).astype(np.float32)
+    return Ecoc(languages, code, mean[:FEATURES * bits].reshape(FEATURES, bits), mean[FEATURES * bits:][:bits], mean[-bits:])
 
 
 def train(df: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text",

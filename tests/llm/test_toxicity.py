@@ -69,3 +69,39 @@ def test_null_empty_repeated_and_no_rows(spark):
     assert toxicity.predict(df.limit(0), net).count() == 0
     assert toxicity.train(df, lab.limit(0), F.lit(True)) is None
     assert {r.score for r in toxicity.predict(df, None).collect()} == {0.0}
+
+
+def test_every_labelled_text_is_learnt_from(spark):
+    """Words of one text in a hundred of a class of 6,000 count: each touches its rows, and its texts are told apart."""
+    rnd = random.Random(7)
+    docs = [(i, " ".join(rnd.choices(["ab", "cd", "ef", "gh"], k=6)) + (" zorble" if i % 100 == 0 else ""), "xx") for i in range(6500)]
+    docs.append((6500, "gh " * 17_000 + "quxly", "xx"))
+    docs += [(6501 + i, "quxly ab", "xx") for i in range(3)]
+    df, lab = frames(spark, docs, [(i, int(i % 100 == 0 or i >= 6500)) for i, *_ in docs])
+    seen = {}
+    totals = toxicity._totals
+
+    def watched(texts, run, width):
+        out = totals(texts, run, width)
+        if width == 2:
+            seen["rows"], seen["n"] = out, texts.count()
+        return out
+
+    toxicity._totals = watched
+    try:
+        net = toxicity.train(df, lab, F.lit(True), aside=0.0)
+    finally:
+        toxicity._totals = totals
+    assert seen["n"] == len(docs)
+    count = [int(seen["rows"][toxicity.word_codes([w])[0, 0]].sum()) for w in ("zorble", "quxly")]
+    assert count == [65, 4]
+    logit = [net.logits(toxicity.word_codes(t.split()), np.arange(3), np.array([0, 3]))[0] for t in ("ab cd zorble", "ab cd ef")]
+    assert logit[0] > logit[1]
+
+
+def test_blocks_do_not_depend_on_how_rows_lie(spark):
+    docs, labels = corpus(2500, 6)
+    df, lab = frames(spark, docs, labels)
+    nets = [toxicity.train(d, lab, F.lit(True)) for d in (df, df.repartition(5, "text"))]
+    assert all(np.array_equal(a, b) for a, b in zip(*(n.tables + n.filters + [n.out] for n in nets)))
+    assert nets[0].shift == nets[1].shift
