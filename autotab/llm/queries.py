@@ -25,8 +25,8 @@ def _piece_model() -> str:
 
 
 def op1_sentencepiece_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every document, without replacement."""
-    return sp_sample.sample(_table(spark, sf_dir, "documents"), _piece_model(), k=2, keep_ids=False)
+    """Four sampled segmentations of every document, without replacement, with their piece ids."""
+    return sp_sample.sample(_table(spark, sf_dir, "documents"), _piece_model(), k=4)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

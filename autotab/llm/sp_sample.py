@@ -47,7 +47,7 @@ _BITS = 40
 #: Steps whose sets are kept one by one; those further on form one set until it is popped.
 NEAR = 64
 #: Characters sampled together in a task.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 2_000_000
 
 
 def _times(n: int, factor: int) -> np.uint64:

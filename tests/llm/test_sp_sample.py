@@ -98,3 +98,14 @@ def test_null_empty_repeated_and_no_rows(frame):
     assert by == {1: 1, 2: 1, 3: 4, None: 2, 5: 2} and all(r.decodes for r in got)
     assert len({(tuple(r.ids), r.perturbed) for r in got if r.doc_id == 3}) == 2
     assert sp_sample.sample(frame([]), PATH).count() == 0
+
+
+def test_query_gives_four_whole_segmentations(spark, tmp_path):
+    from autotab.llm import queries
+    text = "the quick brown fox jumps over the lazy dog"
+    spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_sentencepiece_topk(spark, str(tmp_path)).collect()
+    first = [r for r in got if r.doc_id == 1]
+    assert sorted(r.rank for r in first) == [1, 2, 3, 4] and len({tuple(r.ids) for r in first}) == 4
+    assert all(r.decodes and len(r.ids) == r.n_pieces for r in got)
+    assert [r.ids for r in got if r.doc_id == 2] == [[]]
