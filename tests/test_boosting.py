@@ -87,3 +87,47 @@ def test_one_value_and_no_rows(spark):
     assert [r.prediction for r in m.transform(df).collect()] == [3.0] * 5
     with pytest.raises(ValueError):
         B.fit(df.limit(0), "squared")
+
+
+def test_rounds_cost_no_jobs_on_few_kinds_of_rows_and_one_or_many_tasks_agree(spark, monkeypatch):
+    x, y = rows(4, n=3000)
+    df = frame(spark, x, y, parts=4).persist()
+    sc = spark.sparkContext
+
+    def jobs(n):
+        sc.setJobGroup(f"boosting-{n}", "fit")
+        m = B.fit(df, "logistic", maxIter=n, maxDepth=3)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return m, len(sc.statusTracker().getJobIdsForGroup(f"boosting-{n}"))
+
+    (few, some), (many, more) = jobs(2), jobs(25)
+    assert more <= some + 2      # before: one job per level and round, 69 more
+    monkeypatch.setattr(B.binned, "TASK_BYTES", 0)
+    apart = B.fit(df, "logistic", maxIter=25, maxDepth=3)
+    assert np.allclose(apart.margins(apart.bins(x)), many.margins(many.bins(x)))
+    df.unpersist()
+
+
+@pytest.mark.parametrize("depth", [1, 4, 6, 7])
+def test_leaf_by_sets_of_leaves(depth):
+    rng = np.random.default_rng(depth)
+    t = B.Tree(depth)
+    for node in range((1 << depth) - 1):
+        if (not node or t.feature[(node - 1) // 2] >= 0) and rng.random() < 0.9:
+            t.feature[node], t.cut[node] = rng.integers(4), rng.integers(120)
+    bins = rng.integers(0, 128, (5000, 4)).astype(np.uint8)
+    assert (t.leaf(bins) == t.leaf_of(np.ascontiguousarray(bins.T))).all()
+
+
+@pytest.mark.parametrize("total", [True, False])
+def test_rows_of_equal_bins_are_one_weighted_row(spark, total):
+    from pyspark.sql import functions as F
+    x, y = rows(5, n=2000)
+    x = np.round(x[:, :2])
+    df = frame(spark, x, y, parts=5).select(F.col("features").alias("x"), F.col("label").alias("y"))
+    edges = B.quantile_edges(df, F.col("x"), 2, 32)
+    table, kinds = B.binned.stored(df, edges, 2000, total)
+    got = table.collect()
+    keys = {tuple(r) for r in (x if total else np.column_stack([x, y]))}
+    assert kinds == len(got) == len(keys) and sum(r.w for r in got) == 2000
+    assert sum(r.y if total else r.y * r.w for r in got) == y.sum()
