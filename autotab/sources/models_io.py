@@ -49,6 +49,7 @@ def save_model(model, path: str, spark: SparkSession | None = None, preparation=
     ``scoring_model``) the loaded object takes raw rows."""
     from autotab.operators.margin import LinearScore
     from autotab.operators.boosting import BoostedTrees
+    from autotab.operators.forest import Forest
     from autotab.operators.models import PlattSVM, ScoredModel
     from autotab.operators.neighbours import KNNClassifierModel
     from autotab.operators.starts import CentresModel
@@ -70,6 +71,8 @@ def save_model(model, path: str, spark: SparkSession | None = None, preparation=
                                 "prob": model.has_prob})
     elif isinstance(model, BoostedTrees):
         _manifest(spark, path, {"kind": "boosted", "model": model.state()})
+    elif isinstance(model, Forest):
+        _manifest(spark, path, {"kind": "forest", "model": model.state()})
     elif isinstance(model, (VoteEnsemble, MeanEnsemble)):
         for i, m in enumerate(model.members):
             save_model(m, f"{path}/member{i}", spark)
@@ -106,6 +109,7 @@ def save_model(model, path: str, spark: SparkSession | None = None, preparation=
 def load_model(path: str, spark: SparkSession | None = None):
     from autotab.operators.margin import LinearScore
     from autotab.operators.boosting import BoostedTrees
+    from autotab.operators.forest import Forest
     from autotab.operators.models import FourierFeatures, PlattSVM, ScoredModel
     from autotab.operators.neighbours import KNNClassifierModel
     from autotab.operators.starts import CentresModel
@@ -122,6 +126,8 @@ def load_model(path: str, spark: SparkSession | None = None):
         return ScoredModel(_load_cls(info["class"]).load(f"{path}/model"), info["prob"])
     if kind == "boosted":
         return BoostedTrees.of_state(json.loads(info["model"]) if isinstance(info["model"], str) else info["model"])
+    if kind == "forest":
+        return Forest.of_state(info["model"])
     if kind == "svm":
         svm, platt = map(_load_cls, info["classes"])
         return PlattSVM(info.get("members") or [svm.load(f"{path}/member{i}") for i in range(info["n"])],
