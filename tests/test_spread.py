@@ -67,3 +67,42 @@ def test_training_rows_of_one_row_group_use_all_cores(spark, tmp_path, data):
     assert max(sizes(train)) <= 2 * even and len(train.select("row_id").distinct().collect()) == 0.8 * n
     assert test.count() == 0.2 * n
     assert not any(f.startswith(str(tmp_path.as_uri())) for f in train.inputFiles())
+
+
+def test_a_fit_stores_its_features_and_labels_only(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(MD, "spread", lambda df: held.append(df.columns) or spread(df))
+    df = two_classes(spark, 200, 2).withColumn("label", F.col("label").cast("double")).withColumn(
+        "features", MD.array_to_vector(F.array("x")))
+    m = MD.fit_model(df, "classification", "clf_logistic", weights=True)
+    assert held == [["label", "features"]]
+    assert MD.score(m, df, ["row_id"]).count() == 200
+
+
+@pytest.mark.parametrize("side, most", [(8_000_000, 4), (300, 1)])
+def test_folds_of_many_rows_are_fitted_one_after_the_other(spark, monkeypatch, side, most):
+    import threading
+    import time
+
+    from autotab.operators import tune
+
+    class Flat:
+        def transform(self, df):
+            return df.selectExpr("*", "1.0D AS prediction")
+
+    running, seen, lock = [0], [], threading.Lock()
+
+    def fit(*_):
+        with lock:
+            running[0] += 1
+            seen.append(running[0])
+        time.sleep(1)
+        with lock:
+            running[0] -= 1
+        return Flat()
+
+    monkeypatch.setattr(tune, "fit_model", fit)
+    monkeypatch.setattr(tune, "SIDE_ROWS", side)
+    df = two_classes(spark, 200, 2).withColumn("label", F.col("label").cast("double"))
+    got = tune.cross_validate(df, "classification", "clf_logistic", 4).collect()
+    assert len(got) == 4 and (max(seen) == 1 if most == 1 else max(seen) > 1)
